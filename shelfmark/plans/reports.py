@@ -118,11 +118,12 @@ def _open_order_lines_by_month(t: Tables) -> DataFrame:
 def monthly_demand(t: Tables, sort: bool = True) -> DataFrame:
     """R7 (Q4): per month of non-cancelled orders: orders, units, revenue, mean order value.
 
-    Lines are grouped per order before the join, so the distinct order count
-    becomes a count over distinct order ids of one row each.
+    Lines are grouped per order before the join, so each joined row is one
+    order (OrderID is the SalesOrder key, checked by ``check_unique``) and the
+    distinct order count is a plain count: no second aggregation level.
     """
     monthly = _open_order_lines_by_month(t).groupBy("_month").agg(
-        F.count_distinct("OrderID").alias("TotalOrders"),
+        F.count("OrderID").alias("TotalOrders"),
         C.units_sum("_units").alias("TotalUnitsSold"),
         C.money_sum("_revenue").alias("TotalRevenue"),
     )
