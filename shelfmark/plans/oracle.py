@@ -174,3 +174,182 @@ GROUP BY od.OrderID"""),
 SELECT ProductName, WarehouseName, QuantityOnHand
 FROM StockSummary WHERE StockStatus = 'Reorder Required'""", STOCK_SUMMARY),
 }
+
+
+# --- change operators, quality checks, lookups and SQL surface -------------
+
+STOCK_CHANGES = """
+StockChanges AS (
+  SELECT l_partkey AS ProductID, CAST(n_regionkey AS BIGINT) AS WarehouseID,
+         CAST(l_shipdate AS DATE) AS as_of, CAST(SUM(l_quantity) AS INTEGER) AS QuantityOnHand,
+         CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS seq
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+  WHERE l_returnflag = 'A'
+  GROUP BY l_partkey, n_regionkey, CAST(l_shipdate AS DATE)
+),
+LatestChange AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY ProductID, WarehouseID ORDER BY seq DESC) AS rn
+    FROM StockChanges) t
+  WHERE rn = 1
+)"""
+
+UPDATED_STOCK = """
+SELECT s.ProductID, s.WarehouseID,
+       CASE WHEN l.ProductID IS NOT NULL THEN l.QuantityOnHand ELSE s.QuantityOnHand END AS QuantityOnHand,
+       CASE WHEN l.ProductID IS NOT NULL THEN l.as_of ELSE s.LastUpdated END AS LastUpdated
+FROM InventoryStock s
+LEFT JOIN LatestChange l ON s.ProductID = l.ProductID AND s.WarehouseID = l.WarehouseID"""
+
+# Model tables as the oracle names them, with the columns the adapter provides.
+ORACLE_TABLE = {
+    "Category": "Category", "Supplier": "dim_supplier", "Warehouse": "Warehouse", "Product": "Product",
+    "InventoryStock": "InventoryStock", "SalesOrder": "SalesOrder", "OrderDetail": "OrderDetail",
+}
+FIXTURE_COLUMNS = {
+    "Category": ("CategoryID", "CategoryName", "Description"),
+    "Supplier": ("SupplierID", "SupplierName", "ContactEmail", "Phone", "City", "Rating"),
+    "Warehouse": ("WarehouseID", "WarehouseName", "Location", "Capacity"),
+    "Product": ("ProductID", "ProductName", "CategoryID", "SupplierID", "UnitPrice", "ReorderLevel",
+                "LeadTimeDays"),
+    "InventoryStock": ("ProductID", "WarehouseID", "QuantityOnHand", "LastUpdated"),
+    "SalesOrder": ("OrderID", "CustomerName", "OrderDate", "Status", "TotalAmount"),
+    "OrderDetail": ("OrderID", "ProductID", "Quantity", "SalePrice"),
+}
+
+
+def _unique_summary_sql() -> str:
+    from shelfmark import schemas
+    parts = []
+    for name in schemas.SCHEMAS:
+        for k in (schemas.PRIMARY_KEYS[name], *schemas.UNIQUE_KEYS.get(name, ())):
+            if not all(c in FIXTURE_COLUMNS[name] for c in k):
+                continue
+            cols = ", ".join(k)
+            nn = " AND ".join(f"{c} IS NOT NULL" for c in k)
+            parts.append(
+                f"SELECT '{name}' AS table_name, '{','.join(k)}' AS key_columns, COUNT(*) AS duplicate_keys, "
+                f"CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS surplus_rows FROM ("
+                f"SELECT {cols}, COUNT(*) AS n FROM {ORACLE_TABLE[name]} WHERE {nn} "
+                f"GROUP BY {cols} HAVING COUNT(*) > 1) d")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _foreign_key_summary_sql() -> str:
+    from shelfmark import schemas
+    parts = []
+    for child, col, parent, pcol in schemas.FOREIGN_KEYS:
+        parts.append(
+            f"SELECT '{child}' AS child_table, '{col}' AS column_name, '{parent}' AS parent_table, "
+            f"COUNT(*) AS orphan_rows FROM {ORACLE_TABLE[child]} c WHERE c.{col} IS NOT NULL AND NOT EXISTS "
+            f"(SELECT 1 FROM {ORACLE_TABLE[parent]} p WHERE p.{pcol} = c.{col})")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _not_null_summary_sql() -> str:
+    from shelfmark import schemas
+    parts = []
+    for name in schemas.SCHEMAS:
+        for c in schemas.NOT_NULL[name]:
+            if c in FIXTURE_COLUMNS[name]:
+                parts.append(f"SELECT '{name}' AS table_name, '{c}' AS column_name, "
+                             f"CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS null_rows "
+                             f"FROM {ORACLE_TABLE[name]}")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _length_summary_sql() -> str:
+    from shelfmark import schemas
+    parts = []
+    for name, limits in schemas.MAX_LENGTHS.items():
+        for c, n in limits.items():
+            if c in FIXTURE_COLUMNS[name]:
+                parts.append(f"SELECT '{name}' AS table_name, '{c}' AS column_name, {n} AS \"limit\", "
+                             f"CAST(COUNT(*) FILTER (WHERE length({c}) > {n}) AS BIGINT) AS too_long, "
+                             f"CAST(COALESCE(MAX(length({c})), 0) AS INTEGER) AS max_length "
+                             f"FROM {ORACLE_TABLE[name]}")
+    return "\nUNION ALL\n".join(parts)
+
+
+OPERATORS: dict[str, str] = {
+    "append_rows": with_model("""
+SELECT * FROM SalesOrder
+UNION ALL
+SELECT (SELECT COALESCE(MAX(OrderID), 0) FROM SalesOrder) + row_number() OVER (ORDER BY c_custkey) AS OrderID,
+       c_name AS CustomerName, DATE '2002-01-01' AS OrderDate, 'Pending' AS Status,
+       CAST(NULL AS DECIMAL(12,2)) AS TotalAmount
+FROM customer"""),
+    "validate_orders": """
+SELECT c_name AS CustomerName,
+       CASE c_mktsegment WHEN 'BUILDING' THEN 'Pending' WHEN 'AUTOMOBILE' THEN 'Shipped'
+            WHEN 'MACHINERY' THEN 'Confirmed' ELSE c_mktsegment END AS Status,
+       'status_unknown' AS reasons
+FROM customer
+WHERE c_mktsegment NOT IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY')""",
+    "update_rows": with_model("""
+SELECT p.ProductID, p.ProductName, p.CategoryID, p.SupplierID, p.UnitPrice,
+       CASE WHEN c.ProductID IS NOT NULL THEN c.ReorderLevel ELSE p.ReorderLevel END AS ReorderLevel,
+       p.LeadTimeDays
+FROM Product p
+LEFT JOIN (SELECT ProductID, CAST(CEIL(AVG(Quantity)) AS INTEGER) AS ReorderLevel
+           FROM OrderDetail GROUP BY ProductID) c ON p.ProductID = c.ProductID"""),
+    "update_stock": with_model(UPDATED_STOCK, STOCK_CHANGES),
+    "update_stock_rejected": with_model("""
+SELECT l.ProductID, l.WarehouseID, l.seq, l.QuantityOnHand, l.as_of
+FROM LatestChange l
+WHERE NOT EXISTS (SELECT 1 FROM InventoryStock s
+                  WHERE s.ProductID = l.ProductID AND s.WarehouseID = l.WarehouseID)""", STOCK_CHANGES),
+    "stock_stream": with_model(UPDATED_STOCK, STOCK_CHANGES),
+    "delete_products": with_model("""
+SELECT od.* FROM OrderDetail od
+WHERE od.ProductID NOT IN (
+  SELECT ProductID FROM StockSummary GROUP BY ProductID
+  HAVING MAX(CASE WHEN StockStatus = 'Sufficient' THEN 1 ELSE 0 END) = 0)""", STOCK_SUMMARY),
+    "delete_orders": with_model("""
+SELECT od.* FROM OrderDetail od
+WHERE NOT EXISTS (SELECT 1 FROM SalesOrder o WHERE o.OrderID = od.OrderID AND o.Status = 'Cancelled')"""),
+    "append_ignore": with_model("""
+SELECT ProductID, WarehouseID, QuantityOnHand, LastUpdated FROM InventoryStock
+UNION ALL
+SELECT ProductID, WarehouseID, QuantityOnHand, LastUpdated FROM (
+  SELECT *, row_number() OVER (PARTITION BY ProductID, WarehouseID ORDER BY flag) AS rn
+  FROM (
+    SELECT l_returnflag AS flag, l_partkey AS ProductID, CAST(n_regionkey AS BIGINT) AS WarehouseID,
+           CAST(SUM(l_quantity) AS INTEGER) AS QuantityOnHand, CAST(MAX(l_shipdate) AS DATE) AS LastUpdated
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+    WHERE l_returnflag IN ('A', 'N')
+    GROUP BY l_returnflag, l_partkey, n_regionkey) b
+  WHERE NOT EXISTS (SELECT 1 FROM InventoryStock s
+                    WHERE s.ProductID = b.ProductID AND s.WarehouseID = b.WarehouseID)) f
+WHERE rn = 1"""),
+    "evolve_schema": with_model("""
+SELECT SupplierID, SupplierName, ContactEmail, Phone, City, CAST(5.0 AS DECIMAL(3,1)) AS Rating
+FROM dim_supplier"""),
+    "check_unique": with_model(_unique_summary_sql()),
+    "check_foreign_key": with_model(_foreign_key_summary_sql()),
+    "check_not_null": with_model(_not_null_summary_sql()),
+    "check_values": with_model("""
+SELECT 'SalesOrder' AS table_name, 'Status' AS column_name, COUNT(*) AS violations
+FROM SalesOrder WHERE Status NOT IN ('Pending', 'Confirmed', 'Shipped', 'Cancelled')"""),
+    "check_length": with_model(_length_summary_sql()),
+    "product_lookup": with_model("""
+SELECT * FROM Product
+WHERE ProductID IN (SELECT ProductID FROM StockSummary WHERE StockStatus = 'Reorder Required')""",
+                                 STOCK_SUMMARY),
+    "dimension_products": with_model("SELECT ProductID, ProductName FROM Product ORDER BY ProductName"),
+    "resolve_names": with_model("""
+SELECT p_partkey AS source_key, p_name AS ProductName, i.ProductID, i.rows_with_name
+FROM part
+LEFT JOIN (SELECT ProductName, MAX(ProductID) AS ProductID, COUNT(*) AS rows_with_name
+           FROM Product WHERE ProductName IS NOT NULL GROUP BY ProductName) i
+  ON p_name = i.ProductName"""),
+    "sql_reorder_alerts": with_model("""
+SELECT * FROM StockSummary WHERE StockStatus = 'Reorder Required' ORDER BY QuantityOnHand""", STOCK_SUMMARY),
+    "sql_product_search": with_model("""
+SELECT p.ProductName, c.CategoryName, p.UnitPrice, s.SupplierName
+FROM Product p
+JOIN Category c ON p.CategoryID = c.CategoryID
+JOIN dim_supplier s ON p.SupplierID = s.SupplierID
+WHERE p.ProductName ILIKE '%a%' AND p.UnitPrice BETWEEN 500 AND 5000
+ORDER BY p.UnitPrice"""),
+}

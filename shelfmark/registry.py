@@ -6,14 +6,23 @@ over the whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
-
-from shelfmark.plans import reports, views
-from shelfmark.sources.fixtures import from_driver_tables
+from pyspark.sql import functions as F
+
+from shelfmark import schemas
+from shelfmark.operators import changes, lookups, quality
+from shelfmark.operators.changes import STOCK_KEY
+from shelfmark.plans import batches, reports, views
+from shelfmark.sources import sql
+from shelfmark.sources.fixtures import driver_sources, from_driver_tables
 from shelfmark.sources.tables import Tables
 
+SQL_PREFIX = "shelfmark_"
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
@@ -52,10 +61,130 @@ REPORT_QUERIES: dict[str, QueryFn] = {
 }
 
 
+def _with_sources(fn: Callable[[dict[str, DataFrame], Tables], DataFrame]) -> QueryFn:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        src = driver_sources(spark, sf_dir)
+        return fn(src, from_driver_tables(spark, sf_dir, src))
+    run.__name__ = getattr(fn, "__name__", "query")
+    return run
+
+
+def _append_rows(src, t):
+    return changes.append_rows(t.sales_order, batches.new_orders(src), "OrderID", ["c_custkey"],
+                               defaults=schemas.DEFAULTS["SalesOrder"], as_of=batches.AS_OF)
+
+
+def _validate_orders(src, t):
+    _, rejected = changes.validate(batches.new_orders_with_status(src), changes.order_rules())
+    return rejected.select("CustomerName", "Status", F.array_join("reasons", ",").alias("reasons"))
+
+
+def _update_rows(src, t):
+    return changes.update_rows(t.product, batches.reorder_levels(t), "ProductID", ["ReorderLevel"]).table
+
+
+def _update_stock(src, t):
+    return changes.update_stock(t.stock, batches.stock_counts(src)).table
+
+
+def _update_stock_rejected(src, t):
+    return changes.update_stock(t.stock, batches.stock_counts(src)).rejected
+
+
+def _delete_products(src, t):
+    return changes.delete_products(t, batches.discontinued_products(t)).order_detail
+
+
+def _delete_orders(src, t):
+    return changes.delete_orders(t, batches.cancelled_orders(t)).order_detail
+
+
+def _append_ignore(src, t):
+    return changes.append_ignore(t.stock, batches.stock_rows_to_load(src), [STOCK_KEY],
+                                 order_by=["flag", "ProductID", "WarehouseID"]).table
+
+
+def _evolve_schema(src, t):
+    return changes.evolve(t.supplier.drop("Rating"), "Rating", "decimal(3,1)", Decimal("5.0"))
+
+
+def _product_lookup(src, t):
+    return lookups.rows_by_key(t.product, "ProductID", batches.reorder_alert_products(t))
+
+
+def _dimension_products(src, t):
+    return lookups.dimension_list(t, "product")
+
+
+def _resolve_names(src, t):
+    return lookups.resolve_names(batches.product_names_to_resolve(src), t.product, "ProductID", "ProductName")
+
+
+def _sql_reorder_alerts(src, t):
+    spark = t.product.sparkSession
+    sql.register_views(spark, t, prefix=SQL_PREFIX)
+    return sql.query(spark, f"SELECT * FROM {SQL_PREFIX}vw_StockSummary WHERE StockStatus = :status "
+                            "ORDER BY QuantityOnHand", {"status": schemas.STOCK_REORDER})
+
+
+def _sql_product_search(src, t):
+    spark = t.product.sparkSession
+    sql.register_views(spark, t, prefix=SQL_PREFIX)
+    p = SQL_PREFIX
+    return sql.query(spark, f"""
+        SELECT p.ProductName, c.CategoryName, p.UnitPrice, s.SupplierName
+        FROM {p}Product p
+        JOIN {p}Category c ON p.CategoryID = c.CategoryID
+        JOIN {p}Supplier s ON p.SupplierID = s.SupplierID
+        WHERE p.ProductName ILIKE :pat AND p.UnitPrice BETWEEN :lo AND :hi
+        ORDER BY p.UnitPrice""", {"pat": "%a%", "lo": 500, "hi": 5000})
+
+
+def _stock_stream(src, t):
+    """ST1 end to end: change files -> stream in 4 micro-batches -> current stock."""
+    from shelfmark.session import scratch_path
+    from shelfmark.streaming import stock_stream as st
+
+    spark = t.product.sparkSession
+    run = scratch_path(spark, f"stock-stream-{uuid.uuid4().hex}")
+    feed = batches.stock_counts(src)
+    # Four files, each with every date mixed in: seq arrives out of order across micro-batches.
+    (feed.repartition(4, F.pmod(F.xxhash64("ProductID", "WarehouseID", "seq"), F.lit(4)))
+     .write.parquet(f"{run}/source"))
+    query = st.start_stock_stream(spark, f"{run}/source", f"{run}/applied", f"{run}/checkpoint",
+                                  max_files_per_trigger=1)
+    query.awaitTermination()
+    return st.current_stock(spark, t.stock, f"{run}/applied").table
+
+
+OPERATOR_QUERIES: dict[str, QueryFn] = {
+    "append_rows": _with_sources(_append_rows),
+    "validate_orders": _with_sources(_validate_orders),
+    "update_rows": _with_sources(_update_rows),
+    "update_stock": _with_sources(_update_stock),
+    "update_stock_rejected": _with_sources(_update_stock_rejected),
+    "delete_products": _with_sources(_delete_products),
+    "delete_orders": _with_sources(_delete_orders),
+    "append_ignore": _with_sources(_append_ignore),
+    "evolve_schema": _with_sources(_evolve_schema),
+    "check_unique": _on_model(quality.unique_summary),
+    "check_foreign_key": _on_model(quality.foreign_key_summary),
+    "check_not_null": _on_model(quality.not_null_summary),
+    "check_values": _on_model(quality.values_summary),
+    "check_length": _on_model(quality.length_summary),
+    "product_lookup": _with_sources(_product_lookup),
+    "dimension_products": _with_sources(_dimension_products),
+    "resolve_names": _with_sources(_resolve_names),
+    "sql_reorder_alerts": _with_sources(_sql_reorder_alerts),
+    "sql_product_search": _with_sources(_sql_product_search),
+    "stock_stream": _with_sources(_stock_stream),
+}
+
+
 def queries() -> dict[str, QueryFn]:
-    return dict(REPORT_QUERIES)
+    return {**REPORT_QUERIES, **OPERATOR_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    from shelfmark.plans.oracle import REPORTS
-    return dict(REPORTS)
+    from shelfmark.plans.oracle import OPERATORS, REPORTS
+    return {**REPORTS, **OPERATORS}

@@ -128,8 +128,12 @@ def order_detail(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def from_driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    src = {name: read_driver(spark, sf_dir, name) for name in DRIVER_TABLES}
+def driver_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {name: read_driver(spark, sf_dir, name) for name in DRIVER_TABLES}
+
+
+def from_driver_tables(spark: SparkSession, sf_dir: str, src: dict[str, DataFrame] | None = None) -> Tables:
+    src = src or driver_sources(spark, sf_dir)
     cat = category(src["part"])
     return Tables(
         category=cat,
