@@ -205,7 +205,9 @@ def _drop_colliding(rows: DataFrame, other: DataFrame, unique_keys: Sequence[Seq
 def append_ignore(base: DataFrame, new: DataFrame, unique_keys: Sequence[Sequence[str]],
                   order_by: Sequence[str],
                   parents: Sequence[tuple[str, DataFrame, str]] = (),
-                  checks: Column | None = None) -> ChangeResult:
+                  checks: Column | None = None,
+                  defaults: dict[str, object] | None = None,
+                  as_of: _dt.date | str | None = None) -> ChangeResult:
     """INSERT IGNORE for a batch: skip rows colliding on any unique key.
 
     ``unique_keys`` lists the primary key and every UNIQUE key. A row is
@@ -213,7 +215,8 @@ def append_ignore(base: DataFrame, new: DataFrame, unique_keys: Sequence[Sequenc
     the batch (``order_by`` gives the batch order and must be unique per
     row), when a foreign key in ``parents`` (column, parent table, parent
     column) has no parent, or when ``checks`` is false. NULL key parts never
-    collide. Running the same batch twice changes nothing.
+    collide. Columns absent from ``new`` take ``defaults`` (else NULL).
+    Running the same batch twice changes nothing.
     """
     order = list(order_by)
     cand = new
@@ -231,7 +234,8 @@ def append_ignore(base: DataFrame, new: DataFrame, unique_keys: Sequence[Sequenc
     else:
         accepted = _first_wins_multi(cand, unique_keys, order)
     rejected = new.join(accepted.select(*order), order, "left_anti")
-    return ChangeResult(base.unionByName(accepted.select(*base.columns)), rejected)
+    shaped = accepted.select(*[_filled(accepted, f, defaults or {}, as_of) for f in base.schema.fields])
+    return ChangeResult(base.unionByName(shaped), rejected)
 
 
 def _first_wins_multi(cand: DataFrame, unique_keys: Sequence[Sequence[str]], order: list[str]) -> DataFrame:
