@@ -26,6 +26,20 @@ from shelfmark.sources.tables import Tables
 
 DRIVER_TABLES: tuple[str, ...] = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
+# Declared schemas of the driver tables: scans never infer (no footer-reading job).
+DRIVER_SCHEMAS: dict[str, str] = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+               "o_orderdate timestamp_ntz, o_orderpriority string"),
+    "lineitem": ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                 "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                 "l_linestatus string, l_shipdate timestamp_ntz"),
+}
+
 # Flags of the status derivation.
 PENDING_FLAG = "P"
 OPEN_FLAG = "O"
@@ -34,7 +48,20 @@ RETURNED_FLAG = "R"
 
 
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(DRIVER_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+class DriverSources(dict):
+    """name -> DataFrame, each scan created on first use."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        df = read_driver(self.spark, self.sf_dir, name)
+        self[name] = df
+        return df
 
 
 def category(part: DataFrame) -> DataFrame:
@@ -62,9 +89,8 @@ def dim_supplier(supplier: DataFrame, nation: DataFrame) -> DataFrame:
 def product(part: DataFrame, category_df: DataFrame, supplier: DataFrame) -> DataFrame:
     # Supplier of a part: spread parts over the supplier key range. Two
     # one-row scalar subqueries over the supplier table; no lineitem scan.
-    keys = supplier.agg(F.min("s_suppkey").alias("lo"), F.count("*").alias("n"))
-    lo = keys.select("lo").scalar()
-    n = keys.select("n").scalar()
+    keys = supplier.select(F.struct(F.min("s_suppkey").alias("lo"), F.count(F.lit(1)).alias("n"))).scalar()
+    lo, n = keys.getField("lo"), keys.getField("n")
     return part.join(category_df, part.p_type == category_df.CategoryName).select(
         F.col("p_partkey").alias("ProductID"),
         F.col("p_name").alias("ProductName"),
@@ -129,20 +155,27 @@ def order_detail(lineitem: DataFrame) -> DataFrame:
 
 
 def driver_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: read_driver(spark, sf_dir, name) for name in DRIVER_TABLES}
+    return DriverSources(spark, sf_dir)
 
 
 def from_driver_tables(spark: SparkSession, sf_dir: str, src: dict[str, DataFrame] | None = None) -> Tables:
-    src = src or driver_sources(spark, sf_dir)
-    cat = category(src["part"])
+    """The model over the driver tables; each table is derived on first use."""
+    src = src if src is not None else driver_sources(spark, sf_dir)
+    cat: list[DataFrame] = []
+
+    def category_df() -> DataFrame:
+        if not cat:
+            cat.append(category(src["part"]))
+        return cat[0]
+
     return Tables(
-        category=cat,
-        supplier=dim_supplier(src["supplier"], src["nation"]),
-        warehouse=warehouse(src["region"]),
-        product=product(src["part"], cat, src["supplier"]),
-        stock=inventory_stock(src["lineitem"], src["supplier"], src["nation"]),
-        sales_order=sales_order(src["orders"], src["customer"]),
-        order_detail=order_detail(src["lineitem"]),
+        category=category_df,
+        supplier=lambda: dim_supplier(src["supplier"], src["nation"]),
+        warehouse=lambda: warehouse(src["region"]),
+        product=lambda: product(src["part"], category_df(), src["supplier"]),
+        stock=lambda: inventory_stock(src["lineitem"], src["supplier"], src["nation"]),
+        sales_order=lambda: sales_order(src["orders"], src["customer"]),
+        order_detail=lambda: order_detail(src["lineitem"]),
     )
 
 

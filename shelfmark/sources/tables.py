@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import dataclasses
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,47 +20,77 @@ _FIELD_OF = {
     "SalesOrder": "sales_order",
     "OrderDetail": "order_detail",
 }
+FIELDS: tuple[str, ...] = tuple(_FIELD_OF.values())
+
+Frame = DataFrame | Callable[[], DataFrame]
 
 
-@dataclasses.dataclass(frozen=True)
 class Tables:
-    """Lazily evaluated DataFrames of the model; nothing here is collected."""
+    """The model's DataFrames; each may be given as a zero-argument builder.
+
+    A builder runs on first access only, so a report that reads two tables
+    never scans (or even lists) the sources of the other five. Nothing here
+    is collected.
+    """
 
-    category: DataFrame
-    supplier: DataFrame
-    warehouse: DataFrame
-    product: DataFrame
-    stock: DataFrame
-    sales_order: DataFrame
-    order_detail: DataFrame
+    __slots__ = ("_given", "_built")
+
+    def __init__(self, *, category: Frame, supplier: Frame, warehouse: Frame, product: Frame,
+                 stock: Frame, sales_order: Frame, order_detail: Frame):
+        self._given = {"category": category, "supplier": supplier, "warehouse": warehouse,
+                       "product": product, "stock": stock, "sales_order": sales_order,
+                       "order_detail": order_detail}
+        self._built: dict[str, DataFrame] = {}
+
+    def _get(self, field: str) -> DataFrame:
+        if field not in self._built:
+            value = self._given[field]
+            self._built[field] = value if isinstance(value, DataFrame) else value()
+        return self._built[field]
+
+    category = property(lambda self: self._get("category"))
+    supplier = property(lambda self: self._get("supplier"))
+    warehouse = property(lambda self: self._get("warehouse"))
+    product = property(lambda self: self._get("product"))
+    stock = property(lambda self: self._get("stock"))
+    sales_order = property(lambda self: self._get("sales_order"))
+    order_detail = property(lambda self: self._get("order_detail"))
 
     def by_name(self, name: str) -> DataFrame:
-        return getattr(self, _FIELD_OF[name])
+        return self._get(_FIELD_OF[name])
 
     def items(self) -> Iterator[tuple[str, DataFrame]]:
         for name in TABLE_NAMES:
             yield name, self.by_name(name)
 
-    def replace(self, **changes: DataFrame) -> Tables:
+    def replace(self, **changes: Frame) -> Tables:
         """New Tables with some DataFrames swapped (keyword = field name)."""
-        return dataclasses.replace(self, **changes)
+        unknown = set(changes) - set(FIELDS)
+        if unknown:
+            raise TypeError(f"unknown tables: {sorted(unknown)}")
+        merged = {f: self._built.get(f, self._given[f]) for f in FIELDS}
+        merged.update(changes)
+        return Tables(**merged)
+
+    def __repr__(self) -> str:
+        return f"Tables({', '.join(FIELDS)})"
 
 
 def load(spark: SparkSession, root: str, fmt: str = "parquet",
          options: dict[str, str] | None = None) -> Tables:
     """Scan each table at ``{root}/{TableName}`` with its declared schema.
 
-    The format is an argument: parquet, orc, csv and json all take the same
-    call; jdbc works through ``options`` with ``fmt='jdbc'`` and ``dbtable``
-    set per table by the caller.
+    The format is an argument: parquet, orc, csv and json take the same call;
+    jdbc works through ``options`` with ``fmt='jdbc'`` and ``dbtable`` set per
+    table by the caller. Scans are created on first use.
     """
-    frames = {}
-    for name in TABLE_NAMES:
-        reader = spark.read.format(fmt).options(**(options or {}))
-        if fmt != "parquet":
-            reader = reader.schema(schemas.SCHEMAS[name])
-        frames[_FIELD_OF[name]] = reader.load(f"{root.rstrip('/')}/{name}")
-    return Tables(**frames)
+    def reader(name: str) -> Callable[[], DataFrame]:
+        def build() -> DataFrame:
+            r = spark.read.format(fmt).options(**(options or {})).schema(schemas.SCHEMAS[name])
+            return r.load(f"{root.rstrip('/')}/{name}")
+        return build
+
+    return Tables(**{_FIELD_OF[name]: reader(name) for name in TABLE_NAMES})
 
 
 def save(tables: Tables, root: str, fmt: str = "parquet", mode: str = "errorifexists",
