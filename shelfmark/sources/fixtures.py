@@ -67,7 +67,7 @@ class DriverSources(dict):
 def category(part: DataFrame) -> DataFrame:
     # The global window runs over the distinct type names only; that domain is
     # fixed by the catalogue (a handful of types), not by the number of parts.
-    types = part.select(F.col("p_type").alias("CategoryName")).distinct()
+    types = part.where(F.col("p_type").isNotNull()).select(F.col("p_type").alias("CategoryName")).distinct()
     return types.select(
         F.row_number().over(Window.orderBy("CategoryName")).cast("bigint").alias("CategoryID"),
         "CategoryName",
@@ -185,7 +185,7 @@ ORACLE_MODEL_CTES = """
 Category AS (
   SELECT CAST(row_number() OVER (ORDER BY p_type) AS BIGINT) AS CategoryID,
          p_type AS CategoryName, CAST(NULL AS VARCHAR) AS Description
-  FROM (SELECT DISTINCT p_type FROM part) t
+  FROM (SELECT DISTINCT p_type FROM part WHERE p_type IS NOT NULL) t
 ),
 dim_supplier AS (
   SELECT s_suppkey AS SupplierID, s_name AS SupplierName,
