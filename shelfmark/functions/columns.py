@@ -20,6 +20,31 @@ def line_total(quantity: str | Column = "Quantity", price: str | Column = "SaleP
     return col(quantity) * col(price)
 
 
+def cents(price: str | Column = "SalePrice") -> Column:
+    """A 2-decimal money value as whole cents (exact: the scale is 2)."""
+    return (col(price) * 100).cast("long")
+
+
+def line_cents(quantity: str | Column = "Quantity", price: str | Column = "SalePrice") -> Column:
+    """Quantity * SalePrice in whole cents.
+
+    Summing longs keeps the per-line work on the fast fixed-width path; a sum
+    of decimal(21,2) line totals falls back to arbitrary-precision objects
+    for every row. ANSI mode raises on overflow instead of wrapping.
+    """
+    return cents(price) * col(quantity)
+
+
+def money_from_cents(total_cents: str | Column) -> Column:
+    """Whole cents back to DECIMAL(38,2), once per group (exact)."""
+    return (col(total_cents).cast("decimal(38,0)") / 100).cast(MONEY_SUM)
+
+
+def mean_from_cents(total_cents: str | Column, count: str | Column) -> Column:
+    """Mean price as DOUBLE: the exact sum as the nearest double, divided by the count."""
+    return col(total_cents).cast("double") / 100.0 / col(count)
+
+
 def money_sum(c: str | Column) -> Column:
     return F.sum(col(c)).cast(MONEY_SUM)
 

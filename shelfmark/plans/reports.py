@@ -66,8 +66,8 @@ def category_revenue(t: Tables, min_revenue: float | int | None = 10000, sort: b
     out = _category_lines(t).groupBy("CategoryName").agg(
         F.count_distinct("ProductID").alias("TotalProducts"),
         C.units_sum("_units").alias("TotalUnitsSold"),
-        C.money_sum("_revenue").alias("TotalRevenue"),
-        C.exact_mean(F.sum("_price_sum"), F.sum("_price_n")).alias("AvgPrice"),
+        C.money_from_cents(F.sum("_revenue_cents")).alias("TotalRevenue"),
+        C.mean_from_cents(F.sum("_price_cents"), F.sum("_price_n")).alias("AvgPrice"),
     )
     if min_revenue is not None:
         out = out.where(F.col("TotalRevenue") > F.lit(min_revenue))
@@ -79,7 +79,7 @@ def category_revenue_page(t: Tables, min_revenue: float | int | None = 0, sort:
     out = _category_lines(t).groupBy("CategoryName").agg(
         F.count_distinct("ProductID").alias("Products"),
         C.units_sum("_units").alias("UnitsSold"),
-        C.money_sum("_revenue").alias("Revenue"),
+        C.money_from_cents(F.sum("_revenue_cents")).alias("Revenue"),
     )
     if min_revenue is not None:
         out = out.where(F.col("Revenue") > F.lit(min_revenue))
@@ -108,7 +108,7 @@ def _open_order_lines_by_month(t: Tables) -> DataFrame:
     """Non-cancelled orders with their lines grouped per order first."""
     per_order = t.order_detail.groupBy("OrderID").agg(
         F.sum("Quantity").alias("_units"),
-        F.sum(C.line_total()).alias("_revenue"),
+        F.sum(C.line_cents()).alias("_revenue_cents"),
     )
     orders = t.sales_order.where(F.col("Status") != CANCELLED).select(
         "OrderID", C.month_start("OrderDate").alias("_month"))
@@ -125,7 +125,7 @@ def monthly_demand(t: Tables, sort: bool = True) -> DataFrame:
     monthly = _open_order_lines_by_month(t).groupBy("_month").agg(
         F.count("OrderID").alias("TotalOrders"),
         C.units_sum("_units").alias("TotalUnitsSold"),
-        C.money_sum("_revenue").alias("TotalRevenue"),
+        C.money_from_cents(F.sum("_revenue_cents")).alias("TotalRevenue"),
     )
     out = monthly.select(
         C.year_month("_month").alias("MonthYear"),
@@ -139,7 +139,7 @@ def monthly_sales(t: Tables, sort: bool = True) -> DataFrame:
     """Revenue per month of non-cancelled orders."""
     out = (
         _open_order_lines_by_month(t).groupBy("_month")
-        .agg(C.money_sum("_revenue").alias("Revenue"))
+        .agg(C.money_from_cents(F.sum("_revenue_cents")).alias("Revenue"))
         .select(C.year_month("_month").alias("Month"), "Revenue")
     )
     return _sorted(out, sort, "Month")
@@ -208,7 +208,7 @@ def kpis(t: Tables) -> DataFrame:
     """
     alerts = reorder_alerts(t, sort=False)
     return t.order_detail.agg(
-        F.coalesce(C.money_sum(C.line_total()), F.lit(0).cast(C.MONEY_SUM)).alias("TotalRevenue")
+        F.coalesce(C.money_from_cents(F.sum(C.line_cents())), F.lit(0).cast(C.MONEY_SUM)).alias("TotalRevenue")
     ).select(
         t.product.select(F.count(F.lit(1))).scalar().alias("TotalProducts"),
         t.sales_order.select(F.count(F.lit(1))).scalar().alias("TotalOrders"),
@@ -219,7 +219,8 @@ def kpis(t: Tables) -> DataFrame:
 
 def revenue_by_category(t: Tables) -> DataFrame:
     """Revenue per category, all categories with sales."""
-    return _category_lines(t).groupBy("CategoryName").agg(C.money_sum("_revenue").alias("Revenue"))
+    return _category_lines(t).groupBy("CategoryName").agg(
+        C.money_from_cents(F.sum("_revenue_cents")).alias("Revenue"))
 
 
 def order_list(t: Tables, sort: bool = True) -> DataFrame:
@@ -229,13 +230,14 @@ def order_list(t: Tables, sort: bool = True) -> DataFrame:
     """
     per_order = t.order_detail.groupBy("OrderID").agg(
         F.count(F.lit(1)).alias("_items"),
-        F.sum(C.line_total()).alias("_value"),
+        F.sum(C.line_cents()).alias("_value_cents"),
     )
     out = (
         t.sales_order.select("OrderID", "CustomerName", "OrderDate", "Status")
         .join(per_order, "OrderID")
         .groupBy("OrderID", "CustomerName", "OrderDate", "Status")
-        .agg(F.sum("_items").cast("bigint").alias("Items"), C.money_sum("_value").alias("OrderValue"))
+        .agg(F.sum("_items").cast("bigint").alias("Items"),
+             C.money_from_cents(F.sum("_value_cents")).alias("OrderValue"))
     )
     return _sorted(out, sort, F.desc("OrderDate"))
 
@@ -256,9 +258,11 @@ def order_lines(t: Tables, orders: int | DataFrame) -> DataFrame:
 
 def order_total(t: Tables, orders: int | DataFrame) -> DataFrame:
     """Sum of the line totals of R17 per order; no row for an order without lines."""
+    lines = _orders_filter(t.order_detail, orders)
     return (
-        order_lines(t, orders).groupBy("OrderID")
-        .agg(C.money_sum("LineTotal").alias("OrderTotal"))
+        lines.join(t.product.select("ProductID"), "ProductID")
+        .groupBy("OrderID")
+        .agg(C.money_from_cents(F.sum(C.line_cents())).alias("OrderTotal"))
     )
 
 

@@ -46,8 +46,8 @@ def lines_by_product(order_detail: DataFrame) -> DataFrame:
     return order_detail.groupBy("ProductID").agg(
         F.count(F.lit(1)).alias("_lines"),
         F.sum("Quantity").alias("_units"),
-        F.sum(C.line_total()).alias("_revenue"),
-        F.sum("SalePrice").alias("_price_sum"),
+        F.sum(C.line_cents()).alias("_revenue_cents"),
+        F.sum(C.cents("SalePrice")).alias("_price_cents"),
         F.count("SalePrice").alias("_price_n"),
     )
 
@@ -63,7 +63,7 @@ def product_revenue(t: Tables) -> DataFrame:
         .agg(
             F.sum("_lines").cast("bigint").alias("TotalOrderLines"),
             C.units_sum("_units").alias("TotalUnitsSold"),
-            C.money_sum("_revenue").alias("TotalRevenue"),
-            C.exact_mean(F.sum("_price_sum"), F.sum("_price_n")).alias("AvgSellingPrice"),
+            C.money_from_cents(F.sum("_revenue_cents")).alias("TotalRevenue"),
+            C.mean_from_cents(F.sum("_price_cents"), F.sum("_price_n")).alias("AvgSellingPrice"),
         )
     )
