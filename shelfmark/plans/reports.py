@@ -217,6 +217,23 @@ def kpis(t: Tables) -> DataFrame:
     )
 
 
+def kpi_display(t: Tables, currency: str = "PKR") -> DataFrame:
+    """R13 as display text: counts and revenue with thousands separators."""
+    k = kpis(t)
+    return k.select(
+        C.thousands("TotalProducts").alias("TotalProducts"),
+        C.thousands("TotalOrders").alias("TotalOrders"),
+        F.concat(F.lit(currency + " "), C.thousands("TotalRevenue")).alias("TotalRevenue"),
+        C.thousands("ReorderAlerts").alias("ReorderAlerts"),
+    )
+
+
+def catalogue_count(t: Tables, term: str = "", min_price=None, max_price=None, escape: bool = False) -> DataFrame:
+    """The "N products found" figure of the catalogue page, as a one-row DataFrame."""
+    found = product_catalogue(t, term, min_price, max_price, escape, sort=False)
+    return found.agg(F.count(F.lit(1)).alias("ProductsFound"))
+
+
 def revenue_by_category(t: Tables) -> DataFrame:
     """Revenue per category, all categories with sales."""
     return _category_lines(t).groupBy("CategoryName").agg(
