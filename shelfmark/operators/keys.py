@@ -31,28 +31,32 @@ def sequential_keys(df: DataFrame, order_by: Sequence[str], start: Column, name:
                     partitions: int | None = None) -> DataFrame:
     """Number the rows ``start + 1, start + 2, ...`` in ``order_by`` order.
 
-    No global (single-task) window: the rows are range partitioned on
-    ``order_by`` (balanced by sampling), numbered inside each range, and each
-    range is shifted by the row count of the ranges before it. The counts
-    table has one row per range, so broadcasting it is bounded by the number
-    of partitions. The ranged rows are checkpointed to the shared checkpoint
-    folder first: that freezes which row went to which range, so a retried
-    task after an executor loss computes the same keys.
+    No global (single-task) window and no second shuffle:
+
+    1. range partition on ``order_by`` (boundaries from a sample, so ranges
+       are balanced), sort inside each range, and checkpoint to the shared
+       checkpoint folder. The checkpoint freezes which row sits where, so a
+       task retried after an executor loss computes the same keys;
+    2. a row's position inside its range is the low 33 bits of
+       ``monotonically_increasing_id`` (documented layout: partition id in the
+       upper bits, record number within the partition in the lower 33);
+    3. each range is shifted by the row count of the ranges before it. The
+       counts table has one row per range, so its broadcast is bounded by the
+       number of partitions.
     """
     checkpoint_dir(df.sparkSession)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (
-        df.repartitionByRange(n, *order_by)
-        .withColumn("_range", F.spark_partition_id())
-        .checkpoint(eager=True)
+    ranged = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by).checkpoint(eager=True)
+    placed = ranged.select(
+        "*",
+        F.spark_partition_id().alias("_range"),
+        (F.monotonically_increasing_id() % F.lit(1 << 33)).alias("_pos"),
     )
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("_range").orderBy(*order_by)
     return (
-        ranged.withColumn("_rn", F.row_number().over(within))
-        .join(F.broadcast(offsets), "_range")
-        .withColumn(name, (start + F.col("_offset") + F.col("_rn")).cast("bigint"))
-        .drop("_range", "_offset", "_rn")
+        placed.join(F.broadcast(offsets), "_range")
+        .withColumn(name, (start + F.col("_offset") + F.col("_pos") + 1).cast("bigint"))
+        .drop("_range", "_offset", "_pos")
     )
