@@ -131,7 +131,7 @@ def delete_products(t: Tables, ids: DataFrame) -> Tables:
 
     Orders stay, even with no lines left; their TotalAmount is unchanged.
     """
-    gone = ids.select("ProductID")
+    gone = ids.select("ProductID").distinct()
     return t.replace(
         order_detail=t.order_detail.join(gone, "ProductID", "left_anti"),
         stock=t.stock.join(gone, "ProductID", "left_anti"),
@@ -141,7 +141,7 @@ def delete_products(t: Tables, ids: DataFrame) -> Tables:
 
 def delete_orders(t: Tables, ids: DataFrame) -> Tables:
     """Remove orders with their lines; stock is not given back."""
-    gone = ids.select("OrderID")
+    gone = ids.select("OrderID").distinct()
     return t.replace(
         order_detail=t.order_detail.join(gone, "OrderID", "left_anti"),
         sales_order=t.sales_order.join(gone, "OrderID", "left_anti"),
@@ -197,8 +197,9 @@ def _not_null(cols: Sequence[str]) -> Column:
 
 
 def _drop_colliding(rows: DataFrame, other: DataFrame, unique_keys: Sequence[Sequence[str]]) -> DataFrame:
+    # Distinct keys on the probe side: repeated keys cannot pile up in one task.
     for k in unique_keys:
-        rows = rows.join(other.select(*k).where(_not_null(k)), list(k), "left_anti")
+        rows = rows.join(other.select(*k).where(_not_null(k)).distinct(), list(k), "left_anti")
     return rows
 
 
@@ -221,7 +222,7 @@ def append_ignore(base: DataFrame, new: DataFrame, unique_keys: Sequence[Sequenc
     order = list(order_by)
     cand = new
     for col, parent, pcol in parents:
-        present = parent.select(F.col(pcol).alias(col))
+        present = parent.select(F.col(pcol).alias(col)).distinct()
         cand = cand.join(present, col, "left_semi").unionByName(cand.where(F.col(col).isNull()))
     if checks is not None:
         cand = cand.where(F.coalesce(checks, F.lit(True)))

@@ -23,7 +23,7 @@ DIMENSIONS: dict[str, tuple[str, str]] = {
 def rows_by_key(df: DataFrame, key: str, ids: int | DataFrame) -> DataFrame:
     """All columns of the rows with the given key(s)."""
     if isinstance(ids, DataFrame):
-        return df.join(ids.select(key), key, "left_semi")
+        return df.join(ids.select(key).distinct(), key, "left_semi")
     return df.where(F.col(key) == F.lit(int(ids)))
 
 
@@ -31,7 +31,7 @@ def dimension_list(t: Tables, dimension: str, sort: bool = True) -> DataFrame:
     """Id + name list of a dimension (products sorted by name)."""
     key, name = DIMENSIONS[dimension]
     out = getattr(t, dimension).select(key, name)
-    return out.orderBy(name) if sort else out
+    return out.orderBy(name, key) if sort else out
 
 
 def name_index(dim: DataFrame, key: str, name: str) -> DataFrame:

@@ -37,7 +37,7 @@ def check_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def check_foreign_key(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """Child rows whose non-NULL reference has no parent row."""
-    parents = parent.select(F.col(parent_column).alias(column))
+    parents = parent.select(F.col(parent_column).alias(column)).distinct()
     return child.where(F.col(column).isNotNull()).join(parents, column, "left_anti")
 
 

@@ -23,6 +23,13 @@ CANCELLED = "Cancelled"
 
 
 def _sorted(df: DataFrame, sort: bool, *order: Column | str) -> DataFrame:
+    """Global sort for presentation; ``sort=False`` skips it for large outputs.
+
+    The first key is the report's order; the others only break its ties. They
+    make the order deterministic and let the range partitioner split a value
+    that a third of the rows share, instead of sending all of them to one
+    sort task.
+    """
     return df.orderBy(*order) if sort else df
 
 
@@ -47,7 +54,8 @@ def stock_overview(t: Tables, sort: bool = True) -> DataFrame:
             .otherwise(F.lit(schemas.ALERT_OK)).alias("Alert"),
         )
     )
-    return _sorted(out, sort, "TotalStock")
+    return _sorted(out, sort, "TotalStock", "ProductName", "CategoryName", "SupplierName", "SupplierCity",
+                   "ReorderLevel")
 
 
 def _category_lines(t: Tables) -> DataFrame:
@@ -101,7 +109,7 @@ def below_average_stock(t: Tables, sort: bool = True) -> DataFrame:
         .where(F.col("TotalStock") < mean_total)
         .select("ProductName", "TotalStock", "ReorderLevel")
     )
-    return _sorted(out, sort, "TotalStock")
+    return _sorted(out, sort, "TotalStock", "ProductName", "ReorderLevel")
 
 
 def _open_order_lines_by_month(t: Tables) -> DataFrame:
@@ -168,7 +176,7 @@ def product_search(t: Tables, term: str = "a", min_price=500, max_price=5000,
     """R8 (Q5): case-insensitive name match (T1) and an inclusive price range."""
     out = _product_dims(t).where(_search_filter(term, min_price, max_price, escape)).select(
         "ProductName", "CategoryName", "UnitPrice", "SupplierName")
-    return _sorted(out, sort, "UnitPrice")
+    return _sorted(out, sort, "UnitPrice", "ProductName", "SupplierName")
 
 
 def product_catalogue(t: Tables, term: str = "", min_price=None, max_price=None,
@@ -176,7 +184,7 @@ def product_catalogue(t: Tables, term: str = "", min_price=None, max_price=None,
     """The catalogue page; bounds are optional (no hidden price cap, T15)."""
     out = _product_dims(t).where(_search_filter(term, min_price, max_price, escape)).select(
         "ProductID", "ProductName", "CategoryName", "SupplierName", "UnitPrice", "ReorderLevel", "LeadTimeDays")
-    return _sorted(out, sort, "ProductName")
+    return _sorted(out, sort, "ProductName", "ProductID")
 
 
 def supplier_cities(t: Tables, sort: bool = True) -> DataFrame:
@@ -197,7 +205,7 @@ def top_products(t: Tables, n: int = 5) -> DataFrame:
 def reorder_alerts(t: Tables, sort: bool = True) -> DataFrame:
     """R12 (Q8): stock rows at or below their reorder level."""
     out = stock_summary(t).where(F.col("StockStatus") == schemas.STOCK_REORDER)
-    return _sorted(out, sort, "QuantityOnHand")
+    return _sorted(out, sort, "QuantityOnHand", "ProductID", "WarehouseName")
 
 
 def kpis(t: Tables) -> DataFrame:
@@ -256,13 +264,13 @@ def order_list(t: Tables, sort: bool = True) -> DataFrame:
         .agg(F.sum("_items").cast("bigint").alias("Items"),
              C.money_from_cents(F.sum("_value_cents")).alias("OrderValue"))
     )
-    return _sorted(out, sort, F.desc("OrderDate"))
+    return _sorted(out, sort, F.desc("OrderDate"), F.asc("OrderID"))
 
 
 def _orders_filter(order_detail: DataFrame, orders: int | DataFrame) -> DataFrame:
     """Lines of one order id, or of every id in a DataFrame with an OrderID column."""
     if isinstance(orders, DataFrame):
-        return order_detail.join(orders.select("OrderID"), "OrderID", "left_semi")
+        return order_detail.join(orders.select("OrderID").distinct(), "OrderID", "left_semi")
     return order_detail.where(F.col("OrderID") == F.lit(int(orders)))
 
 
