@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark.operators.changes import STOCK_KEY, ChangeResult, update_stock
+from shelfmark.sources.tables import Tables
 
 CHANGE_SCHEMA = T.StructType([
     T.StructField("ProductID", T.LongType(), False),
@@ -74,3 +75,10 @@ def applied_changes(spark: SparkSession, applied_dir: str) -> DataFrame:
 def current_stock(spark: SparkSession, base_stock: DataFrame, applied_dir: str) -> ChangeResult:
     """Base stock with every applied change (latest ``seq`` per key wins)."""
     return update_stock(base_stock, applied_changes(spark, applied_dir).drop("epoch"), seq="seq")
+
+
+def live_reorder_alerts(spark: SparkSession, t: Tables, applied_dir: str) -> DataFrame:
+    """R12 over the current stock: the alert list as of the last finished micro-batch."""
+    from shelfmark.plans.reports import reorder_alerts
+
+    return reorder_alerts(t.replace(stock=current_stock(spark, t.stock, applied_dir).table))

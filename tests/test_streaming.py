@@ -55,3 +55,15 @@ def test_replayed_epoch_is_harmless(spark, seed):
     latest.write.mode("overwrite").parquet(f"{root}/applied/epoch=0")
     again = sorted(rows(st.current_stock(spark, seed.stock, f"{root}/applied").table))
     assert first == again
+
+
+def test_live_alerts_follow_the_stream(spark, seed):
+    root = tempfile.mkdtemp(prefix="shelfmark-stream-")
+    # Product 1 in Central Warehouse drops to 5 (alert); product 10 in North Hub rises to 99 (no alert).
+    data = [(1, 1, 1, 5, dt.date(2025, 5, 1)), (10, 2, 1, 99, dt.date(2025, 5, 1))]
+    _changes(spark, data).write.parquet(f"{root}/source")
+    st.start_stock_stream(spark, f"{root}/source", f"{root}/applied", f"{root}/ckpt").awaitTermination()
+    alerts = {(r[0], r[1]) for r in rows(st.live_reorder_alerts(spark, seed, f"{root}/applied"),
+                                         "ProductID", "WarehouseName")}
+    assert (1, "Central Warehouse") in alerts
+    assert (10, "North Hub") not in alerts
