@@ -45,19 +45,10 @@ def mean_from_cents(total_cents: str | Column, count: str | Column) -> Column:
     return col(total_cents).cast("double") / 100.0 / col(count)
 
 
-def money_sum(c: str | Column) -> Column:
-    return F.sum(col(c)).cast(MONEY_SUM)
-
-
 def units_sum(c: str | Column) -> Column:
     return F.sum(col(c)).cast(COUNT_SUM)
 
 
-def exact_mean(total: Column, count: Column) -> Column:
-    """Mean as DOUBLE from an exact sum and a count: identical in every engine."""
-    return total.cast("double") / count
-
-
 def year_month(date: str | Column) -> Column:
     """'yyyy-MM' text of a date (FORMAT(d,'yyyy-MM') / DATE_FORMAT(d,'%Y-%m'))."""
     return F.date_format(col(date), "yyyy-MM")

@@ -148,10 +148,6 @@ def delete_orders(t: Tables, ids: DataFrame) -> Tables:
     )
 
 
-def _required(c: str) -> Column:
-    return F.coalesce(F.col(c).isNotNull(), F.lit(False))
-
-
 # Input rules of the entry forms (a NULL in a nullable column passes, as a CHECK does).
 def product_rules() -> dict[str, Column]:
     return {

@@ -9,8 +9,6 @@ its shuffle see one row per key instead of one per line.
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -295,6 +293,3 @@ def alert_stock_by_warehouse(t: Tables) -> DataFrame:
     """Quantity per alerted product split by warehouse (data of the alert chart)."""
     return reorder_alerts(t, sort=False).select("ProductName", "WarehouseName", "QuantityOnHand")
 
-
-def as_date(value: _dt.date | str) -> _dt.date:
-    return _dt.date.fromisoformat(value) if isinstance(value, str) else value

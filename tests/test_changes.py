@@ -159,3 +159,15 @@ def test_evolve_fills_existing_rows(seed):
     out = changes.evolve(seed.supplier.drop("Rating"), "Rating", "decimal(3,1)", D("5.0"))
     assert {r[0] for r in rows(out, "Rating")} == {D("5.0")}
     assert changes.evolve(seed.supplier, "Rating", "decimal(3,1)", D("5.0")) is seed.supplier
+
+
+def test_stock_and_order_id_rules_and_fill_defaults(spark):
+    stock = spark.createDataFrame([(1, 0), (2, -1)], "ProductID long, QuantityOnHand int")
+    ok, bad = changes.validate(stock, changes.stock_rules())
+    assert rows(ok, "ProductID") == [(1,)] and rows(bad, "reasons") == [(["quantity_below_0"],)]
+    ids = spark.createDataFrame([(0,), (5,)], "OrderID long")
+    ok, _ = changes.validate(ids, changes.order_id_rules())
+    assert rows(ok) == [(5,)]
+    new = spark.createDataFrame([("Ali", None)], "CustomerName string, TotalAmount decimal(12,2)")
+    shaped = changes.fill_defaults(new, schemas.SALES_ORDER, schemas.DEFAULTS["SalesOrder"], AS_OF)
+    assert rows(shaped) == [(None, "Ali", AS_OF, "Pending", None)]
