@@ -130,3 +130,21 @@ def length_summary(t: Tables) -> DataFrame:
             for c in cols])).alias("s")).select("s.*")
         rows.append(stacked.select(F.lit(name).alias("table_name"), "column_name", "limit", "too_long", "max_length"))
     return _union(rows)
+
+
+def report(t: Tables) -> DataFrame:
+    """All checks C1-C5 as one table: (check_name, table_name, detail, violations)."""
+    parts = [
+        unique_summary(t).select(F.lit("unique").alias("check_name"), "table_name",
+                                 F.col("key_columns").alias("detail"), F.col("duplicate_keys").alias("violations")),
+        foreign_key_summary(t).select(F.lit("foreign_key").alias("check_name"), F.col("child_table").alias("table_name"),
+                                      F.concat_ws("->", "column_name", "parent_table").alias("detail"),
+                                      F.col("orphan_rows").alias("violations")),
+        not_null_summary(t).select(F.lit("not_null").alias("check_name"), "table_name",
+                                   F.col("column_name").alias("detail"), F.col("null_rows").alias("violations")),
+        values_summary(t).select(F.lit("allowed_values").alias("check_name"), "table_name",
+                                 F.col("column_name").alias("detail"), "violations"),
+        length_summary(t).select(F.lit("max_length").alias("check_name"), "table_name",
+                                 F.col("column_name").alias("detail"), F.col("too_long").alias("violations")),
+    ]
+    return _union(parts)

@@ -72,3 +72,15 @@ def test_kpi_display_and_catalogue_count(seed):
     (r,) = reports.kpi_display(seed).collect()
     assert (r.TotalProducts, r.TotalOrders, r.TotalRevenue, r.ReorderAlerts) == ("14", "10", "PKR 273,900", "3")
     assert rows(reports.catalogue_count(seed, "a", 500, 5000)) == [(3,)]
+
+
+def test_checked_load_and_publish(spark, seed):
+    from shelfmark.sources import loading
+
+    root = tempfile.mkdtemp(prefix="shelfmark-load-")
+    tables_io.save(seed, root)
+    t, report = loading.checked_load(spark, root)
+    assert {r[0] for r in rows(report, "violations")} == {0}
+    assert report.count() == 11 + 6 + 29 + 1 + 11  # unique, FK, not-null, values, lengths
+    paths = loading.publish(t, tempfile.mkdtemp(prefix="shelfmark-pub-"))
+    assert spark.read.parquet(paths["OrderDetail"]).count() == 24
