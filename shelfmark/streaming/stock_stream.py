@@ -46,10 +46,23 @@ def latest_changes(changes: DataFrame) -> DataFrame:
         *STOCK_KEY, "_last.seq", "_last.QuantityOnHand", "_last.as_of")
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def start_stock_stream(spark: SparkSession, source_dir: str, applied_dir: str, checkpoint_location: str,
                        fmt: str = "parquet", max_files_per_trigger: int | None = None,
-                       available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
-    """Start the stream; returns the running query (caller awaits or stops it)."""
+                       available_now: bool = True, processing_time: str | None = None,
+                       state_store: str | None = "rocksdb") -> StreamingQuery:
+    """Start the stream; returns the running query (caller awaits or stops it).
+
+    The state holds one row per (product, warehouse), which outgrows executor
+    heaps at scale, so by default the session's state store is RocksDB
+    (``state_store=None`` keeps whatever the session names). The number of
+    state partitions is fixed by ``spark.sql.shuffle.partitions`` when the
+    checkpoint is first created.
+    """
+    if state_store == "rocksdb":
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     reader = spark.readStream.schema(CHANGE_SCHEMA).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
