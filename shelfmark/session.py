@@ -64,3 +64,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub folder of the shared checkpoint folder for written intermediates."""
     base = checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}"
+
+
+def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 * 1024 * 1024,
+               shuffle_fraction: float = 0.125, max_shuffle_partitions: int = 50_000) -> dict[str, str]:
+    """Settings sized to the input.
+
+    Scan splits are ``partition_bytes``. Shuffle partitions are sized to the
+    expected shuffle volume, not the input: after column pruning and map-side
+    combining a shuffle carries a fraction of the scanned bytes
+    (``shuffle_fraction``). The count is at least twice the cores and capped,
+    because map tasks x reduce partitions shuffle blocks must stay
+    manageable; AQE coalesces small stages and splits skewed partitions (three
+    times the median and above the advisory size). Broadcast stays on Spark's
+    size check (never forced).
+    """
+    wanted = -(-int(input_bytes * shuffle_fraction) // partition_bytes)
+    parts = max(2 * total_cores, min(max_shuffle_partitions, wanted))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    }

@@ -56,3 +56,33 @@ def register_views(spark: SparkSession, t: Tables, prefix: str = "") -> list[str
 def query(spark: SparkSession, sql: str, args: dict[str, Any] | None = None) -> DataFrame:
     """Run SQL with named parameter markers (``:name``) bound from ``args``."""
     return spark.sql(sql, args=args or None)
+
+
+def register_report_views(spark: SparkSession, t: Tables, prefix: str = "") -> list[str]:
+    """Temp views of every report that takes no parameter, under its report name.
+
+    Each view is the report's lazy plan, so ``SELECT ... FROM monthly_demand
+    WHERE ...`` is optimised together with the report (filters reach the scans).
+    """
+    from shelfmark.plans import reports, views
+
+    frames = {
+        "stock_summary": views.stock_summary(t),
+        "product_revenue": views.product_revenue(t),
+        "stock_overview": reports.stock_overview(t, sort=False),
+        "category_revenue": reports.category_revenue(t, sort=False),
+        "category_revenue_all": reports.category_revenue_page(t, sort=False),
+        "below_average_stock": reports.below_average_stock(t, sort=False),
+        "monthly_demand": reports.monthly_demand(t, sort=False),
+        "supplier_cities": reports.supplier_cities(t, sort=False),
+        "top_products": reports.top_products(t),
+        "reorder_alerts": reports.reorder_alerts(t, sort=False),
+        "kpis": reports.kpis(t),
+        "revenue_by_category": reports.revenue_by_category(t),
+        "monthly_sales": reports.monthly_sales(t, sort=False),
+        "order_list": reports.order_list(t, sort=False),
+        "alert_stock_by_warehouse": reports.alert_stock_by_warehouse(t),
+    }
+    for name, df in frames.items():
+        df.createOrReplaceTempView(prefix + name)
+    return [prefix + n for n in frames]

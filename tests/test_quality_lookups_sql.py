@@ -68,3 +68,21 @@ def test_sql_views_and_parameters(spark, seed):
     # A value with quotes is bound, never spliced into the SQL text.
     hit = sql.query(spark, "SELECT ProductName FROM t_Product WHERE ProductName = :n", {"n": 'Samsung 4K TV 55"'})
     assert hit.count() == 1
+
+
+def test_report_views_for_sql_users(spark, seed):
+    names = sql.register_report_views(spark, seed, prefix="r_")
+    assert "r_monthly_demand" in names
+    got = sql.query(spark, "SELECT MonthYear, TotalOrders FROM r_monthly_demand WHERE MonthYear >= :m ORDER BY 1",
+                    {"m": "2025-03"})
+    assert rows(got) == [("2025-03", 3), ("2025-04", 3)]
+    assert rows(sql.query(spark, "SELECT ReorderAlerts FROM r_kpis")) == [(3,)]
+
+
+def test_scale_conf_sizes_partitions():
+    from shelfmark.session import scale_conf
+
+    conf = scale_conf(100 * 1024 ** 4, 8000)  # 100 TiB on 8000 cores: capped
+    assert int(conf["spark.sql.shuffle.partitions"]) == 50_000
+    assert int(scale_conf(10 * 1024 ** 4, 8000)["spark.sql.shuffle.partitions"]) == 5120
+    assert int(scale_conf(10 ** 6, 8)["spark.sql.shuffle.partitions"]) == 16
