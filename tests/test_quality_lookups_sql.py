@@ -84,5 +84,6 @@ def test_scale_conf_sizes_partitions():
 
     conf = scale_conf(100 * 1024 ** 4, 8000)  # 100 TiB on 8000 cores: capped
     assert int(conf["spark.sql.shuffle.partitions"]) == 50_000
-    assert int(scale_conf(10 * 1024 ** 4, 8000)["spark.sql.shuffle.partitions"]) == 5120
+    assert int(scale_conf(10 * 1024 ** 4, 1000)["spark.sql.shuffle.partitions"]) == 5120  # 10 TiB, 1000 cores
+    assert int(scale_conf(10 * 1024 ** 4, 8000)["spark.sql.shuffle.partitions"]) == 16_000  # at least 2 per core
     assert int(scale_conf(10 ** 6, 8)["spark.sql.shuffle.partitions"]) == 16
