@@ -113,3 +113,40 @@ def write_version(df: DataFrame, table_root: str, fmt: str = "parquet") -> str:
     path = f"{table_root.rstrip('/')}/v-{uuid.uuid4().hex}"
     df.write.format(fmt).mode("errorifexists").save(path)
     return path
+
+
+# Co-location layout: tables joined on the same key share a bucket count and
+# bucket column, so those joins (and the per-key pre-aggregations before
+# them) read matching buckets without a shuffle.
+BUCKET_KEYS: dict[str, str] = {
+    "SalesOrder": "OrderID",
+    "OrderDetail": "OrderID",
+    "Product": "ProductID",
+    "InventoryStock": "ProductID",
+}
+
+
+def save_bucketed(t: Tables, database: str, buckets: int, location: str,
+                  mode: str = "errorifexists") -> list[str]:
+    """Write the model as catalog tables, the large ones bucketed on their join key.
+
+    SalesOrder and OrderDetail are bucketed (and sorted) by OrderID; Product
+    and InventoryStock by ProductID; the small dimensions are plain tables.
+    ``location`` is the shared folder the files go to (external tables).
+    """
+    spark = t.product.sparkSession
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    names = []
+    for name, df in t.items():
+        writer = df.write.mode(mode).format("parquet").option("path", f"{location.rstrip('/')}/{name}")
+        key = BUCKET_KEYS.get(name)
+        if key and key in df.columns:
+            writer = writer.bucketBy(buckets, key).sortBy(key)
+        writer.saveAsTable(f"{database}.{name}")
+        names.append(f"{database}.{name}")
+    return names
+
+
+def load_tables(spark: SparkSession, database: str) -> Tables:
+    """The model from catalog tables (bucketing metadata included), read on first use."""
+    return Tables(**{_FIELD_OF[name]: (lambda n=name: spark.table(f"{database}.{n}")) for name in TABLE_NAMES})
