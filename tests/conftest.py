@@ -19,6 +19,7 @@ def spark():
 
     session = build_session("local[*]", 8, app_name="shelfmark-tests", extra={
         "spark.checkpoint.dir": tempfile.mkdtemp(prefix="shelfmark-test-ckpt-"),
+        "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="shelfmark-test-warehouse-"),
         "spark.sql.autoBroadcastJoinThreshold": "10485760",
     })
     yield session
