@@ -9,6 +9,7 @@ the driver tables by a Spark job:
 * stock counts: per day, the quantity on accepted-flag lines per
   (part, supplier region) - a daily count feed for W3 / ST1;
 * stock rows to load: per flag, quantities per (part, supplier region) (W7);
+* customers as suppliers: two unique keys colliding (W7, several keys);
 * discontinued products: no warehouse holds more than the reorder level (W4);
 * cancelled orders (W5).
 """
@@ -53,6 +54,20 @@ def new_orders_with_status(src: dict[str, DataFrame]) -> DataFrame:
     return src["customer"].select("c_custkey", F.col("c_name").alias("CustomerName"), status.alias("Status"))
 
 
+def customers_as_suppliers(src: dict[str, DataFrame]) -> DataFrame:
+    """Customers loaded as suppliers, in key order.
+
+    Two unique keys collide: the customer key against existing supplier ids,
+    and one contact address per market segment within the batch.
+    """
+    return src["customer"].select(
+        F.col("c_custkey").alias("seq"),
+        F.col("c_custkey").alias("SupplierID"),
+        F.col("c_name").alias("SupplierName"),
+        F.concat(F.lower("c_mktsegment"), F.lit("@example.com")).alias("ContactEmail"),
+    )
+
+
 def reorder_levels(t: Tables) -> DataFrame:
     return t.order_detail.groupBy("ProductID").agg(F.ceil(F.avg("Quantity")).cast("int").alias("ReorderLevel"))
 

@@ -321,6 +321,22 @@ SELECT ProductID, WarehouseID, QuantityOnHand, LastUpdated FROM (
     GROUP BY l_returnflag, l_partkey, n_regionkey) b
   WHERE NOT EXISTS (SELECT 1 FROM InventoryStock s
                     WHERE s.ProductID = b.ProductID AND s.WarehouseID = b.WarehouseID)) f
+WHERE rn = 1"""),
+    # Batch ids are unique, so only the address collides inside the batch:
+    # per address the earliest row that collides with no existing supplier wins.
+    "append_ignore_multi_key": with_model("""
+SELECT SupplierID, SupplierName, ContactEmail, Phone, City, Rating FROM dim_supplier
+UNION ALL
+SELECT SupplierID, SupplierName, ContactEmail, CAST(NULL AS VARCHAR) AS Phone, CAST(NULL AS VARCHAR) AS City,
+       CAST(5.0 AS DECIMAL(3,1)) AS Rating
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY ContactEmail ORDER BY seq) AS rn
+  FROM (
+    SELECT c_custkey AS seq, c_custkey AS SupplierID, c_name AS SupplierName,
+           lower(c_mktsegment) || '@example.com' AS ContactEmail
+    FROM customer) b
+  WHERE NOT EXISTS (SELECT 1 FROM dim_supplier s WHERE s.SupplierID = b.SupplierID)
+    AND NOT EXISTS (SELECT 1 FROM dim_supplier s WHERE s.ContactEmail = b.ContactEmail)) f
 WHERE rn = 1"""),
     "evolve_schema": with_model("""
 SELECT SupplierID, SupplierName, ContactEmail, Phone, City, CAST(5.0 AS DECIMAL(3,1)) AS Rating

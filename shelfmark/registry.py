@@ -104,6 +104,12 @@ def _append_ignore(src, t):
                                  order_by=["flag", "ProductID", "WarehouseID"]).table
 
 
+def _append_ignore_multi_key(src, t):
+    return changes.append_ignore(t.supplier, batches.customers_as_suppliers(src),
+                                 [("SupplierID",), ("ContactEmail",)], order_by=["seq"],
+                                 defaults=schemas.DEFAULTS["Supplier"]).table
+
+
 def _evolve_schema(src, t):
     return changes.evolve(t.supplier.drop("Rating"), "Rating", "decimal(3,1)", Decimal("5.0"))
 
@@ -166,6 +172,7 @@ OPERATOR_QUERIES: dict[str, QueryFn] = {
     "delete_products": _with_sources(_delete_products),
     "delete_orders": _with_sources(_delete_orders),
     "append_ignore": _with_sources(_append_ignore),
+    "append_ignore_multi_key": _with_sources(_append_ignore_multi_key),
     "evolve_schema": _with_sources(_evolve_schema),
     "check_unique": _on_model(quality.unique_summary),
     "check_foreign_key": _on_model(quality.foreign_key_summary),
