@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from shelfmark import schemas
 from shelfmark.functions import columns as C
+from shelfmark.operators.joins import skew_join
 from shelfmark.operators.keys import latest_per_key, sequential_keys
 from shelfmark.session import checkpoint_dir
 from shelfmark.sources.tables import Tables
@@ -133,8 +134,8 @@ def delete_products(t: Tables, ids: DataFrame) -> Tables:
     """
     gone = ids.select("ProductID").distinct()
     return t.replace(
-        order_detail=t.order_detail.join(gone, "ProductID", "left_anti"),
-        stock=t.stock.join(gone, "ProductID", "left_anti"),
+        order_detail=skew_join(t.order_detail, gone, ["ProductID"], "left_anti"),
+        stock=skew_join(t.stock, gone, ["ProductID"], "left_anti"),
         product=t.product.join(gone, "ProductID", "left_anti"),
     )
 
@@ -143,7 +144,7 @@ def delete_orders(t: Tables, ids: DataFrame) -> Tables:
     """Remove orders with their lines; stock is not given back."""
     gone = ids.select("OrderID").distinct()
     return t.replace(
-        order_detail=t.order_detail.join(gone, "OrderID", "left_anti"),
+        order_detail=skew_join(t.order_detail, gone, ["OrderID"], "left_anti"),
         sales_order=t.sales_order.join(gone, "OrderID", "left_anti"),
     )
 
@@ -193,9 +194,14 @@ def _not_null(cols: Sequence[str]) -> Column:
 
 
 def _drop_colliding(rows: DataFrame, other: DataFrame, unique_keys: Sequence[Sequence[str]]) -> DataFrame:
-    # Distinct keys on the probe side: repeated keys cannot pile up in one task.
-    for k in unique_keys:
-        rows = rows.join(other.select(*k).where(_not_null(k)).distinct(), list(k), "left_anti")
+    # Distinct keys on the probe side; a key repeated in ``rows`` is split out.
+    # skew_join reads its input twice (hot and cold branch), so with several
+    # keys the rows are checkpointed between keys instead of nesting plans.
+    for i, k in enumerate(unique_keys):
+        rows = skew_join(rows, other.select(*k).where(_not_null(k)).distinct(), list(k), "left_anti")
+        if i < len(unique_keys) - 1:
+            checkpoint_dir(rows.sparkSession)
+            rows = rows.checkpoint(eager=True)
     return rows
 
 
@@ -255,7 +261,7 @@ def _first_wins_multi(cand: DataFrame, unique_keys: Sequence[Sequence[str]], ord
         for i, k in enumerate(unique_keys):
             mins = (undecided.where(_not_null(k)).groupBy(*k)
                     .agg(F.min(rank).alias(f"_min{i}")))
-            flagged = flagged.join(mins, list(k), "left")
+            flagged = skew_join(flagged, mins, list(k), "left").checkpoint(eager=True)
             earliest = earliest & (F.col(f"_min{i}").isNull() | (rank == F.col(f"_min{i}")))
         winners = flagged.where(earliest).select(*undecided.columns).checkpoint(eager=True)
         accepted = winners if accepted is None else accepted.unionByName(winners)

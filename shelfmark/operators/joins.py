@@ -1,0 +1,65 @@
+"""Joins that stay balanced when one key holds a large share of the rows.
+
+AQE splits a skewed sort-merge partition only when both join inputs are
+plain shuffles. When the small side is an aggregate (a name index, a set of
+distinct keys), its partitioning is reused for the join and a hot key on the
+big side lands in one task. ``skew_join`` splits such keys out explicitly:
+
+1. a seeded sample of the big side's keys finds the hot keys (each above
+   ``min_share`` of the sample), at most ``max_hot`` of them (the hot set is
+   bounded by construction, so broadcasting it is safe);
+2. big rows with a hot key join the matching small rows by broadcast (the
+   small side has at most one row per key, so at most ``max_hot`` rows);
+3. all other rows join by the normal (sort-merge) plan.
+
+Every big row goes through exactly one branch, so the result equals the
+plain join for any hot set: the sample only routes rows, it never drops or
+caps any. The hot set is computed once per query (identical broadcast
+exchanges are reused) and is deterministic for a given input (fixed seed).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SAMPLE_FRACTION = 0.01
+MIN_SHARE = 0.001
+MAX_HOT = 1000
+SEED = 17
+
+_HOWS = {"inner", "left", "left_outer", "left_semi", "left_anti"}
+
+
+def hot_keys(big: DataFrame, keys: Sequence[str], fraction: float = SAMPLE_FRACTION,
+             min_share: float = MIN_SHARE, max_hot: int = MAX_HOT) -> DataFrame:
+    """Keys holding at least ``min_share`` of a sample of ``big``; at most ``max_hot`` rows."""
+    present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    sample = big.select(*keys).where(present).sample(fraction=fraction, seed=SEED)
+    counts = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = sample.select(F.count(F.lit(1))).scalar()
+    return (counts.where(F.col("_n") >= F.greatest(F.lit(2), F.ceil(total * F.lit(min_share))))
+            .orderBy(F.desc("_n"), *keys).limit(max_hot).select(*keys))
+
+
+def skew_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str,
+              fraction: float = SAMPLE_FRACTION, min_share: float = MIN_SHARE,
+              max_hot: int = MAX_HOT) -> DataFrame:
+    """``big.join(small, keys, how)`` with hot keys of ``big`` joined by broadcast.
+
+    ``small`` must hold at most one row per key (an index, a distinct key
+    set); ``how`` is inner, left, left_semi or left_anti (the big side is the
+    left side).
+    """
+    if how not in _HOWS:
+        raise ValueError(f"unsupported join type {how!r}")
+    keys = list(keys)
+    hot = F.broadcast(hot_keys(big, keys, fraction, min_share, max_hot))
+    big_hot = big.join(hot, keys, "left_semi")
+    big_cold = big.join(hot, keys, "left_anti")
+    small_hot = small.join(hot, keys, "left_semi")
+    return (big_hot.join(F.broadcast(small_hot), keys, how)
+            .unionByName(big_cold.join(small, keys, how)))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.operators.joins import skew_join
 from shelfmark.sources.tables import Tables
 
 # Fixed values: (table field, key column, name column) of each dimension list.
@@ -23,7 +24,7 @@ DIMENSIONS: dict[str, tuple[str, str]] = {
 def rows_by_key(df: DataFrame, key: str, ids: int | DataFrame) -> DataFrame:
     """All columns of the rows with the given key(s)."""
     if isinstance(ids, DataFrame):
-        return df.join(ids.select(key).distinct(), key, "left_semi")
+        return skew_join(df, ids.select(key).distinct(), [key], "left_semi")
     return df.where(F.col(key) == F.lit(int(ids)))
 
 
@@ -52,7 +53,8 @@ def resolve_names(changes: DataFrame, dim: DataFrame, key: str, name: str,
     source = name_column or name
     if source != name:
         idx = idx.withColumnRenamed(name, source)
-    return changes.join(idx, source, "left")
+    # A name shared by a third of the change rows must not land in one task.
+    return skew_join(changes, idx, [source], "left")
 
 
 def names_for_keys(df: DataFrame, dim: DataFrame, key: str, name: str) -> DataFrame:
