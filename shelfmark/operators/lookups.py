@@ -24,7 +24,9 @@ DIMENSIONS: dict[str, tuple[str, str]] = {
 def rows_by_key(df: DataFrame, key: str, ids: int | DataFrame) -> DataFrame:
     """All columns of the rows with the given key(s)."""
     if isinstance(ids, DataFrame):
-        return skew_join(df, ids.select(key).distinct(), [key], "left_semi")
+        # ``df`` is keyed by ``key`` (one row each), so only the ids side can
+        # repeat a key: distinct collapses repeats map-side.
+        return df.join(ids.select(key).distinct(), key, "left_semi")
     return df.where(F.col(key) == F.lit(int(ids)))
 
 

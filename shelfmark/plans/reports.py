@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from shelfmark import schemas
 from shelfmark.functions import columns as C
-from shelfmark.operators.joins import skew_join
 from shelfmark.plans.views import lines_by_product, product_revenue, stock_summary
 from shelfmark.sources.tables import Tables
 
@@ -269,7 +268,9 @@ def order_list(t: Tables, sort: bool = True) -> DataFrame:
 def _orders_filter(order_detail: DataFrame, orders: int | DataFrame) -> DataFrame:
     """Lines of one order id, or of every id in a DataFrame with an OrderID column."""
     if isinstance(orders, DataFrame):
-        return skew_join(order_detail, orders.select("OrderID").distinct(), ["OrderID"], "left_semi")
+        # A plain key projection on the right keeps the join AQE-splittable on
+        # the line side; repeated ids there do not change a semi join.
+        return order_detail.join(orders.select("OrderID"), "OrderID", "left_semi")
     return order_detail.where(F.col("OrderID") == F.lit(int(orders)))
 
 

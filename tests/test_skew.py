@@ -92,3 +92,23 @@ def test_skew_join_equals_plain_join_for_every_type(spark):
         want = sorted(big.join(small, ["k"], how).collect(), key=str)
         got = sorted(skew_join(big, small, ["k"], how, fraction=0.5).collect(), key=str)
         assert got == want, how
+
+
+def test_foreign_key_check_splits_a_hot_parent(spark):
+    from shelfmark.operators import quality
+
+    saved = {k: spark.conf.get(k, None) for k in SKEW_CONF}
+    for k, v in SKEW_CONF.items():
+        spark.conf.set(k, v)
+    try:
+        t = _skewed_tables(spark)
+        df = quality.check_foreign_key(t.order_detail, "ProductID", t.product, "ProductID")
+        assert df.collect() == []
+        final = df._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in final, final
+    finally:
+        for k, v in saved.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
