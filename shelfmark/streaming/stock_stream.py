@@ -85,9 +85,39 @@ def applied_changes(spark: SparkSession, applied_dir: str) -> DataFrame:
     return spark.read.schema(APPLIED_SCHEMA).parquet(applied_dir)
 
 
-def current_stock(spark: SparkSession, base_stock: DataFrame, applied_dir: str) -> ChangeResult:
-    """Base stock with every applied change (latest ``seq`` per key wins)."""
-    return update_stock(base_stock, applied_changes(spark, applied_dir).drop("epoch"), seq="seq")
+def current_stock(spark: SparkSession, base_stock: DataFrame, applied_dir: str,
+                  snapshot_dir: str | None = None) -> ChangeResult:
+    """Base stock with every applied change (latest ``seq`` per key wins).
+
+    With a ``snapshot_dir`` from ``compact_applied``, only epochs after the
+    snapshot are read from ``applied_dir`` (the cut-off is a scalar subquery,
+    nothing is collected); the result is the same either way.
+    """
+    changes = applied_changes(spark, applied_dir)
+    if snapshot_dir:
+        snap = applied_changes(spark, snapshot_dir)
+        newer = changes.where(F.col("epoch") > snap.select(F.max("epoch")).scalar())
+        changes = snap.unionByName(newer)
+    return update_stock(base_stock, changes.drop("epoch"), seq="seq")
+
+
+def compact_applied(spark: SparkSession, applied_dir: str, snapshot_dir: str,
+                    previous_snapshot: str | None = None) -> str:
+    """Collapse every epoch (and an earlier snapshot) into one snapshot folder.
+
+    The snapshot holds the latest change per key, stored as
+    ``{snapshot_dir}/epoch=<last epoch covered>``; epoch folders up to that
+    epoch are then no longer read. A new snapshot folder is written each
+    time; the caller switches to it once the write has finished.
+    """
+    changes = applied_changes(spark, applied_dir)
+    if previous_snapshot:
+        changes = changes.unionByName(applied_changes(spark, previous_snapshot))
+    covered = changes.select(F.max("epoch")).scalar()
+    latest = latest_changes(changes.drop("epoch"))
+    (latest.withColumn("epoch", covered).write.mode("errorifexists")
+     .partitionBy("epoch").parquet(snapshot_dir))
+    return snapshot_dir
 
 
 def live_reorder_alerts(spark: SparkSession, t: Tables, applied_dir: str) -> DataFrame:

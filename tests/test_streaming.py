@@ -67,3 +67,21 @@ def test_live_alerts_follow_the_stream(spark, seed):
                                          "ProductID", "WarehouseName")}
     assert (1, "Central Warehouse") in alerts
     assert (10, "North Hub") not in alerts
+
+
+def test_compacted_snapshot_gives_the_same_stock(spark, seed):
+    root = tempfile.mkdtemp(prefix="shelfmark-stream-")
+    d = dt.date
+    first = [(1, 2, 10, 50, d(2025, 5, 1)), (4, 1, 3, 7, d(2025, 5, 1))]
+    later = [(1, 2, 12, 44, d(2025, 5, 4)), (4, 1, 2, 99, d(2025, 4, 30)), (2, 3, 1, 5, d(2025, 5, 4))]
+    _changes(spark, first).coalesce(1).write.parquet(f"{root}/source/part=0")
+    st.start_stock_stream(spark, f"{root}/source/*", f"{root}/applied", f"{root}/ckpt").awaitTermination()
+    st.compact_applied(spark, f"{root}/applied", f"{root}/snap1")
+    _changes(spark, later).coalesce(1).write.parquet(f"{root}/source/part=1")
+    st.start_stock_stream(spark, f"{root}/source/*", f"{root}/applied", f"{root}/ckpt").awaitTermination()
+    with_snap = sorted(rows(st.current_stock(spark, seed.stock, f"{root}/applied", f"{root}/snap1").table))
+    without = sorted(rows(st.current_stock(spark, seed.stock, f"{root}/applied").table))
+    assert with_snap == without
+    got = {(r[0], r[1]): r[2] for r in rows(st.current_stock(spark, seed.stock, f"{root}/applied", f"{root}/snap1")
+                                            .table, "ProductID", "WarehouseID", "QuantityOnHand")}
+    assert got[(1, 2)] == 44 and got[(4, 1)] == 7 and got[(2, 3)] == 5
