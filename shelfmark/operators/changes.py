@@ -194,14 +194,11 @@ def _not_null(cols: Sequence[str]) -> Column:
 
 
 def _drop_colliding(rows: DataFrame, other: DataFrame, unique_keys: Sequence[Sequence[str]]) -> DataFrame:
-    # Distinct keys on the probe side; a key repeated in ``rows`` is split out.
-    # skew_join reads its input twice (hot and cold branch), so with several
-    # keys the rows are checkpointed between keys instead of nesting plans.
-    for i, k in enumerate(unique_keys):
-        rows = skew_join(rows, other.select(*k).where(_not_null(k)).distinct(), list(k), "left_anti")
-        if i < len(unique_keys) - 1:
-            checkpoint_dir(rows.sparkSession)
-            rows = rows.checkpoint(eager=True)
+    # Plain key projections on the probe side keep both join inputs plain
+    # shuffles, so AQE can split a key value that many rows share; repeated
+    # keys in ``other`` do not change an anti join.
+    for k in unique_keys:
+        rows = rows.join(other.select(*k).where(_not_null(k)), list(k), "left_anti")
     return rows
 
 
@@ -248,8 +245,13 @@ def _first_wins_multi(cand: DataFrame, unique_keys: Sequence[Sequence[str]], ord
     keys (such a row cannot collide with anything accepted before it), then
     drops undecided rows that collide with a newly accepted row (those are
     later on the shared key). The earliest undecided row always wins, so
-    every round makes progress. Per-key minima are aggregates (map-side
-    combined), not windows, so a hot key does not land in one task.
+    every round makes progress.
+
+    "Earliest on key k" is found without joining on k: the minimum rank per
+    key value is an aggregate (map-side combined), and the ranks themselves
+    (the unique ``order`` columns) are joined back, one row per rank, so that
+    join is balanced whatever the key distribution. Collision removal is an
+    anti join on plain key projections, which AQE can split.
     """
     checkpoint_dir(cand.sparkSession)
     rank = F.struct(*[F.col(c) for c in order])
@@ -259,11 +261,14 @@ def _first_wins_multi(cand: DataFrame, unique_keys: Sequence[Sequence[str]], ord
         flagged = undecided
         earliest = F.lit(True)
         for i, k in enumerate(unique_keys):
-            mins = (undecided.where(_not_null(k)).groupBy(*k)
-                    .agg(F.min(rank).alias(f"_min{i}")))
-            flagged = skew_join(flagged, mins, list(k), "left").checkpoint(eager=True)
-            earliest = earliest & (F.col(f"_min{i}").isNull() | (rank == F.col(f"_min{i}")))
+            firsts = (undecided.where(_not_null(k)).groupBy(*k).agg(F.min(rank).alias("_r"))
+                      .select(*[F.col(f"_r.{c}").alias(c) for c in order])
+                      .withColumn(f"_first{i}", F.lit(True)))
+            flagged = flagged.join(firsts, order, "left")
+            earliest = earliest & (~_not_null(k) | F.col(f"_first{i}").isNotNull())
         winners = flagged.where(earliest).select(*undecided.columns).checkpoint(eager=True)
+        if winners.isEmpty():
+            raise ValueError("order_by columns must be non-NULL and unique per batch row")
         accepted = winners if accepted is None else accepted.unionByName(winners)
         rest = undecided.join(winners.select(*order), order, "left_anti")
         undecided = _drop_colliding(rest, winners, unique_keys).checkpoint(eager=True)
