@@ -73,3 +73,20 @@ def test_sequential_keys_are_stable_across_recomputation(spark):
     first = sorted(rows(keyed, "o", "k"))
     assert first == sorted(rows(keyed, "o", "k"))
     assert all(o + 1 == k for o, k in first)
+
+
+@pytest.mark.parametrize("seed_no", range(3))
+def test_latest_per_key_matches_python(spark, seed_no):
+    rnd = random.Random(100 + seed_no)
+    data = [(rnd.randint(0, 5), rnd.randint(0, 20), rnd.randint(0, 3), rnd.choice(["a", "b", None]))
+            for _ in range(300)]
+    df = spark.createDataFrame(data, "k long, seq long, v long, w string")
+    for first in (False, True):
+        want = {}
+        for k, seq, v, w in data:
+            cand = (seq, v, w or "")
+            cur = want.get(k)
+            if cur is None or (cand < cur if first else cand > cur):
+                want[k] = cand
+        got = {r[0]: (r[1], r[2], r[3] or "") for r in rows(latest_per_key(df, ["k"], ["seq"], first=first))}
+        assert got == want
