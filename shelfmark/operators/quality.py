@@ -134,6 +134,20 @@ def length_summary(t: Tables) -> DataFrame:
     return _union(rows)
 
 
+def decimal_summary(t: Tables) -> DataFrame:
+    """Per DECIMAL(p, s) column, values that do not fit the declared type."""
+    rows = []
+    for name, limits in schemas.DECIMAL_LIMITS.items():
+        df = t.by_name(name)
+        for c, (p, sc) in limits.items():
+            if c not in df.columns:
+                continue
+            bad = check_decimal(df, c, p, sc)
+            rows.append(bad.agg(F.count(F.lit(1)).alias("violations")).select(
+                F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), "violations"))
+    return _union(rows)
+
+
 def report(t: Tables) -> DataFrame:
     """All checks C1-C5 as one table: (check_name, table_name, detail, violations)."""
     parts = [

@@ -183,6 +183,9 @@ OPERATOR_QUERIES: dict[str, QueryFn] = {
     "check_not_null": _on_model(quality.not_null_summary),
     "check_values": _on_model(quality.values_summary),
     "check_length": _on_model(quality.length_summary),
+    "check_decimal": _on_model(quality.decimal_summary),
+    "kpi_display": _on_model(reports.kpi_display),
+    "catalogue_count": _on_model(lambda t: reports.catalogue_count(t, "a", 500, 5000)),
     "product_lookup": _with_sources(_product_lookup),
     "dimension_products": _with_sources(_dimension_products),
     "resolve_names": _with_sources(_resolve_names),
