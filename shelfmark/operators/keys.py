@@ -45,8 +45,10 @@ def sequential_keys(df: DataFrame, order_by: Sequence[str], start: Column, name:
        number of partitions.
     """
     checkpoint_dir(df.sparkSession)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by).checkpoint(eager=True)
+    # Without an explicit count AQE sizes the ranges (coalescing adjacent
+    # ranges keeps them in order); the checkpoint then fixes that layout.
+    ranged = (df.repartitionByRange(partitions, *order_by) if partitions else df.repartitionByRange(*order_by))
+    ranged = ranged.sortWithinPartitions(*order_by).checkpoint(eager=True)
     placed = ranged.select(
         "*",
         F.spark_partition_id().alias("_range"),
