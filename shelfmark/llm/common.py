@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +18,31 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
 
+@functools.lru_cache(maxsize=None)
+def _package_zip() -> str:
+    package = Path(__file__).resolve().parents[1]
+    return shutil.make_archive(f"{tempfile.mkdtemp(prefix='shelfmark-')}/shelfmark-package", "zip", package.parent, package.name)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python workers import it (once for each application)."""
+    sc = spark.sparkContext
+    if _shipped.get("application") != sc.applicationId:
+        sc.addPyFile(_package_zip())
+        _shipped["application"] = sc.applicationId
+
+
+_shipped: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_rows(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the whole ``text`` (null: empty); every other column is left behind."""
+    ship_package(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 

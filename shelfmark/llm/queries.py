@@ -11,21 +11,39 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe_automaton
+from shelfmark.llm import bpe_automaton, exact_dedup, window_packing
 from shelfmark.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_documents(table(spark, sf_dir, "documents"),
                                           public_tokenizers.path("byte_bpe_50k.json"), keep=False)
 
 
+def op10_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+
+
+OP2_SQL = """
+WITH rows AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents
+)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
+FROM rows WINDOW same AS (PARTITION BY norm)
+"""
+
+
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op4_bpe_automaton,)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_bpe_automaton, op10_window_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express at this speed; tests hold the others against brute force."""
-    return {}
+    return {"op2_exact_dedup": OP2_SQL}
