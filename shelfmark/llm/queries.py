@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe_automaton, exact_dedup, window_packing
+from shelfmark.llm import bpe_automaton, exact_dedup, lang_crossparse, simhash_pivots, window_packing
 from shelfmark.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,16 @@ def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           public_tokenizers.path("byte_bpe_50k.json"), keep=False)
 
 
+def op7_lang_crossparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = lang_crossparse.is_held_out(F.col("doc_id"))
+    return lang_crossparse.predict(docs, lang_crossparse.samples(docs, ~held_out), held_out)
+
+
+def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_pivots.components(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+
+
 def op10_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
@@ -41,7 +52,8 @@ FROM rows WINDOW same AS (PARTITION BY norm)
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_bpe_automaton, op10_window_packing)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_bpe_automaton, op7_lang_crossparse, op9_simhash_pivots,
+                                     op10_window_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
