@@ -12,7 +12,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe_automaton, exact_dedup, lang_crossparse, simhash_pivots, window_packing
+from shelfmark.llm import (
+    bpe_automaton,
+    exact_dedup,
+    lang_crossparse,
+    quality_gam,
+    secret_grammar,
+    simhash_pivots,
+    window_packing,
+)
 from shelfmark.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -27,12 +35,22 @@ def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           public_tokenizers.path("byte_bpe_50k.json"), keep=False)
 
 
+def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), quality_gam.is_held_out(F.col("doc_id"))
+    return quality_gam.score(docs, quality_gam.learn(docs, table(spark, sf_dir, "labels"), ~held_out), held_out)
+
+
 def op7_lang_crossparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = lang_crossparse.is_held_out(F.col("doc_id"))
     return lang_crossparse.predict(docs, lang_crossparse.samples(docs, ~held_out), held_out)
 
 
+def op8_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_grammar.scan(docs, secret_grammar.learn(docs))
+
+
 def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.components(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
@@ -52,7 +70,8 @@ FROM rows WINDOW same AS (PARTITION BY norm)
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_bpe_automaton, op7_lang_crossparse, op9_simhash_pivots,
+    return {f.__name__: f for f in (op2_exact_dedup, op4_bpe_automaton, op5_quality_gam, op7_lang_crossparse,
+                                     op8_secret_grammar, op9_simhash_pivots,
                                      op10_window_packing)}
 
 
