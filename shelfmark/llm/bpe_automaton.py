@@ -378,7 +378,7 @@ def encode_documents(docs: DataFrame, path: str, keep: bool = True) -> DataFrame
                        "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
                        "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in plain]}
                 if keep:
-                    out |= {"ids": [np.frombuffer(x, "<u4").astype(np.int64) for x in ids], "decoded": plain}
+                    out |= {"ids": pd.Series([np.frombuffer(x, "<u4").astype(np.int64) for x in ids], dtype=object).to_numpy(), "decoded": plain}
                 yield pd.DataFrame(out)
 
     return text_rows(docs).mapInPandas(run, schema)

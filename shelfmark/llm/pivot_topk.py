@@ -177,7 +177,7 @@ def _search(placed: DataFrame, queries: DataFrame, index: Index, k: int, rest: b
                 least = frame["least"].to_numpy(float)
                 go = ~go & (np.isnan(least)[:, None] | (bounds >= least[:, None]))
             row, annulus = np.nonzero(go)
-            yield pd.DataFrame({"query_id": frame["query_id"].to_numpy()[row], "q": [frame["x"].iloc[i] for i in row], "annulus": annulus})
+            yield pd.DataFrame({"query_id": frame["query_id"].to_numpy()[row], "q": frame["x"].take(row).to_numpy(), "annulus": annulus})
 
     asked = written(queries.mapInPandas(visits, "query_id long, q array<long>, annulus long"), "visits")
     # a row for each annulus: at most PIVOTS * RINGS
@@ -196,7 +196,7 @@ def _search(placed: DataFrame, queries: DataFrame, index: Index, k: int, rest: b
             row = np.repeat(np.arange(len(frame)), times)
             turn = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
             ids = frame["vec_id"].to_numpy()
-            yield pd.DataFrame({"vec_id": ids[row], "x": [frame["x"].iloc[i] for i in row], "annulus": at[row],
+            yield pd.DataFrame({"vec_id": ids[row], "x": frame["x"].take(row).to_numpy(), "annulus": at[row],
                                 "part": (ids % parts[at])[row], "asking": turn})
 
     def spread_queries(frames):
@@ -207,7 +207,7 @@ def _search(placed: DataFrame, queries: DataFrame, index: Index, k: int, rest: b
             row = np.repeat(np.arange(len(frame)), times)
             turn = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
             ids = frame["query_id"].to_numpy()
-            yield pd.DataFrame({"query_id": ids[row], "q": [frame["q"].iloc[i] for i in row], "annulus": at[row],
+            yield pd.DataFrame({"query_id": ids[row], "q": frame["q"].take(row).to_numpy(), "annulus": at[row],
                                 "part": turn, "asking": (ids // 100 % np.maximum(1, asking[at]))[row]})
 
     def best(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:

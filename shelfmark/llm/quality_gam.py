@@ -190,7 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame, teaches: Column, label: str = "qua
 
     def run(frames):
         for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "y": frame["y"], "x": [features(t) for t in frame["text"]]})
+            yield pd.DataFrame({"id": frame["id"], "y": frame["y"], "x": pd.Series([features(t) for t in frame["text"]], dtype=object).to_numpy()})
 
     # repeated documents teach once
     found = rows.mapInPandas(run, "id long, y double, x array<double>").groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")).orderBy("id").toPandas()

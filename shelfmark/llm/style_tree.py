@@ -1,7 +1,8 @@
 """Main-text extraction by a site style tree (operator 6).
 
 The block elements of all pages of a host are merged into one tree: a style
-node is an element's path of tags, classes and ids. Its importance combines,
+node is an element's path of tags, classes and ids (and the place among like
+elements, but for paragraphs and lists). Its importance combines,
 as in the site style tree method,
 
 * presentation: the entropy (base: number of pages) of its child sequences;
@@ -46,6 +47,8 @@ LEAST_PAGES = 10
 #: Importance under which a branch goes: inside an article, and outside of one.
 LOW_INSIDE, LOW_OUTSIDE = 0.3, 0.6
 GAMMA, DEPTH = 0.9, 64
+#: Like elements under one parent that are told apart; the rest share a node.
+ALIKE = 16
 
 #: Fixed lists of HTML element names.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -75,13 +78,19 @@ class Page:
         self.elements: list[tuple[int, int, str, bool, bool]] = [(0, -1, "", False, False)]
         self.children: list[list[int]] = [[]]
         self.blocks: list[tuple[int, str]] = []  # element, text
+        self.alike: dict[tuple[int, str], int] = {}
         self._read(source)
 
     def _open(self, name: str, attributes: str, parent: int) -> int:
         _, _, _, noise, article = self.elements[parent]
         words = [w for m in _names.finditer(attributes) for w in _split.split((m[1] or m[2] or m[3] or "").lower()) if w] if "=" in attributes else []
         own = name in HIDDEN or any(w in NOISE for w in words) or (name == "header" and not article)
-        path = xxhash.xxh64_intdigest(f"{self.elements[parent][0]}>{name}.{'.'.join(words)}", 0) >> 1
+        style = f"{self.elements[parent][0]}>{name}.{'.'.join(words)}"
+        if name not in CONTENT:
+            # like elements beside each other are nodes of their own
+            n = self.alike[parent, style] = self.alike.get((parent, style), -1) + 1
+            style += f"#{min(n, ALIKE)}"
+        path = xxhash.xxh64_intdigest(style, 0) >> 1
         self.elements.append((path, parent, name, noise or own, article or name in ("article", "main")))
         self.children.append([])
         self.children[parent].append(path)

@@ -181,6 +181,6 @@ def pack(docs: DataFrame, path: str, window: int = 2048, open_windows: int = 64,
 
     def as_longs(frames):
         for frame in frames:
-            yield frame.assign(ids=[np.frombuffer(x, "<u4").astype(np.int64) for x in frame["ids"]])
+            yield frame.assign(ids=pd.Series([np.frombuffer(x, "<u4").astype(np.int64) for x in frame["ids"]], dtype=object).to_numpy())
 
     return done.drop("task").mapInPandas(as_longs, PIECE + ", ids array<long>")
