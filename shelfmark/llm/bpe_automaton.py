@@ -25,7 +25,6 @@ one, so ties, repeated rows and empty tables need no rule.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
@@ -37,17 +36,17 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from shelfmark.llm.common import text_rows
+from shelfmark.llm.common import text_rows, worker_model
 
 NO_MERGE = 2**31 - 1
-DEAD, ROOT = 0, 1
+ROOT = 1
 #: Remembered (state, label) arcs; a power of two. Older ones are overwritten and looked up again.
-ARC_SLOTS = 1 << 21
+ARC_SLOTS = 1 << 20
 #: Bytes of symbols whose words take their steps together.
 STEP_CELLS = 4_000_000
 #: Chunks remembered by a worker, and their code points; beyond either the memory starts anew.
-CACHED_CHUNKS = 300_000
-CACHED_CHARS = 20_000_000
+CACHED_CHUNKS = 200_000
+CACHED_CHARS = 10_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -125,9 +124,21 @@ class MergeAutomaton:
             for s in symbols:
                 at = nodes.setdefault((at, s), len(nodes) + 2)
             token[at] = t
-        self.step = np.zeros((len(nodes) + 2, self.symbols), np.int32)
+        # transition table: a node's row spans its least to its greatest symbol; entries name the row's node
+        arcs: dict[int, list[tuple[int, int]]] = {}
         for (at, s), to in nodes.items():
-            self.step[at, s] = to
+            arcs.setdefault(at, []).append((s, to))
+        spans = {at: (min(own)[0], max(own)[0]) for at, own in arcs.items()}
+        size = sum(b - a + 1 for a, b in spans.values()) + 2 * self.symbols
+        self.base = np.zeros(len(nodes) + 2, np.int32)
+        self.owner, self.target = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        end = self.symbols
+        for at, own in arcs.items():
+            low, high = spans[at]
+            self.base[at] = end - low
+            for s, to in own:
+                self.owner[end - low + s], self.target[end - low + s] = at, to
+            end += high - low + 1
         self.token_at = np.full(len(nodes) + 2, -1, np.int64)
         self.token_at[list(token)] = list(token.values())
 
@@ -199,9 +210,9 @@ class MergeAutomaton:
             at = np.arange(int(np.searchsorted(n, j, "right")), len(words))
             node = np.full(len(at), ROOT, np.int32)
             for k in range(j, width):
-                node = self.step[node, symbols[at, k]]
-                alive = node != DEAD
-                at, node = at[alive], node[alive]
+                place = self.base[node] + symbols[at, k]
+                alive = self.owner[place] == node
+                at, node = at[alive], self.target[place[alive]]
                 if not len(at):
                     break
                 t = self.token_at[node]
@@ -252,7 +263,8 @@ class TextCoder:
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = MergeAutomaton(model["vocab"], merges, end)
         self.keeps_space = not end
-        tok = Tokenizer.from_file(path)
+        # the library reads its own normalizer and pre-tokenizer; its vocabulary is not needed
+        tok = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "model": model | {"vocab": {}, "merges": []}}))
         self.normalizer, self.pre_tokenizer = tok.normalizer, tok.pre_tokenizer
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -340,13 +352,12 @@ class TextCoder:
         return b"".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
 def coder(path: str) -> TextCoder:
-    """One compiled coder for each file and worker process."""
-    return TextCoder(path)
+    """The compiled coder of a file, held by the worker process."""
+    return worker_model(("coder", path), lambda: TextCoder(path))
 
 
-def batches(texts: list[str], chars: int = 8_000_000) -> Iterator[slice]:
+def batches(texts: list[str], chars: int = 2_000_000) -> Iterator[slice]:
     """Slices of about ``chars`` code points each (a longer text has a slice of its own)."""
     begin = size = 0
     for i, t in enumerate(texts):

@@ -57,6 +57,17 @@ def crc_bucket(doc_id: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")), F.lit(buckets))
 
 
+_held: dict = {}
+
+
+def worker_model(key, build):
+    """The model that a Python worker holds. A worker serves one operator after the other, so another model takes its place."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder (``spark.checkpoint.dir``) and read back.
 

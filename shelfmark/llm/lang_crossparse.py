@@ -26,7 +26,6 @@ returned unchanged (``keep_documents``).
 
 from __future__ import annotations
 
-import functools
 import itertools
 import math
 import re
@@ -36,13 +35,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import crc_bucket, ship_package
+from shelfmark.llm.common import crc_bucket, ship_package, worker_model
 
-SAMPLE_CHARS = 60_000
+SAMPLE_CHARS = 40_000
 MAX_LANGUAGES = 64
 UNKNOWN = "und"
 #: Words remembered by a worker; beyond, the memory starts anew. Longer words are not remembered.
-CACHED_WORDS, CACHED_LENGTH = 400_000, 64
+CACHED_WORDS, CACHED_LENGTH = 200_000, 64
 
 _word = re.compile(r"[^\W\d_]+")
 
@@ -135,9 +134,8 @@ class Model:
         return langs, scores
 
 
-@functools.lru_cache(maxsize=2)
 def _model(samples: tuple[tuple[str, str], ...]) -> Model:
-    return Model(samples)
+    return worker_model(("languages", samples), lambda: Model(samples))
 
 
 def samples(docs: DataFrame, teaches: Column, sample_chars: int = SAMPLE_CHARS, max_languages: int = MAX_LANGUAGES) -> tuple[tuple[str, str], ...]:
