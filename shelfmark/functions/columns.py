@@ -25,14 +25,22 @@ def cents(price: str | Column = "SalePrice") -> Column:
     return (col(price) * 100).cast("long")
 
 
-def line_cents(quantity: str | Column = "Quantity", price: str | Column = "SalePrice") -> Column:
-    """Quantity * SalePrice in whole cents.
+#: Limb of a price in cents: quantity times a limb stays far inside a long.
+LIMB = 100_000
 
-    Summing longs keeps the per-line work on the fast fixed-width path; a sum
-    of decimal(21,2) line totals falls back to arbitrary-precision objects
-    for every row. ANSI mode raises on overflow instead of wrapping.
+
+def line_cents_sum(quantity: str | Column = "Quantity", price: str | Column = "SalePrice") -> Column:
+    """Sum of Quantity * SalePrice in whole cents, as decimal(38,0).
+
+    The price is split into two limbs whose products are summed as longs, so
+    the per-line work stays on the fast fixed-width path, and the sums are put
+    together once per group. A single product or the sum of cents in one long
+    would overflow; from the second level up the sums are decimal.
     """
-    return cents(price) * col(quantity)
+    c, q = cents(price), col(quantity).cast("long")
+    high = F.sum(F.call_function("div", c, F.lit(LIMB).cast("long")) * q)
+    low = F.sum((c % LIMB) * q)
+    return (high.cast("decimal(38,0)") * LIMB + low).cast("decimal(38,0)")
 
 
 def money_from_cents(total_cents: str | Column) -> Column:
@@ -77,5 +85,8 @@ def thousands(c: str | Column, decimals: int = 0) -> Column:
 
 
 def half_up_div(total: Column, count: Column, scale_type: str = "decimal(10,2)") -> Column:
-    """Exact decimal division, rounded half up by the cast."""
-    return (total / count).cast(scale_type)
+    """Exact division of money by a count, rounded half up once, in whole cents."""
+    total_cents = (F.abs(total) * 100).cast("decimal(38,0)")
+    n = count.cast("decimal(20,0)")
+    rounded = F.call_function("div", total_cents * 2 + n, n * 2)
+    return (F.signum(total).cast("int") * rounded / F.lit(100).cast("decimal(3,0)")).cast(scale_type)

@@ -65,12 +65,12 @@ def _category_lines(t: Tables) -> DataFrame:
 
 
 def category_revenue(t: Tables, min_revenue: float | int | None = 10000, sort: bool = True) -> DataFrame:
-    """R4 (Q2): per category: distinct products, units, revenue, mean sale price.
+    """R4 (Q2): per category: products (the lines are grouped per product, so a plain count), units, revenue, mean sale price.
 
     ``min_revenue`` is the HAVING threshold (strictly greater); None keeps all.
     """
     out = _category_lines(t).groupBy("CategoryName").agg(
-        F.count_distinct("ProductID").alias("TotalProducts"),
+        F.count("ProductID").alias("TotalProducts"),
         C.units_sum("_units").alias("TotalUnitsSold"),
         C.money_from_cents(F.sum("_revenue_cents")).alias("TotalRevenue"),
         C.mean_from_cents(F.sum("_price_cents"), F.sum("_price_n")).alias("AvgPrice"),
@@ -83,7 +83,7 @@ def category_revenue(t: Tables, min_revenue: float | int | None = 10000, sort: b
 def category_revenue_page(t: Tables, min_revenue: float | int | None = 0, sort: bool = True) -> DataFrame:
     """The page form of R4: threshold 0 and no mean price."""
     out = _category_lines(t).groupBy("CategoryName").agg(
-        F.count_distinct("ProductID").alias("Products"),
+        F.count("ProductID").alias("Products"),
         C.units_sum("_units").alias("UnitsSold"),
         C.money_from_cents(F.sum("_revenue_cents")).alias("Revenue"),
     )
@@ -114,7 +114,7 @@ def _open_order_lines_by_month(t: Tables) -> DataFrame:
     """Non-cancelled orders with their lines grouped per order first."""
     per_order = t.order_detail.groupBy("OrderID").agg(
         F.sum("Quantity").alias("_units"),
-        F.sum(C.line_cents()).alias("_revenue_cents"),
+        C.line_cents_sum().alias("_revenue_cents"),
     )
     orders = t.sales_order.where(F.col("Status") != CANCELLED).select(
         "OrderID", C.month_start("OrderDate").alias("_month"))
@@ -169,9 +169,9 @@ def _search_filter(term: str | None, min_price, max_price, escape: bool) -> Colu
     return cond
 
 
-def product_search(t: Tables, term: str = "a", min_price=500, max_price=5000,
+def product_search(t: Tables, term: str = "", min_price=None, max_price=None,
                    escape: bool = False, sort: bool = True) -> DataFrame:
-    """R8 (Q5): case-insensitive name match (T1) and an inclusive price range."""
+    """R8 (Q5): case-insensitive name match (T1) and an inclusive price range; a bound left out is none."""
     out = _product_dims(t).where(_search_filter(term, min_price, max_price, escape)).select(
         "ProductName", "CategoryName", "UnitPrice", "SupplierName")
     return _sorted(out, sort, "UnitPrice", "ProductName", "SupplierName")
@@ -214,7 +214,7 @@ def kpis(t: Tables) -> DataFrame:
     """
     alerts = reorder_alerts(t, sort=False)
     return t.order_detail.agg(
-        F.coalesce(C.money_from_cents(F.sum(C.line_cents())), F.lit(0).cast(C.MONEY_SUM)).alias("TotalRevenue")
+        F.coalesce(C.money_from_cents(C.line_cents_sum()), F.lit(0).cast(C.MONEY_SUM)).alias("TotalRevenue")
     ).select(
         t.product.select(F.count(F.lit(1))).scalar().alias("TotalProducts"),
         t.sales_order.select(F.count(F.lit(1))).scalar().alias("TotalOrders"),
@@ -253,7 +253,7 @@ def order_list(t: Tables, sort: bool = True) -> DataFrame:
     """
     per_order = t.order_detail.groupBy("OrderID").agg(
         F.count(F.lit(1)).alias("_items"),
-        F.sum(C.line_cents()).alias("_value_cents"),
+        C.line_cents_sum().alias("_value_cents"),
     )
     out = (
         t.sales_order.select("OrderID", "CustomerName", "OrderDate", "Status")
@@ -287,7 +287,7 @@ def order_total(t: Tables, orders: int | DataFrame) -> DataFrame:
     return (
         lines.join(t.product.select("ProductID"), "ProductID")
         .groupBy("OrderID")
-        .agg(C.money_from_cents(F.sum(C.line_cents())).alias("OrderTotal"))
+        .agg(C.money_from_cents(C.line_cents_sum()).alias("OrderTotal"))
     )
 
 

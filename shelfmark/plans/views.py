@@ -46,7 +46,7 @@ def lines_by_product(order_detail: DataFrame) -> DataFrame:
     return order_detail.groupBy("ProductID").agg(
         F.count(F.lit(1)).alias("_lines"),
         F.sum("Quantity").alias("_units"),
-        F.sum(C.line_cents()).alias("_revenue_cents"),
+        C.line_cents_sum().alias("_revenue_cents"),
         F.sum(C.cents("SalePrice")).alias("_price_cents"),
         F.count("SalePrice").alias("_price_n"),
     )

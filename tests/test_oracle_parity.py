@@ -75,7 +75,7 @@ def _plan(df) -> str:
 
 
 def test_plans_push_down_and_stay_jvm_side(model):
-    plan = _plan(reports.product_search(model))
+    plan = _plan(reports.product_search(model, "a", 500, 5000))
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
     for name, fn in entry.queries().items():
         if name == "stock_stream":
