@@ -11,6 +11,7 @@ from __future__ import annotations
 import dataclasses
 import datetime as _dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,6 @@ from pyspark.sql import types as T
 
 from shelfmark import schemas
 from shelfmark.functions import columns as C
-from shelfmark.operators.joins import skew_join
 from shelfmark.operators.keys import latest_per_key, sequential_keys
 from shelfmark.session import checkpoint_dir
 from shelfmark.sources.tables import Tables
@@ -127,24 +127,33 @@ def update_stock(stock: DataFrame, changes: DataFrame, as_of: _dt.date | str | N
     return ChangeResult(table, rejected)
 
 
+def _plain(ids: DataFrame) -> DataFrame:
+    """``ids`` dealt anew, so that the join shuffles both sides itself and AQE may split a hot key.
+
+    Where the ids come from an aggregate, the join would else reuse its
+    partitioning. Repeated ids do no harm in an anti join.
+    """
+    return ids.hint("rebalance")
+
+
 def delete_products(t: Tables, ids: DataFrame) -> Tables:
     """Remove products with their order lines and stock rows.
 
     Orders stay, even with no lines left; their TotalAmount is unchanged.
     """
-    gone = ids.select("ProductID").distinct()
+    gone = _plain(ids.select("ProductID"))
     return t.replace(
-        order_detail=skew_join(t.order_detail, gone, ["ProductID"], "left_anti"),
-        stock=skew_join(t.stock, gone, ["ProductID"], "left_anti"),
+        order_detail=t.order_detail.join(gone, "ProductID", "left_anti"),
+        stock=t.stock.join(gone, "ProductID", "left_anti"),
         product=t.product.join(gone, "ProductID", "left_anti"),
     )
 
 
 def delete_orders(t: Tables, ids: DataFrame) -> Tables:
     """Remove orders with their lines; stock is not given back."""
-    gone = ids.select("OrderID").distinct()
+    gone = _plain(ids.select("OrderID"))
     return t.replace(
-        order_detail=skew_join(t.order_detail, gone, ["OrderID"], "left_anti"),
+        order_detail=t.order_detail.join(gone, "OrderID", "left_anti"),
         sales_order=t.sales_order.join(gone, "OrderID", "left_anti"),
     )
 
@@ -214,21 +223,25 @@ def append_ignore(base: DataFrame, new: DataFrame, unique_keys: Sequence[Sequenc
     skipped when it collides with ``base`` or with an earlier accepted row of
     the batch (``order_by`` gives the batch order and must be unique per
     row), when a foreign key in ``parents`` (column, parent table, parent
-    column) has no parent, or when ``checks`` is false. NULL key parts never
+    key column) has no parent, or when ``checks`` is false. NULL key parts never
     collide. Columns absent from ``new`` take ``defaults`` (else NULL).
     Running the same batch twice changes nothing.
     """
     order = list(order_by)
     cand = new
     for col, parent, pcol in parents:
-        present = parent.select(F.col(pcol).alias(col)).distinct()
-        cand = cand.join(present, col, "left_semi").unionByName(cand.where(F.col(col).isNull()))
+        present = parent.select(F.col(pcol).alias("_parent"))
+        cand = cand.join(present, cand[col] == present["_parent"], "left").where(
+            F.col(col).isNull() | F.col("_parent").isNotNull()).drop("_parent")
     if checks is not None:
         cand = cand.where(F.coalesce(checks, F.lit(True)))
     cand = _drop_colliding(cand, base, unique_keys)
 
     if len(unique_keys) == 1:
         k = list(unique_keys[0])
+        placed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in order])
+        unplaced = F.raise_error(F.lit("order_by columns must be non-NULL")).cast("boolean")
+        cand = cand.where(F.when(placed, F.lit(True)).otherwise(unplaced))
         keyed = cand.where(_not_null(k))
         accepted = latest_per_key(keyed, k, order, first=True).unionByName(cand.where(~_not_null(k)))
     else:

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.operators.joins import skew_join
 from shelfmark.sources.tables import Tables
 
 # Fixed values: (table field, key column, name column) of each dimension list.
@@ -55,8 +54,9 @@ def resolve_names(changes: DataFrame, dim: DataFrame, key: str, name: str,
     source = name_column or name
     if source != name:
         idx = idx.withColumnRenamed(name, source)
-    # A name shared by a third of the change rows must not land in one task.
-    return skew_join(changes, idx, [source], "left")
+    # The index is an aggregate: dealt anew, the join shuffles both sides itself
+    # and AQE may split a name that a third of the change rows share.
+    return changes.join(idx.hint("rebalance"), source, "left")
 
 
 def names_for_keys(df: DataFrame, dim: DataFrame, key: str, name: str) -> DataFrame:

@@ -17,7 +17,6 @@ SKEW_CONF = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
     "spark.sql.adaptive.coalescePartitions.enabled": "false",
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 
@@ -29,7 +28,7 @@ def _skewed_tables(spark, n=6000):
     return make_tables(spark, r)
 
 
-def test_hot_product_is_split_by_skew_join(spark):
+def test_hot_product_is_split(spark):
     saved = {k: spark.conf.get(k, None) for k in SKEW_CONF}
     for k, v in SKEW_CONF.items():
         spark.conf.set(k, v)
@@ -66,9 +65,7 @@ def test_hot_name_in_resolution_is_split(spark, seed):
         df = lookups.resolve_names(ch, seed.product, "ProductID", "ProductName")
         got = df.collect()
         final = df._jdf.queryExecution().executedPlan().toString()
-        # The index side is an aggregate, so AQE cannot split the hot name; the
-        # hot names take the bounded broadcast branch of skew_join instead.
-        assert "BroadcastHashJoin" in final and "Union" in final, final
+        assert "skew=true" in final, final
         assert len(got) == 6000 and all(r.ProductID is not None for r in got)
         hot = [r for r in got if r.ProductName == names[0]]
         assert len(hot) == 2000 and {r.ProductID for r in hot} == {1}
@@ -80,18 +77,28 @@ def test_hot_name_in_resolution_is_split(spark, seed):
                 spark.conf.set(k, v)
 
 
-def test_skew_join_equals_plain_join_for_every_type(spark):
-    from shelfmark.operators.joins import hot_keys, skew_join
+def test_cascade_delete_reads_lines_once_and_splits_a_hot_product(spark):
+    from pyspark.sql import functions as F
+
+    from shelfmark.operators import changes
 
-    big = spark.createDataFrame([(1 if i % 3 == 0 else i % 50, i) for i in range(3000)] + [(None, -1)],
-                                "k long, v long")
-    small = spark.createDataFrame([(k, f"n{k}") for k in range(0, 40)], "k long, name string")
-    hot = {r[0] for r in hot_keys(big, ["k"], fraction=0.5).collect()}
-    assert 1 in hot and len(hot) <= 1000
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        want = sorted(big.join(small, ["k"], how).collect(), key=str)
-        got = sorted(skew_join(big, small, ["k"], how, fraction=0.5).collect(), key=str)
-        assert got == want, how
+    saved = {k: spark.conf.get(k, None) for k in SKEW_CONF}
+    for k, v in SKEW_CONF.items():
+        spark.conf.set(k, v)
+    try:
+        t = _skewed_tables(spark)
+        ids = t.order_detail.groupBy("ProductID").count().where(F.col("ProductID") == 2).select("ProductID")
+        df = changes.delete_products(t, ids).order_detail
+        got = df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in final, final
+        assert len(got) == sum(1 for r in t.order_detail.collect() if r.ProductID != 2)
+    finally:
+        for k, v in saved.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def test_foreign_key_check_splits_a_hot_parent(spark):
