@@ -44,9 +44,11 @@ ROOT = 1
 ARC_SLOTS = 1 << 20
 #: Bytes of symbols whose words take their steps together.
 STEP_CELLS = 4_000_000
-#: Chunks remembered by a worker, and their code points; beyond either the memory starts anew.
+#: Chunks remembered by a worker, and their code points. Half are the recent ones; beyond that half the older ones go.
 CACHED_CHUNKS = 200_000
 CACHED_CHARS = 10_000_000
+#: Marks that a pre-split never joins to letters before them.
+CLOSING = ".,;:!?"
 
 
 def byte_letters() -> dict[str, int]:
@@ -181,16 +183,16 @@ class MergeAutomaton:
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(words)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        lengths = np.array(list(map(len, words)), np.int64)
+        order = np.argsort(lengths, kind="stable")
+        lengths = lengths[order]
         begin = 0
         while begin < len(order):
-            stop, width = begin, 1
-            while stop < len(order):
-                width = len(words[order[stop]]) + 1
-                if stop > begin and (width * (stop - begin + 1) > STEP_CELLS or width > 2 * len(words[order[begin]]) + 8):
-                    break
-                stop += 1
-            part = order[begin:stop]
+            # words of similar length, at least one
+            alike = int(np.searchsorted(lengths, 2 * lengths[begin] + 7, "right"))
+            cells = (lengths[begin:alike] + 1) * np.arange(1, alike - begin + 1)
+            stop = begin + max(1, int(np.searchsorted(cells, STEP_CELLS, "right")))
+            part = order[begin:stop].tolist()
             for i, ids in zip(part, self._encode_sorted([words[i] for i in part]), strict=True):
                 out[i] = ids
             begin = stop
@@ -277,6 +279,7 @@ class TextCoder:
         self.letters = byte_letters()
         self.cache: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}  # chunks that follow a space, without it
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}  # what both held before
         self.cached_chars = 0
         self.labels = self.automaton.label | {i: s.encode() for s, i in self.special.items()}
 
@@ -294,16 +297,40 @@ class TextCoder:
             chunk = chunk.lower()
         return [w.encode() for w in self.pattern.findall(chunk)]
 
-    def _learn(self, chunks: set[str], cache: dict[str, bytes], lead: str) -> None:
-        new = list(chunks.difference(cache))
+    def _learn(self, chunks: set[str], cache: dict[str, bytes], older: dict[str, bytes], lead: str) -> None:
+        new = chunks.difference(cache)
+        known = {c: older[c] for c in new if c in older}
+        cache.update(known)
+        self.cached_chars += sum(map(len, new))
+        new.difference_update(known)
         if not new:
             return
-        split = [self._presplit(lead + c) for c in new]
-        words = list({w for ws in split for w in ws})
-        ids = dict(zip(words, self.automaton.encode_words(words), strict=True))
-        for c, ws in zip(new, split, strict=True):
-            cache[c] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
-        self.cached_chars += sum(map(len, new))
+        # ASCII letters are one word in every pre-split, and the marks that close them another
+        plain: list[str] = []
+        closed: list[tuple[str, str, str]] = []
+        split: list[tuple[str, list[bytes]]] = []
+        for c in new:
+            core = c.rstrip(CLOSING)
+            if not (core.isalpha() and core.isascii()):
+                split.append((c, self._presplit(lead + c)))
+            elif len(core) == len(c):
+                plain.append(c)
+            else:
+                closed.append((c, core, c[len(core):]))
+        if self.keeps_space:
+            def word(core: str) -> bytes:
+                return (lead + core).encode()
+        else:
+            def word(core: str) -> bytes:
+                return core.lower().encode()
+        plain_words = list(map(word, plain))
+        words = set(plain_words)
+        words.update([word(core) for _, core, _ in closed], [end.encode() for _, _, end in closed], *[ws for _, ws in split])
+        todo = list(words)
+        ids = dict(zip(todo, self.automaton.encode_words(todo), strict=True))
+        cache.update(zip(plain, map(ids.__getitem__, plain_words), strict=True))
+        cache.update([(c, ids[word(core)] + ids[end.encode()]) for c, core, end in closed])
+        cache.update([(c, ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])) for c, ws in split])
 
     def _cut(self, text: str) -> list[str]:
         if self.keeps_space:
@@ -312,7 +339,8 @@ class TextCoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.cache) + len(self.spaced) > CACHED_CHUNKS or self.cached_chars > CACHED_CHARS:
+        if 2 * (len(self.cache) + len(self.spaced)) > CACHED_CHUNKS or 2 * self.cached_chars > CACHED_CHARS:
+            self.older = self.cache, self.spaced
             self.cache, self.spaced, self.cached_chars = {}, {}, 0
         cut: list[list[int | list[str]]] = []
         first: set[str] = set()
@@ -331,8 +359,8 @@ class TextCoder:
                         rest.update(chunks)
                     parts.append(chunks)
             cut.append(parts)
-        self._learn(first, self.cache, "")
-        self._learn(rest, self.spaced, " " if self.keeps_space else "")
+        self._learn(first, self.cache, self.older[0], "")
+        self._learn(rest, self.spaced, self.older[1], " " if self.keeps_space else "")
         get, out = self.spaced.__getitem__, []
         for parts in cut:
             ids = []
