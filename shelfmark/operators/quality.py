@@ -162,5 +162,7 @@ def report(t: Tables) -> DataFrame:
                                  F.col("column_name").alias("detail"), "violations"),
         length_summary(t).select(F.lit("max_length").alias("check_name"), "table_name",
                                  F.col("column_name").alias("detail"), F.col("too_long").alias("violations")),
+        decimal_summary(t).select(F.lit("decimal").alias("check_name"), "table_name",
+                                  F.col("column_name").alias("detail"), "violations"),
     ]
     return _union(parts)

@@ -68,6 +68,34 @@ def customers_as_suppliers(src: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def new_products(src: dict[str, DataFrame]) -> DataFrame:
+    """One product for every customer account, in key order.
+
+    The balance is the price (often below 1) and one segment has a blank name.
+    ReorderLevel and LeadTimeDays are left to the defaults.
+    """
+    first = src["supplier"].agg(F.min("s_suppkey").cast("bigint").alias("SupplierID")).scalar()
+    return src["customer"].select(
+        F.col("c_custkey").alias("seq"),
+        F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.lit(" ")).otherwise(F.col("c_name")).alias("ProductName"),
+        F.lit(1).cast("bigint").alias("CategoryID"),
+        first.alias("SupplierID"),
+        F.col("c_acctbal").cast("decimal(10,2)").alias("UnitPrice"),
+    )
+
+
+def product_edits(src: dict[str, DataFrame], t: Tables) -> DataFrame:
+    """All six editable columns of every product that was sold."""
+    sold = t.order_detail.groupBy("ProductID").agg(
+        F.max("SalePrice").alias("UnitPrice"), F.max("Quantity").alias("ReorderLevel"),
+        F.min("Quantity").alias("LeadTimeDays"))
+    first = src["supplier"].agg(F.min("s_suppkey").cast("bigint")).scalar()
+    names = t.product.select("ProductID", F.upper("ProductName").alias("ProductName"))
+    return sold.join(names, "ProductID").select(
+        "ProductID", "ProductName", F.lit(1).cast("bigint").alias("CategoryID"), first.alias("SupplierID"),
+        "UnitPrice", "ReorderLevel", "LeadTimeDays")
+
+
 def reorder_levels(t: Tables) -> DataFrame:
     return t.order_detail.groupBy("ProductID").agg(F.ceil(F.avg("Quantity")).cast("int").alias("ReorderLevel"))
 

@@ -42,6 +42,7 @@ def _all_orders(fn):
 # derivation, ``tables.load`` or ``tables.load_tables``).
 REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "stock_summary": views.stock_summary,
+    "stock_page": lambda t: views.stock_summary(t).orderBy("QuantityOnHand"),
     "product_revenue": views.product_revenue,
     "stock_overview": reports.stock_overview,
     "category_revenue": reports.category_revenue,
@@ -78,6 +79,28 @@ def _append_rows(src, t):
                                defaults=schemas.DEFAULTS["SalesOrder"], as_of=batches.AS_OF)
 
 
+def _append_products(src, t):
+    fit, _ = changes.validate(batches.new_products(src), _new_product_rules())
+    return changes.append_rows(t.product, fit, "ProductID", ["seq"], defaults=schemas.DEFAULTS["Product"],
+                               as_of=batches.AS_OF)
+
+
+def _validate_products(src, t):
+    _, rejected = changes.validate(batches.new_products(src), _new_product_rules())
+    return rejected.select("seq", "ProductName", "UnitPrice", F.array_join("reasons", ",").alias("reasons"))
+
+
+def _new_product_rules():
+    """The rules on the columns that the batch brings."""
+    rules = changes.product_rules()
+    return {k: rules[k] for k in ("name_blank", "price_below_1")}
+
+
+def _edit_products(src, t):
+    cols = ["ProductName", "CategoryID", "SupplierID", "UnitPrice", "ReorderLevel", "LeadTimeDays"]
+    return changes.update_rows(t.product, batches.product_edits(src, t), "ProductID", cols).table
+
+
 def _validate_orders(src, t):
     _, rejected = changes.validate(batches.new_orders_with_status(src), changes.order_rules())
     return rejected.select("CustomerName", "Status", F.array_join("reasons", ",").alias("reasons"))
@@ -103,6 +126,21 @@ def _delete_orders(src, t):
     return changes.delete_orders(t, batches.cancelled_orders(t)).order_detail
 
 
+def _append_ignore_parents(src, t):
+    """Two foreign keys and a CHECK with real violators: the parents lack odd products and warehouse 0."""
+    parents = [("ProductID", t.product.where(F.col("ProductID") % 2 == 0), "ProductID"),
+               ("WarehouseID", t.warehouse.where(F.col("WarehouseID") > 0), "WarehouseID")]
+    return changes.append_ignore(t.stock, batches.stock_rows_to_load(src), [STOCK_KEY],
+                                 order_by=["flag", "ProductID", "WarehouseID"], parents=parents,
+                                 checks=F.col("QuantityOnHand") >= 10).table
+
+
+def _check_batch_values(src, t):
+    bad = quality.check_values(batches.new_orders_with_status(src), "Status", schemas.ORDER_STATUSES)
+    return bad.agg(F.count(F.lit(1)).alias("violations")).select(
+        F.lit("SalesOrder").alias("table_name"), F.lit("Status").alias("column_name"), "violations")
+
+
 def _append_ignore(src, t):
     return changes.append_ignore(t.stock, batches.stock_rows_to_load(src), [STOCK_KEY],
                                  order_by=["flag", "ProductID", "WarehouseID"]).table
@@ -122,8 +160,12 @@ def _product_lookup(src, t):
     return lookups.rows_by_key(t.product, "ProductID", batches.reorder_alert_products(t))
 
 
-def _dimension_products(src, t):
-    return lookups.dimension_list(t, "product")
+def _dimension(name):
+    return _on_model(lambda t: lookups.dimension_list(t, name))
+
+
+def _names_for_keys(src, t):
+    return lookups.names_for_keys(t.stock, t.product, "ProductID", "ProductName")
 
 
 def _resolve_names(src, t):
@@ -148,8 +190,8 @@ def _sql_product_search(src, t):
         ORDER BY UnitPrice""", {"pat": "%a%", "lo": 500, "hi": 5000})
 
 
-def _stock_stream(src, t):
-    """ST1 end to end: change files -> stream -> current stock."""
+def _applied_changes(src, t):
+    """ST1: change files -> stream -> folder of the applied changes."""
     from shelfmark.session import scratch_path
     from shelfmark.streaming import stock_stream as st
 
@@ -159,34 +201,62 @@ def _stock_stream(src, t):
     feed.write.parquet(f"{run}/source")  # as many files as the feed has partitions
     query = st.start_stock_stream(spark, f"{run}/source", f"{run}/applied", f"{run}/checkpoint")
     query.awaitTermination()
-    return st.current_stock(spark, t.stock, f"{run}/applied").table
+    return f"{run}/applied"
+
+
+def _stock_stream(src, t):
+    from shelfmark.streaming import stock_stream as st
+
+    return st.current_stock(t.product.sparkSession, t.stock, _applied_changes(src, t)).table
+
+
+def _live_alerts(src, t):
+    from shelfmark.streaming import stock_stream as st
+
+    return st.live_reorder_alerts(t.product.sparkSession, t, _applied_changes(src, t))
 
 
 OPERATOR_QUERIES: dict[str, QueryFn] = {
     "append_rows": _with_sources(_append_rows),
+    "append_products": _with_sources(_append_products),
+    "validate_products": _with_sources(_validate_products),
+    "edit_products": _with_sources(_edit_products),
     "validate_orders": _with_sources(_validate_orders),
     "update_rows": _with_sources(_update_rows),
     "update_stock": _with_sources(_update_stock),
     "update_stock_rejected": _with_sources(_update_stock_rejected),
     "delete_products": _with_sources(_delete_products),
+    "delete_products_stock": _with_sources(
+        lambda src, t: changes.delete_products(t, batches.discontinued_products(t)).stock),
+    "delete_products_product": _with_sources(
+        lambda src, t: changes.delete_products(t, batches.discontinued_products(t)).product),
     "delete_orders": _with_sources(_delete_orders),
+    "delete_orders_orders": _with_sources(
+        lambda src, t: changes.delete_orders(t, batches.cancelled_orders(t)).sales_order),
     "append_ignore": _with_sources(_append_ignore),
+    "append_ignore_parents": _with_sources(_append_ignore_parents),
     "append_ignore_multi_key": _with_sources(_append_ignore_multi_key),
     "evolve_schema": _with_sources(_evolve_schema),
     "check_unique": _on_model(quality.unique_summary),
     "check_foreign_key": _on_model(quality.foreign_key_summary),
     "check_not_null": _on_model(quality.not_null_summary),
     "check_values": _on_model(quality.values_summary),
+    "check_batch_values": _with_sources(_check_batch_values),
     "check_length": _on_model(quality.length_summary),
     "check_decimal": _on_model(quality.decimal_summary),
     "kpi_display": _on_model(reports.kpi_display),
     "catalogue_count": _on_model(lambda t: reports.catalogue_count(t, "a", 500, 5000)),
     "product_lookup": _with_sources(_product_lookup),
-    "dimension_products": _with_sources(_dimension_products),
+    "dimension_products": _dimension("product"),
+    "dimension_categories": _dimension("category"),
+    "dimension_suppliers": _dimension("supplier"),
+    "dimension_warehouses": _dimension("warehouse"),
+    "names_for_keys": _with_sources(_names_for_keys),
     "resolve_names": _with_sources(_resolve_names),
     "sql_reorder_alerts": _with_sources(_sql_reorder_alerts),
     "sql_product_search": _with_sources(_sql_product_search),
     "stock_stream": _with_sources(_stock_stream),
+    "live_alerts": _with_sources(_live_alerts),
 }
 
 

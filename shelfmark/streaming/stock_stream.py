@@ -120,8 +120,9 @@ def compact_applied(spark: SparkSession, applied_dir: str, snapshot_dir: str,
     return snapshot_dir
 
 
-def live_reorder_alerts(spark: SparkSession, t: Tables, applied_dir: str) -> DataFrame:
+def live_reorder_alerts(spark: SparkSession, t: Tables, applied_dir: str,
+                        snapshot_dir: str | None = None) -> DataFrame:
     """R12 over the current stock: the alert list as of the last finished micro-batch."""
     from shelfmark.plans.reports import reorder_alerts
 
-    return reorder_alerts(t.replace(stock=current_stock(spark, t.stock, applied_dir).table))
+    return reorder_alerts(t.replace(stock=current_stock(spark, t.stock, applied_dir, snapshot_dir).table))
