@@ -26,6 +26,7 @@ one, so ties, repeated rows and empty tables need no rule.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -48,7 +49,9 @@ STEP_CELLS = 4_000_000
 CACHED_CHUNKS = 200_000
 CACHED_CHARS = 10_000_000
 #: Marks that a pre-split never joins to letters before them.
-CLOSING = ".,;:!?"
+CLOSING = ".,;:!?&$#%*)]}\""
+#: Letters under U+0250 that stay one letter in lower case (U+0130 becomes two code points).
+LATIN = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c.lower().isalpha())
 
 
 def byte_letters() -> dict[str, int]:
@@ -287,6 +290,8 @@ class TextCoder:
     _separators = re.compile(r"[\x1c-\x1f]")
     _safe_space = re.compile(r"[ \t\r\n]+")
     _other_letters = re.compile(r"[^\x00-ɏ]")
+    _latin_word = re.compile(f"[{LATIN}]+")
+    _no_plain_lower = re.compile("[^\x00-ɏ]|İ")
 
     def _presplit(self, chunk: str) -> list[bytes]:
         if self._other_letters.search(chunk):
@@ -305,36 +310,32 @@ class TextCoder:
         new.difference_update(known)
         if not new:
             return
-        # ASCII letters are one word in every pre-split, and the marks that close them another
-        plain: list[str] = []
+        # Latin letters are one word in every pre-split, and the marks that close them another
         closed: list[tuple[str, str, str]] = []
         split: list[tuple[str, list[bytes]]] = []
         for c in new:
             core = c.rstrip(CLOSING)
-            if not (core.isalpha() and core.isascii()):
-                split.append((c, self._presplit(lead + c)))
-            elif len(core) == len(c):
-                plain.append(c)
+            if core.isalpha() and (core.isascii() or self._latin_word.fullmatch(core)):
+                closed.append((c, core if self.keeps_space else core.lower(), c[len(core):]))
             else:
-                closed.append((c, core, c[len(core):]))
-        if self.keeps_space:
-            def word(core: str) -> bytes:
-                return (lead + core).encode()
-        else:
-            def word(core: str) -> bytes:
-                return core.lower().encode()
-        plain_words = list(map(word, plain))
-        words = set(plain_words)
-        words.update([word(core) for _, core, _ in closed], [end.encode() for _, _, end in closed], *[ws for _, ws in split])
-        todo = list(words)
-        ids = dict(zip(todo, self.automaton.encode_words(todo), strict=True))
-        cache.update(zip(plain, map(ids.__getitem__, plain_words), strict=True))
-        cache.update([(c, ids[word(core)] + ids[end.encode()]) for c, core, end in closed])
+                split.append((c, self._presplit(lead + c)))
+        # a word alone is a chunk too, and may be known as one
+        cores = {core for _, core, _ in closed}
+        word = {c: cache[c] if c in cache else older[c] for c in cores if c in cache or c in older}
+        cores.difference_update(word)
+        words = {end.encode() for _, _, end in closed if end}.union(*[ws for _, ws in split])
+        todo = [*[(lead + c).encode() for c in cores], *words]
+        found = self.automaton.encode_words(todo)
+        word.update(zip(cores, found, strict=False))
+        ids = dict(zip(words, found[len(cores):], strict=True))
+        cache.update([(c, word[core] + ids[end.encode()] if end else word[core]) for c, core, end in closed])
         cache.update([(c, ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])) for c, ws in split])
 
     def _cut(self, text: str) -> list[str]:
         if self.keeps_space:
             return self._space_before_word.split(text)
+        if text.isascii() or not self._no_plain_lower.search(text):
+            text = text.lower()  # as the normalizer does; fewer different chunks
         return self._safe_space.split(text) if self._separators.search(text) else text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -342,38 +343,35 @@ class TextCoder:
         if 2 * (len(self.cache) + len(self.spaced)) > CACHED_CHUNKS or 2 * self.cached_chars > CACHED_CHARS:
             self.older = self.cache, self.spaced
             self.cache, self.spaced, self.cached_chars = {}, {}, 0
-        cut: list[list[int | list[str]]] = []
-        first: set[str] = set()
-        rest: set[str] = set()
+        # known chunks are looked up text by text; only unknown ones are held until the batch is learned
+        found: list[list[list[bytes | None]]] = []
+        first: list[tuple[list[bytes | None], str]] = []
+        rest: list[tuple[list[bytes | None], list[int], list[str]]] = []
+        get = self.spaced.get
         for text in texts:
-            parts: list[int | list[str]] = []
+            parts: list[list[bytes | None]] = []
             for part in self.special_split.split(text) if self.special_split and "<|" in text else [text]:
                 if part in self.special:
-                    parts.append(self.special[part])
+                    parts.append([self.special[part].to_bytes(4, "little")])
                 elif part:
                     chunks = self._cut(part)
                     if self.keeps_space:
-                        first.add(chunks[0])
-                        rest.update(chunks[1:])
-                    else:
-                        rest.update(chunks)
-                    parts.append(chunks)
-            cut.append(parts)
-        self._learn(first, self.cache, self.older[0], "")
-        self._learn(rest, self.spaced, self.older[1], " " if self.keeps_space else "")
-        get, out = self.spaced.__getitem__, []
-        for parts in cut:
-            ids = []
-            for part in parts:
-                if isinstance(part, int):
-                    ids.append(part.to_bytes(4, "little"))
-                elif self.keeps_space:
-                    ids.append(self.cache[part[0]])
-                    ids.extend(map(get, part[1:]))
-                else:
-                    ids.extend(map(get, part))
-            out.append(b"".join(ids))
-        return out
+                        parts.append([None])
+                        first.append((parts[-1], chunks.pop(0)))
+                    ids = list(map(get, chunks))
+                    parts.append(ids)
+                    if None in ids:
+                        gaps = [i for i, x in enumerate(ids) if x is None]
+                        rest.append((ids, gaps, [chunks[i] for i in gaps]))
+            found.append(parts)
+        self._learn({c for _, c in first}, self.cache, self.older[0], "")
+        self._learn(set().union(*[chunks for _, _, chunks in rest]), self.spaced, self.older[1], " " if self.keeps_space else "")
+        for ids, chunk in first:
+            ids[0] = self.cache[chunk]
+        for ids, gaps, chunks in rest:
+            for i, x in zip(gaps, map(self.spaced.__getitem__, chunks), strict=True):
+                ids[i] = x
+        return [b"".join(parts[0] if len(parts) == 1 else itertools.chain.from_iterable(parts)) for parts in found]
 
     def decode(self, ids: bytes) -> str:
         """The labels of the arcs, as text; broken UTF-8 becomes U+FFFD."""
