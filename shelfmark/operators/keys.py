@@ -33,7 +33,9 @@ def sequential_keys(df: DataFrame, order_by: Sequence[str], start: Column, name:
 
     No global (single-task) window and no second shuffle:
 
-    1. range partition on ``order_by`` (boundaries from a sample, so ranges
+    1. range partition on ``order_by`` and, for equal values, a hash of the
+       whole row, so that a value which many rows share splits across ranges
+       and ties have a defined order (boundaries from a sample, so ranges
        are balanced), sort inside each range, and checkpoint to the shared
        checkpoint folder. The checkpoint freezes which row sits where, so a
        task retried after an executor loss computes the same keys;
@@ -47,8 +49,10 @@ def sequential_keys(df: DataFrame, order_by: Sequence[str], start: Column, name:
     checkpoint_dir(df.sparkSession)
     # Without an explicit count AQE sizes the ranges (coalescing adjacent
     # ranges keeps them in order); the checkpoint then fixes that layout.
-    ranged = (df.repartitionByRange(partitions, *order_by) if partitions else df.repartitionByRange(*order_by))
-    ranged = ranged.sortWithinPartitions(*order_by).checkpoint(eager=True)
+    order = [*order_by, "_tie"]
+    tied = df.withColumn("_tie", F.xxhash64(*df.columns))
+    ranged = tied.repartitionByRange(partitions, *order) if partitions else tied.repartitionByRange(*order)
+    ranged = ranged.sortWithinPartitions(*order).drop("_tie").checkpoint(eager=True)
     placed = ranged.select(
         "*",
         F.spark_partition_id().alias("_range"),

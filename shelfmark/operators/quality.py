@@ -82,6 +82,12 @@ def unique_summary(t: Tables) -> DataFrame:
     return _union(rows)
 
 
+def unchecked_keys(t: Tables) -> list[tuple[str, str]]:
+    """(table, key columns) of the declared keys whose columns are absent, which C1 cannot check."""
+    return [(name, ",".join(k)) for name, df in t.items()
+            for k in [schemas.PRIMARY_KEYS[name], *schemas.UNIQUE_KEYS.get(name, ())] if not _present(df, k)]
+
+
 def foreign_key_summary(t: Tables) -> DataFrame:
     """C2 over the six declared foreign keys: orphan rows per key."""
     rows = []
@@ -149,7 +155,11 @@ def decimal_summary(t: Tables) -> DataFrame:
 
 
 def report(t: Tables) -> DataFrame:
-    """All checks C1-C5 as one table: (check_name, table_name, detail, violations)."""
+    """All checks C1-C5 as one table: (check_name, table_name, detail, violations).
+
+    A declared key whose columns are absent has a ``unique (not checked)`` row
+    with NULL violations.
+    """
     parts = [
         unique_summary(t).select(F.lit("unique").alias("check_name"), "table_name",
                                  F.col("key_columns").alias("detail"), F.col("duplicate_keys").alias("violations")),
@@ -165,4 +175,10 @@ def report(t: Tables) -> DataFrame:
         decimal_summary(t).select(F.lit("decimal").alias("check_name"), "table_name",
                                   F.col("column_name").alias("detail"), "violations"),
     ]
+    skipped = unchecked_keys(t)
+    if skipped:
+        rows = F.array(*[F.struct(F.lit(name).alias("table_name"), F.lit(k).alias("detail")) for name, k in skipped])
+        parts.append(t.product.sparkSession.range(1).select(F.explode(rows).alias("s")).select(
+            F.lit("unique (not checked)").alias("check_name"), "s.table_name", "s.detail",
+            F.lit(None).cast("bigint").alias("violations")))
     return _union(parts)

@@ -87,3 +87,10 @@ def test_scale_conf_sizes_partitions():
     assert int(scale_conf(10 * 1024 ** 4, 1000)["spark.sql.shuffle.partitions"]) == 5120  # 10 TiB, 1000 cores
     assert int(scale_conf(10 * 1024 ** 4, 8000)["spark.sql.shuffle.partitions"]) == 16_000  # at least 2 per core
     assert int(scale_conf(10 ** 6, 8)["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_report_names_the_keys_it_cannot_check(seed):
+    bare = seed.replace(order_detail=seed.order_detail.drop("DetailID"))
+    skipped = rows(quality.report(bare).where("check_name = 'unique (not checked)'"), "table_name", "detail", "violations")
+    assert skipped == [("OrderDetail", "DetailID", None)]
+    assert quality.unchecked_keys(seed) == []

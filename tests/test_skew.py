@@ -8,6 +8,9 @@ from decimal import Decimal as D
 from conftest import rows
 from seeds import make_tables, seed_rows
 
+from pyspark.sql import functions as F
+
+from shelfmark.operators.keys import sequential_keys
 from shelfmark.plans import reports, views
 
 SKEW_CONF = {
@@ -119,3 +122,18 @@ def test_foreign_key_check_splits_a_hot_parent(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_one_order_value_splits_across_key_ranges(spark):
+    """A third of the rows share one order value: no range holds them all, and keys stay dense and ordered."""
+    n = 30_000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, 500).otherwise(F.col("id")).alias("o"), F.col("id").alias("v"))
+    keyed = sequential_keys(df, ["o"], F.lit(10).cast("bigint"), "k", partitions=8)
+    sizes = [r["count"] for r in keyed.where("o = 500").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 2 and max(sizes) < n // 4
+    got = sorted(rows(keyed, "k", "o", "v"))
+    assert [g[0] for g in got] == list(range(11, n + 11))
+    assert [g[1] for g in got] == sorted(g[1] for g in got)
+    assert sorted(g[2] for g in got) == list(range(n))
+    again = sequential_keys(df, ["o"], F.lit(10).cast("bigint"), "k", partitions=5)
+    assert sorted(rows(again, "k", "o", "v")) == got
