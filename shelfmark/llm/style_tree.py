@@ -23,8 +23,8 @@ it while it is small and else shuffles both by host.
 
 Null or empty html gives empty text; a null url is a host of its own.
 Malformed markup is read as it comes (unclosed and stray tags, broken
-comments). Nested depth beyond ``DEPTH`` is not told apart. Very long pages
-are read whole. Repeated rows are pages of their own. An empty table gives no
+comments); open blocks are followed to any depth. Very long pages are read
+whole. Repeated rows are pages of their own. An empty table gives no
 rows. Other columns are left behind.
 """
 
@@ -46,7 +46,7 @@ from shelfmark.llm.common import ship_package, written
 LEAST_PAGES = 10
 #: Importance under which a branch goes: inside an article, and outside of one.
 LOW_INSIDE, LOW_OUTSIDE = 0.3, 0.6
-GAMMA, DEPTH = 0.9, 64
+GAMMA = 0.9
 #: Like elements under one parent that are told apart; the rest share a node.
 ALIKE = 16
 
@@ -98,6 +98,7 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]
+        opened: Counter = Counter()  # names on the stack, so that a stray end is no search
         text: list[str] = []
         at, end = 0, len(source)
 
@@ -119,22 +120,25 @@ class Page:
                 continue
             if m[1]:
                 if name in BLOCKS:
-                    depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
                     flush()
-                    if depth:
-                        del stack[depth:]
+                    while opened[name]:
+                        last, _ = stack.pop()
+                        opened[last] -= 1
+                        if last == name:
+                            break
                 continue
             if name in BLOCKS or name in RAW:
                 flush()
                 closes = CLOSES.get(name, {"p"})
                 while stack[-1][0] in closes:
-                    stack.pop()
+                    opened[stack.pop()[0]] -= 1
                 element = self._open(name, m[3], stack[-1][1])
                 if name in RAW:
                     close = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
                     at = close.end() if close else end
-                elif name not in VOID and not m[3].endswith("/") and len(stack) < DEPTH:
+                elif name not in VOID and not m[3].endswith("/"):
                     stack.append((name, element))
+                    opened[name] += 1
             elif name == "br":
                 text.append(" ")
         flush()

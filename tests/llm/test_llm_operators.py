@@ -223,6 +223,15 @@ def test_pages_with_other_markup(spark):
     assert style_tree.extract(pages.limit(0)).count() == 0
 
 
+def test_deep_blocks_close_their_own():
+    deep = "<div>" * 200 + "<p>Deep</p>" + "</div>" * 200
+    thread = "<div class=comments>" + "<blockquote>Said" * 200 + "</blockquote>" * 200 + "<p>Late</p></div>"
+    page = style_tree.Page(f"<body><div><article>{deep}<p>After</p></article>{thread}</div><footer>F</footer></body>")
+    assert page.text({}) == "Deep\n\nAfter"
+    # ends without a start are passed over, however much is open
+    assert style_tree.Page("<article>" + "<div>" * 20_000 + "</section>" * 20_000 + "<p>Text").text({}) == "Text"
+
+
 # 7 language
 
 def test_language_on_held_out_documents(spark, odd, none):
