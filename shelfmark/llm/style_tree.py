@@ -11,7 +11,10 @@ as in the site style tree method,
 
 from the leaves up. Branches of little importance are removed from each page,
 as are elements whose tag, class or id says that they are navigation, advert,
-form, comments and so on. Headings and paragraphs that stand directly in an
+form, comments and so on. Class and id names say nothing of ``html``, ``body``,
+``main`` and ``article``, nor of an element that holds most of the page's text
+(unless an article has text outside of it, other than headings, as beside a
+long comment thread); nor is a form that holds most of it hidden. Headings and paragraphs that stand directly in an
 article (or ``main``) are content by themselves and stay; a host with too few
 pages for statistics relies on what the elements say.
 
@@ -56,6 +59,9 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
 HIDDEN = frozenset("script style noscript template iframe svg head title nav footer aside form menu button select textarea dialog".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose class and id names are about the page.
+WHOLE = frozenset("html body main article".split())
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li table dl".split())
 #: An opening block that closes an open element of these names.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
@@ -74,24 +80,28 @@ class Page:
     """The block elements of a page in order, and its blocks of text."""
 
     def __init__(self, source: str):
-        #: element: (path, parent element, names it, noise by what it says, article around it)
-        self.elements: list[tuple[int, int, str, bool, bool]] = [(0, -1, "", False, False)]
+        #: element: (path, parent element, names it, article around it)
+        self.elements: list[tuple[int, int, str, bool]] = [(0, -1, "", False)]
+        #: of each element: noise by its tag, noise by its names, noise by what it or one around it says
+        self.hidden, self.worded, self.noise = [False], [False], [False]
         self.children: list[list[int]] = [[]]
         self.blocks: list[tuple[int, str]] = []  # element, text
         self.alike: dict[tuple[int, str], int] = {}
         self._read(source)
+        self._judge()
 
     def _open(self, name: str, attributes: str, parent: int) -> int:
-        _, _, _, noise, article = self.elements[parent]
+        article = self.elements[parent][3]
         words = [w for m in _names.finditer(attributes) for w in _split.split((m[1] or m[2] or m[3] or "").lower()) if w] if "=" in attributes else []
-        own = name in HIDDEN or any(w in NOISE for w in words) or (name == "header" and not article)
+        self.hidden.append((name in HIDDEN and name != "form") or (name == "header" and not article))
+        self.worded.append(name == "form" or (name not in WHOLE and any(w in NOISE for w in words)))
         style = f"{self.elements[parent][0]}>{name}.{'.'.join(words)}"
         if name not in CONTENT:
             # like elements beside each other are nodes of their own
             n = self.alike[parent, style] = self.alike.get((parent, style), -1) + 1
             style += f"#{min(n, ALIKE)}"
         path = xxhash.xxh64_intdigest(style, 0) >> 1
-        self.elements.append((path, parent, name, noise or own, article or name in ("article", "main")))
+        self.elements.append((path, parent, name, article or name in ("article", "main")))
         self.children.append([])
         self.children[parent].append(path)
         return len(self.elements) - 1
@@ -143,13 +153,35 @@ class Page:
                 text.append(" ")
         flush()
 
+    def _judge(self) -> None:
+        """What is noise, once it is known how much of the text each element holds."""
+        size = len(self.elements)
+        if not any(self.worded):
+            for e in range(1, size):
+                self.noise.append(self.hidden[e] or self.noise[self.elements[e][1]])
+            return
+        hidden = [False] * size
+        for e in range(1, size):
+            hidden[e] = self.hidden[e] or hidden[self.elements[e][1]]
+        held, in_article = [0] * size, [0] * size
+        for e, block in self.blocks:
+            if not hidden[e]:
+                held[e] += len(block)
+                in_article[e] += len(block) if self.elements[e][3] and self.elements[e][2] not in HEADINGS else 0
+        for e in range(size - 1, 0, -1):
+            held[self.elements[e][1]] += held[e]
+            in_article[self.elements[e][1]] += in_article[e]
+        for e in range(1, size):
+            whole = 2 * held[e] > held[0] and in_article[e] == in_article[0]
+            self.noise.append(self.hidden[e] or (self.worded[e] and not whole) or self.noise[self.elements[e][1]])
+
     def values(self):
         """(path, parent path, kind, value): child sequences and texts, each once."""
         own: dict[int, list[str]] = {}
         for element, block in self.blocks:
             own.setdefault(element, []).append(block)
-        for e, (path, parent, _, noise, _) in enumerate(self.elements[1:], 1):
-            if noise:
+        for e, (path, parent, _, _) in enumerate(self.elements[1:], 1):
+            if self.noise[e]:
                 continue
             above = self.elements[parent][0]
             yield path, above, 0, xxhash.xxh64_intdigest(",".join(map(str, self.children[e])), 0) >> 1, len(self.children[e])
@@ -159,15 +191,15 @@ class Page:
     def text(self, low: dict[int, float]) -> str:
         """The blocks that stay. ``low``: importance of the host's less important paths."""
         gone = [False] * len(self.elements)
-        for e, (path, parent, name, noise, article) in enumerate(self.elements[1:], 1):
+        for e, (path, parent, name, article) in enumerate(self.elements[1:], 1):
             weak = low.get(path, 1.0) < (LOW_INSIDE if article else LOW_OUTSIDE)
             held = article and name in CONTENT and self.elements[parent][2] in ("article", "main", "section", "ul", "ol", "table", "dl", "blockquote")
-            gone[e] = gone[parent] or noise or (weak and not held and name not in ("html", "body", "article", "main"))
+            gone[e] = gone[parent] or self.noise[e] or (weak and not held and name not in ("html", "body", "article", "main"))
         plain = [(e, block) for e, block in self.blocks if not gone[e]]
-        inside = [block for e, block in plain if self.elements[e][4]]
+        inside = [block for e, block in plain if self.elements[e][3]]
         if not inside:
             # no article, or statistics took all of it: what the elements themselves don't rule out
-            inside = [block for e, block in self.blocks if not self.elements[e][3] and self.elements[e][4]]
+            inside = [block for e, block in self.blocks if not self.noise[e] and self.elements[e][3]]
         return "\n\n".join(inside or [block for _, block in plain])
 
 

@@ -232,6 +232,20 @@ def test_deep_blocks_close_their_own():
     assert style_tree.Page("<article>" + "<div>" * 20_000 + "</section>" * 20_000 + "<p>Text").text({}) == "Text"
 
 
+def test_names_of_containers_are_no_noise():
+    text = "<p>A long enough story of the page</p>"
+    for page in (f"<body class='right-sidebar'><article>{text}</article></body>", f"<body class=has-widgets><div>{text}</div></body>",
+                 f"<main class='content no-comments'>{text}</main>", f"<article class='post share-enabled'>{text}</article>",
+                 f"<html id=banner><div class='wrap no-sidebar'><div class=story>{text}</div></div><footer>F</footer>",
+                 f"<body><form id=search-form><div>{text}</div></form></body>"):
+        assert style_tree.Page(page).text({}) == "A long enough story of the page"
+    thread = "<div class=comments>" + "<p>A comment that is longer than the story of the page</p>" * 9 + "</div>"
+    assert style_tree.Page(f"<body class=widgets><article>{text}</article>{thread}").text({}) == "A long enough story of the page"
+    # also inside of the article; its heading alone does not make the rest noise
+    assert style_tree.Page(f"<article><h1>H</h1><div class='entry share-enabled'>{text}</div></article>").text({}) == "H\n\nA long enough story of the page"
+    assert style_tree.Page(f"<article class=post>{text}{thread}</article>").text({}) == "A long enough story of the page"
+
+
 # 7 language
 
 def test_language_on_held_out_documents(spark, odd, none):
