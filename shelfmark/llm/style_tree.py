@@ -9,14 +9,16 @@ as in the site style tree method,
 * content: one minus the average entropy of its texts, so a text that returns
   on many pages makes its node unimportant and one that is unique does not;
 
-from the leaves up. Branches of little importance are removed from each page,
-as are elements whose tag, class or id says that they are navigation, advert,
+from the leaves up. A branch of which all parts are of little importance is
+removed from each page, inside an article as outside of it; as are elements whose tag, class or id says that they are navigation, advert,
 form, comments and so on. Class and id names say nothing of ``html``, ``body``,
 ``main`` and ``article``, nor of an element that holds most of the page's text
 (unless an article has text outside of it, other than headings, as beside a
-long comment thread); nor is a form that holds most of it hidden. Headings and paragraphs that stand directly in an
-article (or ``main``) are content by themselves and stay; a host with too few
-pages for statistics relies on what the elements say.
+long comment thread); nor is a form that holds most of it hidden.
+A branch inside an ``article`` or ``main`` may be less important than another
+to stay (``LOW_INSIDE``); an article decides nothing else. A host with too few
+pages for statistics relies on what the elements say, and a page of which the
+statistics leave nothing keeps what the elements don't rule out.
 
 Statistics are counted per host, path and value in Spark (combined on the map
 side, so a host with a third of all pages is no hot key); only paths on
@@ -62,6 +64,7 @@ HIDDEN = frozenset("script style noscript template iframe svg head title nav foo
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose class and id names are about the page.
 WHOLE = frozenset("html body main article".split())
+#: Elements that are one style node wherever they stand among like ones.
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li table dl".split())
 #: An opening block that closes an open element of these names.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
@@ -190,17 +193,14 @@ class Page:
 
     def text(self, low: dict[int, float]) -> str:
         """The blocks that stay. ``low``: importance of the host's less important paths."""
-        gone = [False] * len(self.elements)
-        for e, (path, parent, name, article) in enumerate(self.elements[1:], 1):
-            weak = low.get(path, 1.0) < (LOW_INSIDE if article else LOW_OUTSIDE)
-            held = article and name in CONTENT and self.elements[parent][2] in ("article", "main", "section", "ul", "ol", "table", "dl", "blockquote")
-            gone[e] = gone[parent] or self.noise[e] or (weak and not held and name not in ("html", "body", "article", "main"))
-        plain = [(e, block) for e, block in self.blocks if not gone[e]]
-        inside = [block for e, block in plain if self.elements[e][3]]
-        if not inside:
-            # no article, or statistics took all of it: what the elements themselves don't rule out
-            inside = [block for e, block in self.blocks if not self.noise[e] and self.elements[e][3]]
-        return "\n\n".join(inside or [block for _, block in plain])
+        plain = [(e, block) for e, block in self.blocks if not self.noise[e]]
+        strong = [False] * len(self.elements)  # its text, or one below it, is important
+        for e, _ in plain:
+            strong[e] = low.get(self.elements[e][0], 1.0) >= (LOW_INSIDE if self.elements[e][3] else LOW_OUTSIDE)
+        for e in range(len(strong) - 1, 0, -1):
+            strong[self.elements[e][1]] |= strong[e]
+        # a page that the statistics take whole (all of it returns elsewhere) keeps what the elements don't rule out
+        return "\n\n".join([block for e, block in plain if strong[e]] or [block for _, block in plain])
 
 
 def _rows(pages: DataFrame) -> DataFrame:
@@ -244,7 +244,8 @@ def unimportant_paths(pages: DataFrame) -> DataFrame:
                 done[p] = (1 - own) * r.presentation + own * inner if weight else r.presentation
             return done[path]
 
-        out = [(key[0], int(p), walk(p)) for p in node]
+        # an element's own text counts whatever is below it
+        out = [(key[0], int(p), max(walk(p), r.content if r.text_pages else 0.0)) for p, r in node.items()]
         return pd.DataFrame([r for r in out if r[2] < max(LOW_INSIDE, LOW_OUTSIDE)], columns=["host", "path", "importance"])
 
     ship_package(pages.sparkSession)

@@ -246,6 +246,22 @@ def test_names_of_containers_are_no_noise():
     assert style_tree.Page(f"<article class=post>{text}{thread}</article>").text({}) == "A long enough story of the page"
 
 
+def test_article_is_no_switch(spark):
+    teasers = "".join(f"<article><h3>Card {n}</h3><p>Read this too {n}</p></article>" for n in range(3))
+    rows = [(n, "https://t.example/%d" % n, f"<body><div class=story><h1>Title {n}</h1><p>Story {n} is told {n * 7} times</p></div>{teasers}</body>") for n in range(30)]
+    rows += [(100 + n, "https://a.example/%d" % n, f"<body><article><h1>Head {n}</h1><p>Body {n} of {n * 3}</p><p class=tail>Write to us</p></article></body>") for n in range(30)]
+    # wrapped deeply, on hosts with statistics and without
+    rows += [(200 + n, "https://w.example/%d" % n, "<div>" * 30 + f"<p>Wrapped {n}</p>" + "</div>" * 30) for n in range(30)]
+    rows += [(300, "https://few.example/", "<div><p>The story</p></div><article><p>A card</p></article>")]
+    rows += [(400 + n, "https://copy.example/", "<article><p>The same page</p></article>") for n in range(30)]
+    got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[n] == f"Title {n}\n\nStory {n} is told {n * 7} times" for n in range(30))
+    assert all(got[100 + n] == f"Head {n}\n\nBody {n} of {n * 3}" for n in range(30))
+    assert all(got[200 + n] == f"Wrapped {n}" for n in range(30))
+    assert got[300] == "The story\n\nA card"
+    assert all(got[400 + n] == "The same page" for n in range(30))
+
+
 # 7 language
 
 def test_language_on_held_out_documents(spark, odd, none):
