@@ -1,18 +1,21 @@
 """Secret scan by base patterns and inferred grammars (operator 8).
 
 Base patterns give the certain spans (``assign``, ``access``, ``hex``). From
-their matches in a bounded sample of documents ("labelled credentials") one
+a bounded sample of their matches in all documents ("labelled credentials") one
 probabilistic automaton for each kind is inferred: a prefix tree over character
 classes whose states are merged where their futures are statistically
 compatible (Hoeffding bound). A background automaton is inferred the same way
-from ordinary long tokens. Every other long token with a digit, in every whole
-text, is a candidate: it is a ``format`` span if a credential automaton finds
-it as likely for each character as it finds its own labelled credentials
-(but the unlikeliest few), and likelier than the background by a margin.
-
-The sample: documents in the order of a hash of their id, at most
-``sample_docs``, and at most ``per_doc`` values of a kind from each, ``per_kind`` in
-all. The scan itself is one pass without a shuffle.
+from the other tokens, without those that a credential automaton finds likely
+unless that is most of them. Every other token of 12 characters or more, with a digit
+or without, in every whole text, is a candidate: it is a ``format`` span if a
+credential automaton finds it as likely for each character as it finds its own
+labelled credentials (but the unlikeliest few), and likelier than the
+background by a margin.
+
+The sample: the distinct values of each kind in all documents (of a value its
+first 256 characters), and of them the ``per_kind`` with the smallest hashes.
+Each task keeps no more than that of a kind, so a kind is learned however rare
+it is. The scan itself is one pass without a shuffle.
 
 Null text counts as empty: no spans. Without labelled credentials there are no
 ``format`` spans. Repeated rows are scanned each; null ids are scanned but
@@ -22,19 +25,23 @@ teach nothing. An empty table gives no rows. Other columns are left behind
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
 from typing import NamedTuple
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import ship_package, text_rows
 
 KINDS = ("assign", "access", "hex", "format")
-SAMPLE_DOCS, PER_DOC, PER_KIND = 20_000, 20, 500
+PER_KIND = 500
+#: Tokens whose verdict a task remembers.
+REMEMBERED = 1 << 16
 #: Share of the labelled credentials that their own automaton may find too unlikely.
 MISSED = 0.02
 #: Bits by which a credential automaton must beat the background.
@@ -46,8 +53,7 @@ ALPHA, LEAST = 0.05, 10
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-_digit = re.compile(r"[0-9]")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 _keywords = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 Span = tuple[int, int, int]  # start, number of the kind, end
@@ -71,11 +77,18 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Long tokens with a digit that touch no base span."""
+    """Long tokens that touch no base span."""
     found = []
+    ends, most = [], 0  # the furthest end of the base spans up to each, which stand by start
+    for _, _, e in base:
+        most = max(most, e)
+        ends.append(most)
+    n = 0
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if _digit.search(m[0]) and not any(s < b and a < e for s, _, e in base):
+        while n < len(base) and base[n][0] < b:
+            n += 1
+        if not n or ends[n - 1] <= a:
             found.append((a, b))
     return found
 
@@ -177,40 +190,65 @@ class Grammar(NamedTuple):
     def accepts(self, token: str) -> bool:
         if not self.kinds:
             return False
+        bits = [n for a, most in self.kinds if (n := a.bits(token)) <= most * len(token)]
+        if not bits:
+            return False
         plain = self.background.bits(token) if self.background else 6.0 * len(token)
-        bits = [a.bits(token) for a, most in self.kinds if a.bits(token) <= most * len(token)]
-        return bool(bits) and plain - min(bits) >= MARGIN_BITS
+        return plain - min(bits) >= MARGIN_BITS
+
 
+def remembering(grammar: Grammar):
+    """``grammar.accepts`` that remembers its last verdicts on tokens of usual length."""
+    usual = functools.lru_cache(REMEMBERED)(grammar.accepts)
+    return lambda token: usual(token) if len(token) <= 64 else grammar.accepts(token)
 
-def spans_of(text: str, grammar: Grammar) -> list[Span]:
+
+def spans_of(text: str, grammar: Grammar, accepts=None) -> list[Span]:
     """Base and ``format`` spans by start, then kind."""
     base = base_spans(text)
-    return sorted(base + [(a, 3, b) for a, b in candidates(text, base) if grammar.accepts(text[a:b])])
+    accepts = accepts or grammar.accepts
+    return sorted(base + [(a, 3, b) for a, b in candidates(text, base) if accepts(text[a:b])])
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, per_kind: int = PER_KIND) -> Grammar:
-    """Grammars from a bounded sample of ``docs``."""
-    rows = text_rows(docs).filter("doc_id IS NOT NULL")
-    share = sample_docs / max(1, rows.count())
-    chance = F.xxhash64("doc_id").cast("double") / F.lit(2.0 ** 64) + 0.5
-    rows = rows.filter(chance <= share)
-
+def learn(docs: DataFrame, per_kind: int = PER_KIND) -> Grammar:
+    """Grammars from at most ``per_kind`` values of each kind in all of ``docs``."""
     def values(frames):
+        kept: dict[str, dict[str, int]] = {kind: {} for kind in (*KINDS[:3], "plain")}
+        top = dict.fromkeys(kept, 1 << 63)
+
+        def bound(kind: str) -> None:
+            few = sorted(kept[kind].items(), key=lambda v: (v[1], v[0]))[:per_kind]
+            kept[kind] = dict(few)
+            if len(few) == per_kind:
+                top[kind] = few[-1][1]
+
+        def take(kind: str, value: str) -> None:
+            value = value[:256]
+            if value in kept[kind]:
+                return
+            h = xxhash.xxh64_intdigest(value) - (1 << 63)
+            if h <= top[kind]:
+                kept[kind][value] = h
+                if len(kept[kind]) >= 4 * per_kind:
+                    bound(kind)
+
         for frame in frames:
-            out = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+            for text in frame["text"]:
                 base = base_spans(text)
-                own: dict[str, list[str]] = {}
                 for a, k, b in base:
-                    own.setdefault(KINDS[k], []).append(ASSIGN.match(text, a)[2] if k == 0 else text[a:b])
-                own["plain"] = [text[a:b] for a, b in candidates(text, base)] or [m[0] for m in CANDIDATE.finditer(text)]
-                out += [(doc_id, kind, v[:256]) for kind, vs in own.items() for v in vs[:PER_DOC]]
-            yield pd.DataFrame(out, columns=["doc_id", "kind", "value"])
-
-    found = rows.mapInPandas(values, "doc_id long, kind string, value string")
-    # a value that many documents share counts once
-    first = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
-    few = found.groupBy("kind", "value").agg(F.lit(1)).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_kind)
+                    take(KINDS[k], ASSIGN.match(text, a)[2] if k == 0 else text[a:b])
+                for a, b in candidates(text, base):
+                    take("plain", text[a:b])
+        for kind in kept:
+            bound(kind)
+        yield pd.DataFrame([(kind, v, h) for kind, vs in kept.items() for v, h in vs.items()], columns=["kind", "value", "h"])
+
+    rows = text_rows(docs).filter("doc_id IS NOT NULL")
+    # a value that many documents share counts once; the few are first found in parts of a kind
+    few = rows.mapInPandas(values, "kind string, value string, h long").distinct().withColumn("part", F.pmod("h", F.lit(64)))
+    for keys in (("kind", "part"), ("kind",)):
+        first = Window.partitionBy(*keys).orderBy("h", "value")
+        few = few.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_kind)
     by_kind: dict[str, list[str]] = {}
     for r in few.select("kind", "value").orderBy("kind", "value").toLocalIterator():
         by_kind.setdefault(r.kind, []).append(r.value)
@@ -220,7 +258,10 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, per_kind: int = PER_K
             automaton = infer(by_kind[kind])
             each = sorted(automaton.bits(v) / len(v) for v in by_kind[kind])
             kinds.append((automaton, each[min(len(each) - 1, int((1 - MISSED) * len(each)))]))
-    plain = by_kind.get("plain", [])
+    # bare credentials among the tokens are no background; but automata that know most tokens say nothing of them
+    tokens = by_kind.get("plain", [])
+    unlike = [t for t in tokens if not any(a.bits(t) <= most * len(t) for a, most in kinds)]
+    plain = unlike if 2 * len(unlike) >= len(tokens) else tokens
     return Grammar(tuple(kinds), infer(plain) if len(plain) >= LEAST else None)
 
 
@@ -233,8 +274,9 @@ def scan(docs: DataFrame, grammar: Grammar) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def run(frames):
+        accepts = remembering(shared.value)
         for frame in frames:
-            found = [spans_of(t, shared.value) for t in frame["text"]]
+            found = [spans_of(t, shared.value, accepts) for t in frame["text"]]
             base = [[s for s in spans if s[1] < 3] for spans in found]
             out = {"doc_id": frame["doc_id"]}
             for k, kind in enumerate(KINDS[:3]):
@@ -248,10 +290,10 @@ def scan(docs: DataFrame, grammar: Grammar) -> DataFrame:
         run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long")
 
 
-def redacted(text: str, grammar: Grammar, mark: str = "[secret]") -> str:
+def redacted(text: str, grammar: Grammar, mark: str = "[secret]", accepts=None) -> str:
     """``text`` with every secret replaced by ``mark``; of an assignment only its value."""
     out, at = [], 0
-    for a, k, b in spans_of(text, grammar):
+    for a, k, b in spans_of(text, grammar, accepts):
         a = ASSIGN.match(text, a).start(2) if k == 0 else a
         if b <= at:
             continue
@@ -268,7 +310,8 @@ def redact_documents(docs: DataFrame, grammar: Grammar) -> DataFrame:
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else redacted(t, shared.value) for t in texts], dtype=object)
+        accepts = remembering(shared.value)
+        return pd.Series([None if t is None else redacted(t, shared.value, accepts=accepts) for t in texts], dtype=object)
 
     row = F.struct(*[docs[c] for c in docs.columns])
     both = docs.select(row.alias("row"), clean(docs["text"].cast("string")).alias("clean"))

@@ -335,6 +335,30 @@ def test_inferred_grammar_knows_its_format():
     assert words.bits("aeioustrnaeioustrnae") < keys.bits("aeioustrnaeioustrnae")
 
 
+def test_rare_and_short_formats_are_learned(spark):
+    random.seed(8)
+    def short():  # 12 to 15 characters without a digit
+        return "-".join("".join(random.choices("GHIJKLMNOPQRSTUVWXYZ", k=k)) for k in (4, 4, random.randint(2, 5)))
+    def key():
+        return "AKIA" + "".join(random.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16))
+    words = ["".join(random.choices("aeioustrn", k=random.randint(12, 18))) for _ in range(400)]
+    texts = [f"line {n} {words[n % 400]}" for n in range(25_000)]
+    for n in range(10):  # the least that teaches, in 25,000 documents
+        texts[n * 2500] += f" {key()}"
+    for n in range(200):
+        texts[n * 100 + 7] += f" token = '{short()}'"
+    planted = {n * 1000 + 13: short() for n in range(20)}
+    for n, token in planted.items():
+        texts[n] += f" {token}"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    grammar = secret_grammar.learn(docs)
+    assert len(grammar.kinds) == 2
+    for n, token in planted.items():
+        assert secret_grammar.redacted(texts[n], grammar) == texts[n].replace(token, "[secret]")
+    got = secret_grammar.scan(docs, grammar).filter("n_format > 0").select("doc_id").collect()
+    assert {r.doc_id for r in got} == set(planted)
+
+
 # 9 SimHash
 
 def fingerprint_by_hand(text) -> int:
