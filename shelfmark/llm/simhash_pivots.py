@@ -17,6 +17,11 @@ distances change parity together, by 1 in *every* coordinate (one bit) or by
   coordinates, one coordinate after the other;
 * the survivors are verified by the bits themselves.
 
+A cell that would hold more than ``CELL_ROWS`` rows, as when many texts are
+nearly alike, is cut into blocks by a hash, and each pair of blocks is a cell
+of its own: no task holds more, whatever the texts. The pair checks of such a
+cell are dealt out, not saved.
+
 Equal fingerprints are one node, so exact copies of any number cost nothing.
 The number of cell coordinates follows from the number of distinct
 fingerprints and changes the cost only, never the result. Every cell emits a
@@ -46,6 +51,10 @@ from shelfmark.llm.common import ship_package, text_rows, written
 SEED = 42
 #: Coordinates that only discard, beside those that number the cells.
 FILTER_PIVOTS = 12
+#: Rows of a cell beyond which it is cut into blocks.
+CELL_ROWS = 20_000
+#: What a row does in a cell: meets the later rows at home, meets all at home, or is only met.
+HOME, PROBE, STILL = 0, 1, 2
 #: Candidate pairs looked at together.
 PAIRS = 1_000_000
 #: Hashes whose bits are counted together.
@@ -109,13 +118,14 @@ def cell_pivots(distinct: int, max_bits: int) -> int:
 
 
 def _candidate_links(max_bits: int, refs: np.ndarray):
-    """Links among the rows (``cell, fp, probe``) of partitions that are sorted by cell."""
+    """Links among the rows (``cell, fp, role``) of partitions that are sorted by cell."""
     def table(fp: np.ndarray) -> np.ndarray:
         return np.bitwise_count(fp[None, :] ^ refs[:, None]).astype(np.int8)
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         cell, fp = rows["cell"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
-        home = np.nonzero(~rows["probe"].to_numpy())[0]
+        role = rows["role"].to_numpy()
+        home = np.nonzero(role != PROBE)[0]
         home_cell, home_fp = cell[home], fp[home]
         coord, home_coord = table(fp), table(home_fp)
         first = np.searchsorted(home_cell, cell, "left")
@@ -124,7 +134,7 @@ def _candidate_links(max_bits: int, refs: np.ndarray):
         rank = np.full(len(rows), -1, np.int64)
         rank[home] = np.arange(len(home))
         skip = np.where(rank >= 0, rank - first + 1, 0)
-        first, count = first + skip, count - skip
+        first, count = first + skip, np.where(role == STILL, 0, count - skip)
         ends = np.cumsum(count)
         found = []
         for begin in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
@@ -170,7 +180,31 @@ def _stars(pairs: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"u": nodes[far], "v": nodes[label[far]]})
 
 
-def links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
+def _in_blocks(rows: DataFrame, cells: DataFrame, moves: list[int], cell_rows: int) -> DataFrame:
+    """``rows`` (``cell, fp, role``) with each cell of more than ``cell_rows`` rows cut into cells of block pairs."""
+    # cells whose neighbours are all smaller than this hold few enough
+    large = cells.groupBy("cell").count().filter(F.col("count") > cell_rows // len(moves))
+    reached = large.select("cell", "count", F.explode(F.array(*[F.lit(m).cast("long") for m in moves])).alias("move"))
+    hot = reached.select((F.col("cell") + F.col("move")).alias("hot"), "count").groupBy("hot").agg(F.sum("count").alias("rows")).filter(F.col("rows") > cell_rows)
+    hot = written(hot.select("hot", F.ceil(F.col("rows") / cell_rows).cast("long").alias("blocks")), "hot-cells")
+    if hot.isEmpty():
+        return rows
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+
+    def place(home, probe, role):
+        # cells that share a hash cost checks, not results
+        return F.struct(F.xxhash64("cell", home, probe).alias("cell"), role.cast("int").alias("role"))
+
+    met = F.transform(every, lambda k: place(F.col("own"), k, F.when(k == F.col("own"), HOME).otherwise(STILL)))
+    meets = F.transform(F.filter(every, lambda k: (F.col("role") == PROBE) | (k < F.col("own"))), lambda k: place(k, F.col("own"), F.lit(PROBE)))
+    places = F.when(F.col("blocks").isNull(), F.array(F.struct("cell", "role"))).when(
+        F.col("role") == HOME, F.concat(met, meets)).otherwise(meets)
+    dealt = rows.join(hot, rows.cell == hot.hot, "left").withColumn("own", own)
+    return dealt.select("fp", F.explode(places).alias("place")).select("place.cell", "fp", "place.role")
+
+
+def links(nodes: DataFrame, max_bits: int = 2, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Edges ``u > v`` between distinct fingerprints (``nodes``: column ``fp``) that connect what the links connect."""
     if max_bits not in (1, 2):
         raise ValueError("max_bits is 1 or 2")
@@ -180,8 +214,10 @@ def links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
     distance = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(p)))).cast("long") for p in refs[:n].view(np.int64)]
     moves = [sum((128 ** k * o for k, o in enumerate(offset)), 0) for offset in offsets(n, max_bits)]
     cell = sum((d + 2) * 128 ** k for k, d in enumerate(distance))
-    rows = nodes.select("fp", cell.alias("cell")).select("fp", "cell", F.explode(F.array(*[F.lit(m).cast("long") for m in moves])).alias("move"))
-    rows = rows.select((F.col("cell") + F.col("move")).alias("cell"), "fp", (F.col("move") != 0).alias("probe"))
+    cells = nodes.select("fp", cell.alias("cell"))
+    rows = cells.select("fp", "cell", F.explode(F.array(*[F.lit(m).cast("long") for m in moves])).alias("move"))
+    rows = rows.select((F.col("cell") + F.col("move")).alias("cell"), "fp", F.when(F.col("move") != 0, PROBE).otherwise(HOME).alias("role"))
+    rows = _in_blocks(rows, cells, moves, cell_rows)
     return rows.repartition("cell").sortWithinPartitions("cell").mapInPandas(_candidate_links(max_bits, refs[n:]), "u long, v long")
 
 

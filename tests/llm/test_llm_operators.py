@@ -416,6 +416,34 @@ def test_links_in_dense_clusters(spark, bits):
     assert [roots.get(s, s) for s in signed] == want
 
 
+def test_hot_cells_are_cut(spark, monkeypatch):
+    random.seed(9)
+    centre = random.getrandbits(64)
+    fps = sorted({centre ^ sum(1 << b for b in random.sample(range(64), random.choice((1, 2, 4, 6)))) for _ in range(600)} | {random.getrandbits(64) for _ in range(100)})
+    signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
+    nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
+    largest = spark.sparkContext.accumulator(0)
+    plain = simhash_pivots._candidate_links
+
+    def counting(*args):
+        run = plain(*args)
+
+        def counted(frames):
+            frames = list(frames)
+            sizes = [n for frame in frames for n in frame.groupby("cell").size()]
+            largest.add(sum(n > 180 for n in sizes))
+            yield from run(iter(frames))
+        return counted
+
+    monkeypatch.setattr(simhash_pivots, "_candidate_links", counting)
+    for bits in (1, 2):
+        roots = {r.node: r.root for r in simhash_pivots.connected(simhash_pivots.links(nodes, bits, cell_rows=40)).collect()}
+        assert [roots.get(s, s) for s in signed] == component_by_hand(signed, fps, bits)
+    assert largest.value == 0
+    simhash_pivots.links(nodes, 2).collect()
+    assert largest.value > 0  # uncut
+
+
 # 10 packing
 
 @pytest.mark.parametrize("window", [64, 2048])
