@@ -45,6 +45,14 @@ SEED = 16
 LEAST, MOST = -2**63, 2**63 - 1
 
 
+def block_of(ids: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """A block below ``blocks`` for each id, by a mixed hash: ids may share factors with the number of blocks."""
+    h = np.asarray(ids).astype(np.int64).view(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return ((h ^ (h >> np.uint64(31))) % np.asarray(blocks).astype(np.uint64)).astype(np.int64)
+
+
 def scaled(embeddings: DataFrame) -> DataFrame:
     """``vec_id, x``: the integer vectors that take part."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
@@ -197,7 +205,7 @@ def _search(placed: DataFrame, queries: DataFrame, index: Index, k: int, rest: b
             turn = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
             ids = frame["vec_id"].to_numpy()
             yield pd.DataFrame({"vec_id": ids[row], "x": frame["x"].take(row).to_numpy(), "annulus": at[row],
-                                "part": (ids % parts[at])[row], "asking": turn})
+                                "part": block_of(ids, parts[at])[row], "asking": turn})
 
     def spread_queries(frames):
         _, parts, asking = plan.value
@@ -208,7 +216,7 @@ def _search(placed: DataFrame, queries: DataFrame, index: Index, k: int, rest: b
             turn = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
             ids = frame["query_id"].to_numpy()
             yield pd.DataFrame({"query_id": ids[row], "q": frame["q"].take(row).to_numpy(), "annulus": at[row],
-                                "part": turn, "asking": (ids // 100 % np.maximum(1, asking[at]))[row]})
+                                "part": turn, "asking": block_of(ids, np.maximum(1, asking[at]))[row]})
 
     def best(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if q.empty or x.empty:

@@ -135,6 +135,12 @@ def test_top_k_is_exact(spark, monkeypatch):
     assert pivot_topk.top_k(table.limit(0)).count() == 0
 
 
+def test_blocks_are_even_for_any_ids():
+    for step in (16, 1000, 1 << 32, -48):
+        sizes = np.bincount(pivot_topk.block_of(np.arange(16_000) * step, np.full(16_000, 16)), minlength=16)
+        assert len(sizes) == 16 and sizes.max() < 1200
+
+
 # 4 BPE
 
 @pytest.mark.parametrize("path", [BYTE_BPE, WORD_BPE])
