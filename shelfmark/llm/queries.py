@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import (
+    audit_repair,
     bpe_automaton,
     chat_format,
+    cover_lloyd,
     exact_dedup,
     lang_crossparse,
     pivot_topk,
@@ -22,6 +24,7 @@ from shelfmark.llm import (
     secret_grammar,
     simhash_pivots,
     style_tree,
+    tensored_minhash,
     window_packing,
 )
 from shelfmark.llm.common import table
@@ -78,6 +81,18 @@ def op10_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
+def op11_audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_repair.repair(audit_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_cover_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_lloyd.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensored_minhash.components(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def _escaped_sql(column: str) -> str:
     sql = f"replace({column}, '\\', '\\\\')"
     for mark in chat_format.CONTROL:
@@ -125,7 +140,8 @@ SELECT * FROM ranked WHERE rank <= 10
 
 def queries() -> dict[str, QueryFn]:
     return {f.__name__: f for f in (op1_chat_format, op2_exact_dedup, op3_pivot_topk, op4_bpe_automaton, op5_quality_gam,
-                                     op6_style_tree, op7_lang_crossparse, op8_secret_grammar, op9_simhash_pivots, op10_window_packing)}
+                                     op6_style_tree, op7_lang_crossparse, op8_secret_grammar, op9_simhash_pivots, op10_window_packing,
+                                     op11_audit_repair, op12_cover_lloyd, op13_tensored_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
