@@ -33,6 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
@@ -63,6 +65,11 @@ def byte_letters() -> dict[str, int]:
     return letters
 
 
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places ``start, start + 1, ...`` of many runs, one run after the other."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
 class MergeAutomaton:
     """The compiled automaton of one merge table."""
 
@@ -203,16 +210,43 @@ class MergeAutomaton:
 
     def _encode_sorted(self, words: list[bytes]) -> list[bytes]:
         """``encode_words`` for words in order of length, all steps taken together."""
-        n = np.array([len(w) for w in words], np.int64)
+        flat, counts = self._encode_bytes(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], np.int64))
+        data = flat.astype("<u4").tobytes()
+        cuts = [0, *(np.cumsum(counts) * 4).tolist()]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def encode_flat(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words (UTF-8 or binary), one word after the other, and their number in each word."""
+        words = words.cast(pa.large_binary())
+        lengths = pc.binary_length(words).to_numpy(zero_copy_only=False)
+        order = np.argsort(lengths, kind="stable")
+        words, lengths = words.take(pa.array(order)), lengths[order]
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        flats, counts, begin = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        while begin < len(order):
+            alike = int(np.searchsorted(lengths, 2 * lengths[begin] + 7, "right"))
+            cells = (lengths[begin:alike] + 1) * np.arange(1, alike - begin + 1)
+            stop = begin + max(1, int(np.searchsorted(cells, STEP_CELLS, "right")))
+            flat, count = self._encode_bytes(data[ends[begin]:ends[stop]], lengths[begin:stop])
+            flats.append(flat), counts.append(count)
+            begin = stop
+        flat, sorted_counts = np.concatenate(flats), np.concatenate(counts)
+        back = np.argsort(order)
+        starts = np.cumsum(sorted_counts) - sorted_counts
+        return flat[ragged(starts[back], sorted_counts[back])], sorted_counts[back]
+
+    def _encode_bytes(self, data: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in order of length, given as their bytes one after the other and their lengths."""
         width = int(n[-1]) + 1
-        symbols = np.full((len(words), width), self.filler, np.int16)
-        symbols[np.arange(width) < n[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+        symbols = np.full((len(n), width), self.filler, np.int16)
+        symbols[np.arange(width) < n[:, None]] = data
         if self.end is not None:
-            symbols[np.arange(len(words)), n] = self.end
+            symbols[np.arange(len(n)), n] = self.end
             n = n + (n > 0)
-        last = np.full((len(words), width + 1), -1, np.int64)
+        last = np.full((len(n), width + 1), -1, np.int64)
         for j in range(int(n[-1])):
-            at = np.arange(int(np.searchsorted(n, j, "right")), len(words))
+            at = np.arange(int(np.searchsorted(n, j, "right")), len(n))
             node = np.full(len(at), ROOT, np.int32)
             for k in range(j, width):
                 place = self.base[node] + symbols[at, k]
@@ -227,8 +261,8 @@ class MergeAutomaton:
                     ok = self.arcs(last[to, j], t)
                     to, t = to[ok], t[ok]
                 last[to, k + 1] = t
-        steps, pos, rows = [], n.copy(), np.arange(len(words))
-        counts = np.zeros(len(words), np.int64)
+        steps, pos, rows = [], n.copy(), np.arange(len(n))
+        counts = np.zeros(len(n), np.int64)
         while True:
             go = pos > 0
             if not go.any():
@@ -238,16 +272,46 @@ class MergeAutomaton:
             counts += go
             pos = pos - np.where(go, self.length[t], 0)
         if not steps:
-            return [b""] * len(words)
+            return np.zeros(0, np.uint32), counts
         back = np.stack(steps, 1)
         place = counts[:, None] - 1 - np.arange(back.shape[1])
         keep = place >= 0
         ends = np.cumsum(counts)
         flat = np.zeros(int(ends[-1]), np.uint32)
         flat[(ends - counts)[:, None].repeat(back.shape[1], 1)[keep] + place[keep]] = self.ids[back[keep]]
-        data = flat.astype("<u4").tobytes()
-        cuts = [0, *(ends * 4).tolist()]
-        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return flat, counts
+
+
+class PieceTable:
+    """Encoded pieces of the pre-split as arrays: the piece in slot k has the ids ``pool[start[k]:start[k] + length[k]]``.
+
+    Slots are found by hashing in Arrow, so no piece becomes a Python object.
+    """
+
+    def __init__(self, automaton: MergeAutomaton):
+        self.automaton = automaton
+        self.clear()
+
+    def clear(self) -> None:
+        self.pieces = pa.array([], pa.large_binary())
+        self.pool = np.zeros(0, np.uint32)
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def slots(self, pieces: pa.Array) -> np.ndarray:
+        """The slot of each piece (all different); new ones are encoded."""
+        pieces = pieces.cast(pa.large_binary())
+        found = pc.index_in(pieces, value_set=self.pieces)
+        missing = pc.is_null(found)
+        new = pieces.filter(missing)
+        at = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new):
+            flat, count = self.automaton.encode_flat(new)
+            at[missing.to_numpy(zero_copy_only=False)] = len(self.pieces) + np.arange(len(new))
+            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(count) - count])
+            self.length = np.concatenate([self.length, count])
+            self.pool = np.concatenate([self.pool, flat])
+            self.pieces = pa.concat_arrays([self.pieces, new])
+        return at
 
 
 class TextCoder:
@@ -255,7 +319,10 @@ class TextCoder:
 
     Texts are cut into chunks at white space where the pre-split certainly
     has a boundary; a chunk's ids depend on nothing else, so each chunk is
-    encoded once and remembered. Code points under U+0250 take the pre-split
+    encoded once and remembered. Where pieces do not take a space along, all
+    chunks of a batch are handled together as Arrow and numpy arrays
+    (``_encode_arrays``); the few texts with special tokens, rare separators or
+    code points from U+0250 up take the way chunk by chunk. Code points under U+0250 take the pre-split
     pattern here; chunks with others ask the tokenizer file's own normalizer
     and pre-tokenizer, whose letter classes may be of another Unicode version.
     """
@@ -284,6 +351,7 @@ class TextCoder:
         self.spaced: dict[str, bytes] = {}  # chunks that follow a space, without it
         self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}  # what both held before
         self.cached_chars = 0
+        self.table = PieceTable(self.automaton)
         self.labels = self.automaton.label | {i: s.encode() for s, i in self.special.items()}
 
     _space_before_word = re.compile(r" (?=\S)")
@@ -340,6 +408,78 @@ class TextCoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        if self.keeps_space:
+            return self._encode_chunks(texts)
+        column = pa.array(texts, pa.large_string())
+        plain = self._plain(column, texts)
+        found = iter(self._encode_arrays(pc.utf8_lower(column.filter(pa.array(plain)))))
+        others = iter(self._encode_chunks([t for t, p in zip(texts, plain.tolist(), strict=True) if not p]))
+        return [next(found) if p else next(others) for p in plain.tolist()]
+
+    def _has_special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
+    def _plain(self, column: pa.Array, texts: list[str]) -> np.ndarray:
+        """Marks the texts for ``_encode_arrays``, by their bytes: no lead byte from 0xC9 up, no U+0130, no U+001C to U+001F, no special token."""
+        data, offsets = np.frombuffer(column.buffers()[2] or b"", np.uint8), np.frombuffer(column.buffers()[1], np.int64)[:len(texts) + 1]
+        odd = (data >= 0xC9) | ((data >= 0x1C) & (data <= 0x1F))
+        odd[:-1] |= (data[:-1] == 0xC4) & (data[1:] == 0xB0)
+        upto = np.concatenate([[0], np.cumsum(odd)])
+        return (upto[offsets[1:]] == upto[offsets[:-1]]) & np.array([not self._has_special(t) for t in texts], bool)
+
+    #: A word of letters that the pre-split keeps together, and the marks that close it.
+    _closed_word = f"^(?P<core>[{''.join(sorted(set(LATIN.lower())))}]+)(?P<end>[{re.escape(CLOSING)}]*)$"
+
+    def _encode_arrays(self, texts: pa.Array) -> list[bytes]:
+        """Ids of lower-case texts under U+0250 without special tokens, by whole columns.
+
+        The texts' chunks are reduced to the different ones; those are words
+        with closing marks, or cut by the pre-split pattern; the different
+        pieces are encoded, and the ids gathered back by offsets.
+        """
+        table = self.table
+        if len(table.pieces) > CACHED_CHUNKS or 4 * table.pieces.nbytes > CACHED_CHARS:
+            table.clear()
+        split = pc.utf8_split_whitespace(texts)
+        chunks = split.flatten()
+        filled = pc.greater(pc.binary_length(chunks), 0)
+        upto = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])
+        per_text = upto[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        coded = chunks.filter(filled).dictionary_encode()
+        words, which = coded.dictionary, coded.indices.to_numpy()
+        closed = pc.extract_regex(words, self._closed_word)
+        is_closed = closed.is_valid().to_numpy(zero_copy_only=False)
+        cores, ends = (closed.field(k).filter(pa.array(is_closed)) for k in (0, 1))
+        cores, ends = cores.dictionary_encode(), ends.dictionary_encode()
+        others = [self._presplit(w) for w in words.filter(pa.array(~is_closed)).to_pylist()]
+        other_pieces = pa.array([p for ws in others for p in ws], pa.large_binary()).dictionary_encode()
+
+        # the pieces of each different chunk: a word and its marks, or what the pattern found
+        end_length = pc.binary_length(ends.dictionary).to_numpy(zero_copy_only=False)
+        end_at = ends.indices.to_numpy()
+        with_end = end_length[end_at] > 0 if len(end_at) else np.zeros(0, bool)
+        pieces = np.zeros(len(words), np.int64)
+        pieces[is_closed] = 1 + with_end
+        pieces[~is_closed] = [len(ws) for ws in others]
+        first = np.cumsum(pieces) - pieces
+        slot = np.zeros(int(pieces.sum()), np.int64)
+        slot[first[is_closed]] = table.slots(cores.dictionary)[cores.indices.to_numpy()]
+        if with_end.any():
+            filled_end = np.nonzero(end_length > 0)[0]
+            end_slot = np.zeros(len(end_length), np.int64)
+            end_slot[filled_end] = table.slots(ends.dictionary.take(pa.array(filled_end)))
+            slot[first[is_closed][with_end] + 1] = end_slot[end_at[with_end]]
+        slot[ragged(first[~is_closed], pieces[~is_closed])] = table.slots(other_pieces.dictionary)[other_pieces.indices.to_numpy()]
+
+        ids_upto = np.concatenate([[0], np.cumsum(table.length[slot])])
+        ids = table.pool[ragged(table.start[slot], table.length[slot])]
+        begin, length = ids_upto[first], ids_upto[first + pieces] - ids_upto[first]
+        flat = ids[ragged(begin[which], length[which])]
+        text_ends = np.concatenate([[0], np.cumsum(length[which])])[per_text] * 4
+        data, cuts = flat.astype("<u4").tobytes(), text_ends.tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _encode_chunks(self, texts: list[str]) -> list[bytes]:
         if 2 * (len(self.cache) + len(self.spaced)) > CACHED_CHUNKS or 2 * self.cached_chars > CACHED_CHARS:
             self.older = self.cache, self.spaced
             self.cache, self.spaced, self.cached_chars = {}, {}, 0
@@ -350,7 +490,7 @@ class TextCoder:
         get = self.spaced.get
         for text in texts:
             parts: list[list[bytes | None]] = []
-            for part in self.special_split.split(text) if self.special_split and "<|" in text else [text]:
+            for part in self.special_split.split(text) if self._has_special(text) else [text]:
                 if part in self.special:
                     parts.append([self.special[part].to_bytes(4, "little")])
                 elif part:

@@ -297,3 +297,27 @@ def test_new_queries_run(spark):
                           ("op13_tensored_minhash", "component_id,doc_id,kept,n_shingles")):
         df = run[name](spark, SF)
         assert ",".join(sorted(df.columns)) == columns and df.count() > 0
+
+
+# 10: the coder's way by whole columns
+
+def test_columns_of_latin_texts_equal_the_library():
+    """Every code point under U+0250 in words, marks and between them, special tokens and far letters among them."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from shelfmark.llm import bpe_automaton
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, coder = Tokenizer.from_file(path), bpe_automaton.TextCoder(path)
+    library.no_truncation(), library.no_padding()
+    random.seed(11)
+    latin = [chr(c) for c in range(1, 0x250)]
+    letters = [c for c in latin if c.isalpha()]
+    texts = ["".join(latin), "".join(reversed(latin)), "", " "]
+    texts += [" ".join("".join(random.choices(letters, k=random.randint(1, 9))) + random.choice([".", "", "!?", ")", "'s", "1"]) for _ in range(6)) for _ in range(400)]
+    texts += ["".join(random.choices([*latin, "漢", "Σ", "<|endoftext|>", "<|", " ", " "], k=20)) for _ in range(600)]
+    for part in (slice(0, 500), slice(500, None), slice(0, 500)):  # known and new pieces
+        got = coder.encode(texts[part])
+        want = [e.ids for e in library.encode_batch(texts[part], add_special_tokens=False)]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == want
