@@ -13,19 +13,22 @@ differ, with probability below 2 * (1 - s ** ROWS) ** HALVES: 2.2e-5 at 0.85,
 3e-7 at 0.9. Half keys that only one set has cannot meet; they go before the
 pairs are formed, so an ordinary text gives no rows at all.
 
-Candidates of a table are looked at in three turns, each verified by the whole
-sets and followed by joining what links:
+Candidates of a table are looked at in three turns:
 
 * star: each set with the smallest one of its buckets that it resembles most;
-* forest: between sets of a bucket that are not joined yet, the pairs of most
-  agreeing minhashes that would join them;
-* rest: all pairs of a bucket that are not joined yet.
-
-The last two compare minhashes of a bucket's rows in the task and give out what
-may reach the similarity (a link stays with probability 1 - 1e-6), never all
-pairs. A bucket of more than ``CELL_ROWS`` rows is cut into blocks, whose pairs
-are dealt over tasks. Equal sets are one node, so exact copies cost nothing,
-and pairs that are joined already are not looked at.
+  the whole sets verify the link;
+* families: within each bucket, a task compares the minhashes of sets that are
+  not joined yet and gives out a spanning forest of the pairs that may reach
+  the similarity (a link stays with probability 1 - 1e-6). What these forests
+  connect is a family; every pair that may link lies in one;
+* rest: the sets of a family meet in one task, whole, once each; all of its
+  pairs that are not joined yet and may link are verified there, the most
+  agreeing first, and the links that join something are given out.
+
+So no step gives out more pairs than there are sets in its groups. A bucket or
+family of more than ``CELL_ROWS`` rows (or ``CELL_SHINGLES`` shingles) is cut
+into blocks, whose pairs are dealt over tasks. Equal sets are one node, so
+exact copies cost nothing, and pairs that are joined already are not looked at.
 
 Sets are verified as sets of 64-bit hashes of all shingles (of the words'
 XXH64), equality of sets by a 128-bit digest of them.
@@ -54,10 +57,12 @@ from shelfmark.llm.simhash_pivots import connected
 SEED = 42
 HALVES, ROWS = 12, 3
 MINHASHES = 2 * HALVES * ROWS
-#: Rows of a bucket that one task compares with each other or with another block.
-CELL_ROWS = 8192
+#: Rows of a bucket or family, and shingles of a family, that one task compares with each other or with another block.
+CELL_ROWS, CELL_SHINGLES = 8192, 2_000_000
 #: Nodes whose ids are broadcast at most (8 MB); more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
+#: Links between components that one task joins at most (16 MB); more are joined by rounds over all tasks.
+LOCAL_LINKS = 1_000_000
 #: Characters of texts, and shingles, that a task looks at together.
 CHARS, PIECE = 4_000_000, 1 << 18
 #: Pairs whose minhashes are compared together.
@@ -190,26 +195,35 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return near.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long, agreeing long")
 
 
-def _cross_pairs(percent: int, forest: bool):
-    """Likely pairs of rows (``cell, own, node, comp, n, sketch``) that share a cell and no component; sorted by cell."""
+def _cross_pairs(comp, n, own, halved, lanes, percent: int, least: int):
+    """Pairs ``a < b`` of a cell's rows that share no component and may link, and their agreeing minhashes, the most agreeing first.
+
+    ``halved`` cells hold two blocks, whose rows meet those of the other block only.
+    """
+    found = [np.zeros((3, 0), np.int64)]
+    step = max(1, PAIRS // max(1, len(comp)))
+    for begin in range(0, len(comp), step):
+        a, b = np.nonzero(comp[begin:begin + step, None] != comp[None, :])
+        a += begin
+        fit = (a < b) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (~halved[a] | (own[a] != own[b]))
+        a, b = a[fit], b[fit]
+        agreeing = (lanes[a] == lanes[b]).sum(axis=1)
+        good = agreeing >= least
+        found.append(np.stack([a[good], b[good], agreeing[good]]))
+    a, b, agreeing = np.concatenate(found, axis=1)
+    order = np.argsort(-agreeing, kind="stable")
+    return a[order].tolist(), b[order].tolist()
+
+
+def _joining(percent: int, verify: bool):
+    """For rows sorted by cell (``cell, own, halved, node, comp, n, sketch``, and ``shingles`` to ``verify`` with): pairs that join components, in each cell a forest."""
     least = least_agreement(percent)
 
-    def pairs(rows: pd.DataFrame, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        comp, n, own, halved = (rows[c].to_numpy() for c in ("comp", "n", "own", "halved"))
-        found = []
-        step = max(1, PAIRS // max(1, len(rows)))
-        for begin in range(0, len(rows), step):
-            a, b = np.nonzero(comp[begin:begin + step, None] != comp[None, :])
-            a += begin
-            fit = (a < b) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (~halved[a] | (own[a] != own[b]))
-            a, b = a[fit], b[fit]
-            agreeing = (lanes[a] == lanes[b]).sum(axis=1)
-            good = agreeing >= least
-            found.append(np.stack([a[good], b[good], agreeing[good]]))
-        return tuple(np.concatenate(found, axis=1))
-
-    def joining(rows: pd.DataFrame, a, b, agreeing) -> np.ndarray:
-        """Marks the pairs, the most agreeing first, that join components which no pair before joins."""
+    def of_cell(rows: pa.Table) -> list[tuple[int, int]]:
+        comp, n, own, halved, node = (rows.column(c).to_numpy() for c in ("comp", "n", "own", "halved", "node"))
+        if (comp == comp[0]).all():
+            return []
+        a, b = _cross_pairs(comp, n, own, halved, _lanes(rows.column("sketch")), percent, least)
         root: dict[int, int] = {}
 
         def top(x):
@@ -217,60 +231,126 @@ def _cross_pairs(percent: int, forest: bool):
                 x = root[x]
             return x
 
-        comp = rows["comp"].to_numpy()
-        keep = np.zeros(len(a), bool)
-        for k in np.argsort(-agreeing, kind="stable"):
-            x, y = top(int(comp[a[k]])), top(int(comp[b[k]]))
-            if x != y:
-                root[max(x, y)], keep[k] = min(x, y), True
-        return keep
-
-    def of_cells(rows: pd.DataFrame) -> pd.DataFrame:
-        lanes = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(-1, MINHASHES)
-        cell = rows["cell"].to_numpy()
+        sets: dict[int, np.ndarray] = {}
+
+        def whole(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = rows.column("shingles")[k].values.to_numpy()
+            return sets[k]
+
+        out = []
+        for i, j in zip(a, b, strict=True):
+            x, y = top(int(comp[i])), top(int(comp[j]))
+            if x == y:
+                continue
+            if verify:
+                both = len(np.intersect1d(whole(i), whole(j), assume_unique=True))
+                if 100 * both < percent * (int(n[i]) + int(n[j]) - both):
+                    continue
+            root[max(x, y)] = min(x, y)
+            out.append((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))))
+        return out
+
+    def of_cells(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        cell = rows.column("cell").to_numpy()
         cuts = [0, *(np.nonzero(np.diff(cell))[0] + 1).tolist(), len(cell)]
-        out = [np.zeros((2, 0), np.int64)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            if hi - lo < 2:
+        pairs = [p for lo, hi in zip(cuts, cuts[1:]) if hi - lo > 1 for p in of_cell(rows.slice(lo, hi - lo))]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            group = rows.iloc[lo:hi]
-            a, b, agreeing = pairs(group, lanes[lo:hi])
-            if forest:
-                keep = joining(group, a, b, agreeing)
-                a, b = a[keep], b[keep]
-            node = group["node"].to_numpy()
-            out.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]))
-        u, v = np.concatenate(out, axis=1)
-        return pd.DataFrame({"u": u, "v": v})
-
-    def run(frames):
-        held = None
-        for frame in frames:
-            rows = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            ends = int(np.searchsorted(rows["cell"].to_numpy(), rows["cell"].iloc[-1], "left")) if len(rows) else 0
-            held = rows.iloc[ends:].reset_index(drop=True)
-            if ends:
-                yield of_cells(rows.iloc[:ends])
-        if held is not None and len(held):
-            yield of_cells(held)
+            cell = batch.column("cell").to_numpy()
+            last = int(np.searchsorted(cell, cell[-1], "left"))
+            if held and cell[0] != held[-1].column("cell")[0].as_py():
+                yield of_cells(pa.Table.from_batches(held))
+                held = []
+            if last:
+                yield of_cells(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield of_cells(pa.Table.from_batches(held))
     return run
 
 
-def open_pairs(members: DataFrame, sketches: DataFrame, links: DataFrame, percent: int, forest: bool, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Likely pairs ``u < v`` within buckets, between nodes that ``links`` does not join."""
-    roots = connected(links)
-    named = members.join(roots, members.node == roots.node, "left").select("key", members.node, F.coalesce("root", members.node).alias("comp"))
-    named = written(named, "minhash-members")
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo < hi")
-    blocks = F.ceil(F.col("rows") / cell_rows).cast("long")
-    rows = named.join(mixed.select("key", blocks.alias("blocks")).hint("rebalance"), "key")
+def _in_cells(rows: DataFrame, group: str, blocks: DataFrame) -> DataFrame:
+    """``rows`` of the groups that ``blocks`` (``group, blocks``) names, in the cells of their blocks' pairs."""
+    rows = rows.join(blocks.hint("rebalance"), group)
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    rows = rows.select(cell.alias("cell"), "own", (F.col("own") != F.col("other")).alias("halved"), "node", "comp")
-    rows = rows.join(sketches.select("node", "n", "sketch"), "node")
-    rows = rows.select("cell", "own", "halved", "node", "comp", "n", "sketch")
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInPandas(_cross_pairs(percent, forest), "u long, v long").distinct()
+    cell = F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other"))
+    return rows.select(cell.alias("cell"), "own", (F.col("own") != F.col("other")).alias("halved"), "node", "comp")
+
+
+def jumped(links: DataFrame) -> DataFrame:
+    """``node, root`` of all ends of ``links`` (``u, v``) where each ``v`` has one ``u < v``: pointers are followed until none leads on."""
+    now = written(links.select(F.col("v").alias("node"), F.col("u").alias("root")), "minhash-roots")
+    while True:
+        further = now.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        now = written(now.join(further, "root", "left").select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")), "minhash-roots")
+        if now.filter("moved").isEmpty():
+            break
+        now = now.drop("moved")
+    return now.select("node", "root")
+
+
+def _united(frames):
+    """``node, root`` of all ends of the links in ``frames``."""
+    root: dict[int, int] = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for frame in frames:
+        for u, v in zip(frame["u"].tolist(), frame["v"].tolist(), strict=True):
+            a, b = top(u), top(v)
+            root[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"node": list(root), "root": [top(x) for x in root]}, dtype="int64")
+
+
+def rooted(frame: DataFrame, roots: DataFrame, column: str) -> DataFrame:
+    """``frame`` with the root of ``column`` in its place (itself where it has none)."""
+    named = roots.select(F.col("node").alias(column), F.col("root").alias("_root"))
+    return frame.join(named, column, "left").withColumn(column, F.coalesce("_root", column)).drop("_root")
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after further ``links`` (``u, v``) between nodes."""
+    between = rooted(rooted(links, roots, "u"), roots, "v").filter("u <> v").distinct()
+    between = written(between, "minhash-between")
+    if between.count() <= LOCAL_LINKS:
+        tops = between.coalesce(1).mapInPandas(_united, "node long, root long")
+    else:
+        tops = connected(between)
+    tops = written(tops.filter("node <> root"), "minhash-tops")
+    return written(rooted(roots, tops, "root").unionByName(tops.join(roots, "node", "left_anti")), "minhash-roots")
+
+
+def families(members: DataFrame, sketches: DataFrame, roots: DataFrame, percent: int, cell_rows: int) -> DataFrame:
+    """Pairs ``u < v`` that connect, over all buckets, all nodes of different roots that may link."""
+    named = written(rooted(members.select("key", "node", F.col("node").alias("comp")), roots, "comp"), "minhash-members")
+    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo < hi")
+    cells = _in_cells(named, "key", mixed.select("key", F.ceil(F.col("rows") / cell_rows).cast("long").alias("blocks")))
+    rows = cells.join(sketches.select("node", "n", "sketch"), "node").repartition("cell").sortWithinPartitions("cell")
+    return rows.mapInArrow(_joining(percent, False), "u long, v long").distinct()
+
+
+def rest(family_of: DataFrame, docs: DataFrame, sketches: DataFrame, roots: DataFrame, shingle: int, percent: int, cell_rows: int) -> DataFrame:
+    """Verified links ``u < v`` that connect, within families (``node, family``), what all links connect."""
+    named = written(rooted(family_of.withColumn("comp", F.col("node")), roots, "comp").join(sketches, "node"), "minhash-families")
+    sizes = named.groupBy("family").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("rows") / cell_rows), F.ceil(F.col("shingles") / CELL_SHINGLES)).cast("long")
+    cells = _in_cells(named.select("family", "node", "comp"), "family", sizes.select("family", blocks.alias("blocks")))
+    sets = written(whole_sets(docs, named.select("node", "doc_id", "digest"), shingle), "minhash-sets")
+    rows = cells.join(named.select("node", "n", "sketch"), "node").join(sets, "node").repartition("cell").sortWithinPartitions("cell")
+    return rows.mapInArrow(_joining(percent, True), "u long, v long").distinct()
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -281,11 +361,12 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()),
                                               pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["digest", "shingles"])
 
-    rows, ids = text_rows(docs), wanted.select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    if wanted.count() <= BROADCAST_NODES:
+    rows, ids = text_rows(docs), wanted.select("doc_id").filter("doc_id IS NOT NULL")
+    nodes, nameless = wanted.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
+    if nodes <= BROADCAST_NODES:
         ids = F.broadcast(ids)
     texts = rows.join(ids, "doc_id", "left_semi")
-    if not wanted.filter("doc_id IS NULL").isEmpty():
+    if nameless:
         texts = texts.unionByName(rows.filter("doc_id IS NULL"))
     sets = texts.mapInArrow(run, "digest binary, shingles array<long>")
     return sets.join(wanted.select("digest", "node").hint("rebalance"), "digest").select("node", "shingles").dropDuplicates(["node"])
@@ -303,24 +384,25 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, shingle: i
     return sized.filter(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("u", "v")
 
 
-def links(docs: DataFrame, sketches: DataFrame, shingle: int = 3, percent: int = 85, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Verified links ``u < v`` between nodes that connect what all links connect.
+def joined_nodes(docs: DataFrame, sketches: DataFrame, shingle: int = 3, percent: int = 85, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``node, root`` for nodes that links join to another one; ``root`` is the smallest reachable (roots themselves may be absent).
 
     ``sketches``: ``node, doc_id, n, digest, sketch``, one row for each distinct set.
     """
     members = written(bucket_members(sketches), "minhash-buckets")
     stars = members.filter("node > lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
     best = likely(stars, sketches, percent).groupBy("v").agg(F.max(F.struct("agreeing", -F.col("u"))).alias("best"))
-    tried = written(best.select((-F.col("best.col2")).alias("u"), "v"), "minhash-pairs")
-    found = written(confirmed(tried, docs, sketches, shingle, percent), "minhash-links")
-    for forest in (True, False):
-        pairs = open_pairs(members, sketches, found, percent, forest, cell_rows)
-        pairs = written(pairs.join(tried, ["u", "v"], "left_anti"), "minhash-pairs")
-        if pairs.isEmpty():
-            continue
-        tried = tried.unionByName(pairs)
-        found = found.unionByName(written(confirmed(pairs, docs, sketches, shingle, percent), "minhash-links"))
-    return found
+    pairs = written(best.select((-F.col("best.col2")).alias("u"), "v"), "minhash-pairs")
+    roots = jumped(confirmed(pairs, docs, sketches, shingle, percent))
+    near = written(families(members, sketches, roots, percent, cell_rows), "minhash-near")
+    if near.isEmpty():
+        return roots
+    tops = merged(roots, near).select("node", F.col("root").alias("family"))
+    # nodes of families that hold more than one root; a family's own top is one of them
+    met = rooted(near.select(F.col("u").alias("family")), tops.select("node", F.col("family").alias("root")), "family").distinct()
+    family_of = tops.unionByName(met.select(F.col("family").alias("node"), "family")).join(met.hint("rebalance"), "family", "left_semi").select("node", "family")
+    found = written(rest(family_of, docs, sketches, roots, shingle, percent, cell_rows), "minhash-links")
+    return merged(roots, found)
 
 
 def components(docs: DataFrame, shingle: int = 3, percent: int = 85, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -330,10 +412,10 @@ def components(docs: DataFrame, shingle: int = 3, percent: int = 85, cell_rows:
     sets = written(with_sketches(docs, shingle).withColumn("row", F.monotonically_increasing_id()), "minhash-sketches")
     nodes = written(sets.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id")), "minhash-nodes")
     sketches = sets.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
-    roots = connected(links(docs, written(sketches, "minhash-nodes"), shingle, percent, cell_rows))
-    rooted = nodes.join(roots, "node", "left").select("digest", "least_id", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("digest", "component_id")
+    roots = joined_nodes(docs, written(sketches, "minhash-nodes"), shingle, percent, cell_rows)
+    tops = rooted(nodes.withColumn("root", F.col("node")), roots, "root")
+    least = tops.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = tops.join(least, "root").select("digest", "component_id")
     full = sets.filter("n > 0").join(named.hint("rebalance"), "digest").select("doc_id", "n", "component_id")
     alone = sets.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return full.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id",
