@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from shelfmark import schemas
 from shelfmark.functions import columns as C
+from shelfmark.operators import collisions
 from shelfmark.operators.keys import latest_per_key, sequential_keys
-from shelfmark.session import checkpoint_dir
 from shelfmark.sources.tables import Tables
 
 STOCK_KEY = ("ProductID", "WarehouseID")
@@ -158,6 +158,17 @@ def delete_orders(t: Tables, ids: DataFrame) -> Tables:
     )
 
 
+def removed_lines(t: Tables, products: DataFrame | None = None, orders: DataFrame | None = None) -> DataFrame:
+    """The order lines that W4 (of ``products``) and W5 (of ``orders``) take away, each once."""
+    left, parts = t.order_detail, []
+    for ids, key in ((products, "ProductID"), (orders, "OrderID")):
+        if ids is not None:
+            gone = _plain(ids.select(key))
+            parts.append(left.join(gone, key, "left_semi").select(*t.order_detail.columns))
+            left = left.join(gone, key, "left_anti")
+    return reduce(DataFrame.unionByName, parts) if parts else left.limit(0)
+
+
 # Input rules of the entry forms (a NULL in a nullable column passes, as a CHECK does).
 def product_rules() -> dict[str, Column]:
     return {
@@ -195,11 +206,7 @@ def validate(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFr
     return accepted, rejected
 
 
-def _not_null(cols: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & F.col(c).isNotNull()
-    return cond
+_not_null = collisions.all_present
 
 
 def _drop_colliding(rows: DataFrame, other: DataFrame, unique_keys: Sequence[Sequence[str]]) -> DataFrame:
@@ -221,8 +228,8 @@ def append_ignore(base: DataFrame, new: DataFrame, unique_keys: Sequence[Sequenc
 
     ``unique_keys`` lists the primary key and every UNIQUE key. A row is
     skipped when it collides with ``base`` or with an earlier accepted row of
-    the batch (``order_by`` gives the batch order and must be unique per
-    row), when a foreign key in ``parents`` (column, parent table, parent
+    the batch (``order_by`` gives the batch order and must be unique and
+    non-NULL per row), when a foreign key in ``parents`` (column, parent table, parent
     key column) has no parent, or when ``checks`` is false. NULL key parts never
     collide. Columns absent from ``new`` take ``defaults`` (else NULL).
     Running the same batch twice changes nothing.
@@ -230,7 +237,8 @@ def append_ignore(base: DataFrame, new: DataFrame, unique_keys: Sequence[Sequenc
     order = list(order_by)
     cand = new
     for col, parent, pcol in parents:
-        present = parent.select(F.col(pcol).alias("_parent"))
+        # distinct: no declared key keeps a parent's key from repeating
+        present = parent.select(F.col(pcol).alias("_parent")).where("_parent IS NOT NULL").distinct().hint("rebalance")
         cand = cand.join(present, cand[col] == present["_parent"], "left").where(
             F.col(col).isNull() | F.col("_parent").isNotNull()).drop("_parent")
     if checks is not None:
@@ -251,43 +259,56 @@ def append_ignore(base: DataFrame, new: DataFrame, unique_keys: Sequence[Sequenc
     return ChangeResult(base.unionByName(shaped), rejected)
 
 
-def _first_wins_multi(cand: DataFrame, unique_keys: Sequence[Sequence[str]], order: list[str]) -> DataFrame:
+def _round(undecided: DataFrame, unique_keys: Sequence[Sequence[str]]) -> tuple[DataFrame, DataFrame]:
+    """(accepted, still undecided): rows that are earliest on all of their keys win, those that collide with a winner go.
+
+    "Earliest on key k" is found without joining on k: the least number per
+    key value is an aggregate (map-side combined), and the numbers are joined
+    back, one row each, so that join is balanced whatever the key
+    distribution. Collision removal is an anti join on plain key projections,
+    which AQE can split.
+    """
+    flagged, earliest = undecided, F.lit(True)
+    for i, k in enumerate(unique_keys):
+        firsts = (undecided.where(_not_null(k)).groupBy(*k).agg(F.min("_n").alias("_n"))
+                  .select("_n", F.lit(True).alias(f"_first{i}")))
+        flagged = flagged.join(firsts, "_n", "left")
+        earliest = earliest & (~_not_null(k) | F.col(f"_first{i}").isNotNull())
+    winners = flagged.where(earliest).select(*undecided.columns).checkpoint(eager=True)
+    rest = undecided.join(winners.select("_n"), "_n", "left_anti")
+    return winners, _drop_colliding(rest, winners, unique_keys).checkpoint(eager=True)
+
+
+def _first_wins_multi(cand: DataFrame, unique_keys: Sequence[Sequence[str]], order: list[str],
+                      group_rows: int = collisions.GROUP_ROWS) -> DataFrame:
     """Sequential INSERT IGNORE semantics with several unique keys (H2).
 
-    Each round accepts every undecided row that is earliest on all of its
-    keys (such a row cannot collide with anything accepted before it), then
-    drops undecided rows that collide with a newly accepted row (those are
-    later on the shared key). The earliest undecided row always wins, so
-    every round makes progress.
-
-    "Earliest on key k" is found without joining on k: the minimum rank per
-    key value is an aggregate (map-side combined), and the ranks themselves
-    (the unique ``order`` columns) are joined back, one row per rank, so that
-    join is balanced whatever the key distribution. Collision removal is an
-    anti join on plain key projections, which AQE can split.
+    1. The rows are numbered in batch order. One round accepts the rows that
+       are earliest on all of their keys and drops what collides with them;
+       that settles most rows, a value that many rows share among them.
+    2. What is left is split into collision components
+       (``operators.collisions``); each is resolved in order on its own, in a
+       number of jobs that does not grow with its chains.
+    3. Components of more than ``group_rows`` rows go on in rounds; the
+       earliest undecided row always wins, so every round makes progress.
     """
-    checkpoint_dir(cand.sparkSession)
-    rank = F.struct(*[F.col(c) for c in order])
-    undecided = cand.checkpoint(eager=True)
-    accepted: DataFrame | None = None
+    placed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in order])
+    unplaced = F.raise_error(F.lit("order_by columns must be non-NULL")).cast("boolean")
+    numbered = sequential_keys(cand.where(F.when(placed, F.lit(True)).otherwise(unplaced)), order, F.lit(0), "_n")
+    accepted, undecided = _round(numbered, unique_keys)
+    if not undecided.isEmpty():
+        members = collisions.components(collisions.key_numbers(undecided, unique_keys, "_n"), "_n").checkpoint(eager=True)
+        large = members.groupBy("root").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > group_rows).select("root")
+        large = large.checkpoint(eager=True)
+        gone = collisions.refused(members.join(large, "root", "left_anti"), "_n")
+        waiting = members.join(large.hint("rebalance"), "root", "left_semi").select("_n")
+        apart = undecided.join(gone.unionByName(waiting), "_n", "left_anti")
+        accepted = accepted.unionByName(apart.checkpoint(eager=True))
+        undecided = undecided.join(waiting, "_n", "left_semi").checkpoint(eager=True)
     while not undecided.isEmpty():
-        flagged = undecided
-        earliest = F.lit(True)
-        for i, k in enumerate(unique_keys):
-            firsts = (undecided.where(_not_null(k)).groupBy(*k).agg(F.min(rank).alias("_r"))
-                      .select(*[F.col(f"_r.{c}").alias(c) for c in order])
-                      .withColumn(f"_first{i}", F.lit(True)))
-            flagged = flagged.join(firsts, order, "left")
-            earliest = earliest & (~_not_null(k) | F.col(f"_first{i}").isNotNull())
-        winners = flagged.where(earliest).select(*undecided.columns).checkpoint(eager=True)
-        if winners.isEmpty():
-            raise ValueError("order_by columns must be non-NULL and unique per batch row")
-        accepted = winners if accepted is None else accepted.unionByName(winners)
-        rest = undecided.join(winners.select(*order), order, "left_anti")
-        undecided = _drop_colliding(rest, winners, unique_keys).checkpoint(eager=True)
-    if accepted is None:
-        return cand.limit(0)
-    return accepted
+        winners, undecided = _round(undecided, unique_keys)
+        accepted = accepted.unionByName(winners)
+    return accepted.drop("_n")
 
 
 def evolve(df: DataFrame, column: str, dtype: str | T.DataType, default: object = None) -> DataFrame:
