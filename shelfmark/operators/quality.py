@@ -7,10 +7,11 @@ table still yields a row with 0.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark import schemas
@@ -154,8 +155,31 @@ def decimal_summary(t: Tables) -> DataFrame:
     return _union(rows)
 
 
-def report(t: Tables) -> DataFrame:
-    """All checks C1-C5 as one table: (check_name, table_name, detail, violations).
+@dataclasses.dataclass(frozen=True)
+class RowCheck:
+    """A constraint that a single row can break: ``count`` is the aggregate that counts such rows."""
+
+    check_name: str
+    detail: str
+    count: Column
+
+
+def row_checks(name: str, df: DataFrame) -> list[RowCheck]:
+    """C3-C5 of a table as aggregates over its rows, for one pass over it."""
+    found = [RowCheck("not_null", c, F.count_if(F.col(c).isNull())) for c in schemas.NOT_NULL[name] if c in df.columns]
+    if name == "SalesOrder" and "Status" in df.columns:
+        found.append(RowCheck("allowed_values", "Status", F.count_if(~F.col("Status").isin(*schemas.ORDER_STATUSES))))
+    found += [RowCheck("max_length", c, F.count_if(F.length(c) > n))
+              for c, n in schemas.MAX_LENGTHS.get(name, {}).items() if c in df.columns]
+    for c, (p, sc) in schemas.DECIMAL_LIMITS.get(name, {}).items():
+        if c in df.columns:
+            fits = F.col(c).try_cast(f"decimal({p},{sc})")
+            found.append(RowCheck("decimal", c, F.count_if(F.col(c).isNotNull() & (fits.isNull() | (fits != F.col(c))))))
+    return found
+
+
+def between_rows(t: Tables) -> DataFrame:
+    """C1 and C2, which compare rows with each other, as rows of the report.
 
     A declared key whose columns are absent has a ``unique (not checked)`` row
     with NULL violations.
@@ -166,14 +190,6 @@ def report(t: Tables) -> DataFrame:
         foreign_key_summary(t).select(F.lit("foreign_key").alias("check_name"), F.col("child_table").alias("table_name"),
                                       F.concat_ws("->", "column_name", "parent_table").alias("detail"),
                                       F.col("orphan_rows").alias("violations")),
-        not_null_summary(t).select(F.lit("not_null").alias("check_name"), "table_name",
-                                   F.col("column_name").alias("detail"), F.col("null_rows").alias("violations")),
-        values_summary(t).select(F.lit("allowed_values").alias("check_name"), "table_name",
-                                 F.col("column_name").alias("detail"), "violations"),
-        length_summary(t).select(F.lit("max_length").alias("check_name"), "table_name",
-                                 F.col("column_name").alias("detail"), F.col("too_long").alias("violations")),
-        decimal_summary(t).select(F.lit("decimal").alias("check_name"), "table_name",
-                                  F.col("column_name").alias("detail"), "violations"),
     ]
     skipped = unchecked_keys(t)
     if skipped:
@@ -182,3 +198,19 @@ def report(t: Tables) -> DataFrame:
             F.lit("unique (not checked)").alias("check_name"), "s.table_name", "s.detail",
             F.lit(None).cast("bigint").alias("violations")))
     return _union(parts)
+
+
+def report(t: Tables) -> DataFrame:
+    """All checks C1-C5 as one table: (check_name, table_name, detail, violations).
+
+    C3-C5 of a table are counted in one pass over it.
+    """
+    parts = [between_rows(t)]
+    for name, df in t.items():
+        checks = row_checks(name, df)
+        if checks:
+            counts = df.agg(*[c.count.alias(f"c{k}") for k, c in enumerate(checks)])
+            stacked = F.array(*[F.struct(F.lit(c.check_name).alias("check_name"), F.lit(name).alias("table_name"), F.lit(c.detail).alias("detail"),
+                                         F.col(f"c{k}").cast("bigint").alias("violations")) for k, c in enumerate(checks)])
+            parts.append(counts.select(F.inline(stacked)))
+    return _union(parts)

@@ -76,6 +76,11 @@ class Tables:
         return f"Tables({', '.join(FIELDS)})"
 
 
+def tables_of(frames: dict[str, Frame]) -> Tables:
+    """Tables from a DataFrame (or builder) per table name."""
+    return Tables(**{_FIELD_OF[name]: frame for name, frame in frames.items()})
+
+
 def load(spark: SparkSession, root: str, fmt: str = "parquet",
          options: dict[str, str] | None = None) -> Tables:
     """Scan each table at ``{root}/{TableName}`` with its declared schema.
