@@ -56,20 +56,22 @@ def stock_overview(t: Tables, sort: bool = True) -> DataFrame:
                    "ReorderLevel")
 
 
-def _category_lines(t: Tables) -> DataFrame:
+def _category_lines(t: Tables, per_product: DataFrame | None = None) -> DataFrame:
+    """Lines folded per product, with the category; ``per_product`` where a caller holds them folded already."""
     return (
-        lines_by_product(t.order_detail)
+        (lines_by_product(t.order_detail) if per_product is None else per_product)
         .join(t.product.select("ProductID", "CategoryID"), "ProductID")
         .join(t.category.select("CategoryID", "CategoryName"), "CategoryID")
     )
 
 
-def category_revenue(t: Tables, min_revenue: float | int | None = 10000, sort: bool = True) -> DataFrame:
+def category_revenue(t: Tables, min_revenue: float | int | None = 10000, sort: bool = True,
+                     per_product: DataFrame | None = None) -> DataFrame:
     """R4 (Q2): per category: products (the lines are grouped per product, so a plain count), units, revenue, mean sale price.
 
     ``min_revenue`` is the HAVING threshold (strictly greater); None keeps all.
     """
-    out = _category_lines(t).groupBy("CategoryName").agg(
+    out = _category_lines(t, per_product).groupBy("CategoryName").agg(
         F.count("ProductID").alias("TotalProducts"),
         C.units_sum("_units").alias("TotalUnitsSold"),
         C.money_from_cents(F.sum("_revenue_cents")).alias("TotalRevenue"),
@@ -80,9 +82,10 @@ def category_revenue(t: Tables, min_revenue: float | int | None = 10000, sort: b
     return _sorted(out, sort, F.desc("TotalRevenue"))
 
 
-def category_revenue_page(t: Tables, min_revenue: float | int | None = 0, sort: bool = True) -> DataFrame:
+def category_revenue_page(t: Tables, min_revenue: float | int | None = 0, sort: bool = True,
+                          per_product: DataFrame | None = None) -> DataFrame:
     """The page form of R4: threshold 0 and no mean price."""
-    out = _category_lines(t).groupBy("CategoryName").agg(
+    out = _category_lines(t, per_product).groupBy("CategoryName").agg(
         F.count("ProductID").alias("Products"),
         C.units_sum("_units").alias("UnitsSold"),
         C.money_from_cents(F.sum("_revenue_cents")).alias("Revenue"),
@@ -133,6 +136,11 @@ def monthly_demand(t: Tables, sort: bool = True) -> DataFrame:
         C.units_sum("_units").alias("TotalUnitsSold"),
         C.money_from_cents(F.sum("_revenue_cents")).alias("TotalRevenue"),
     )
+    return demand_of(monthly, sort)
+
+
+def demand_of(monthly: DataFrame, sort: bool = True) -> DataFrame:
+    """R7 from its sums per ``_month``: ``TotalOrders, TotalUnitsSold, TotalRevenue``."""
     out = monthly.select(
         C.year_month("_month").alias("MonthYear"),
         "TotalOrders", "TotalUnitsSold", "TotalRevenue",
@@ -240,9 +248,9 @@ def catalogue_count(t: Tables, term: str = "", min_price=None, max_price=None, e
     return found.agg(F.count(F.lit(1)).alias("ProductsFound"))
 
 
-def revenue_by_category(t: Tables) -> DataFrame:
+def revenue_by_category(t: Tables, per_product: DataFrame | None = None) -> DataFrame:
     """Revenue per category, all categories with sales."""
-    return _category_lines(t).groupBy("CategoryName").agg(
+    return _category_lines(t, per_product).groupBy("CategoryName").agg(
         C.money_from_cents(F.sum("_revenue_cents")).alias("Revenue"))
 
 

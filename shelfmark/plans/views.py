@@ -52,9 +52,13 @@ def lines_by_product(order_detail: DataFrame) -> DataFrame:
     )
 
 
-def product_revenue(t: Tables) -> DataFrame:
-    """R2: per product: order lines, units, revenue and mean sale price."""
-    per_product = lines_by_product(t.order_detail)
+def product_revenue(t: Tables, per_product: DataFrame | None = None) -> DataFrame:
+    """R2: per product: order lines, units, revenue and mean sale price.
+
+    ``per_product``: the lines as ``lines_by_product`` folds them, where a
+    caller holds them already (``operators.revenue_state``).
+    """
+    per_product = lines_by_product(t.order_detail) if per_product is None else per_product
     return (
         per_product
         .join(t.product.select("ProductID", "ProductName", "CategoryID"), "ProductID")
