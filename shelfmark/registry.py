@@ -9,15 +9,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark import schemas
-from shelfmark.operators import changes, lookups, quality
+from shelfmark.operators import changes, lookups, name_index, quality, revenue_state
 from shelfmark.operators.changes import STOCK_KEY
 from shelfmark.plans import batches, reports, views
-from shelfmark.sources import sql
+from shelfmark.session import scratch_path
+from shelfmark.sources import by_month, loading, sql, typed_load
 from shelfmark.sources.fixtures import driver_sources, from_driver_tables
 from shelfmark.sources.tables import Tables
 
@@ -152,6 +154,79 @@ def _append_ignore_multi_key(src, t):
                                  defaults=schemas.DEFAULTS["Supplier"]).table
 
 
+def _append_ignore_chain(src, t):
+    """Two unique keys that collide in chains of many rows: every other row of a chain stays."""
+    return changes.append_ignore(t.supplier, batches.chained_suppliers(src), [("SupplierID",), ("ContactEmail",)],
+                                 order_by=["seq"], defaults=schemas.DEFAULTS["Supplier"]).table
+
+
+def _typed_loads(src):
+    raw = {"Product": batches.raw_products(src), "Supplier": batches.raw_suppliers(src), "SalesOrder": batches.raw_orders(src)}
+    return {name: typed_load.typed(df, name) for name, df in raw.items()}
+
+
+def _typed_load_rejects(src, t):
+    loads = _typed_loads(src).values()
+    return reduce(DataFrame.unionByName, [load.quarantine for load in loads])
+
+
+def _publish_report(src, t):
+    """Every table published, with the report that the writes themselves gather."""
+    root = scratch_path(t.product.sparkSession, f"published-{uuid.uuid4().hex}")
+    return loading.publish_checked(t, root)[1]
+
+
+def _append_dated_orders(src, t):
+    """The page's own insert names date and status; only acceptable rows are appended."""
+    fit, _ = changes.validate(batches.dated_orders(src), changes.order_rules())
+    return changes.append_rows(t.sales_order, fit, "OrderID", ["c_custkey"], as_of=batches.AS_OF)
+
+
+def _update_valid_stock(src, t):
+    fit, _ = changes.validate(batches.stock_corrections(t), changes.stock_rules())
+    return changes.update_stock(t.stock, fit.withColumn("seq", F.lit(1)), as_of=batches.AS_OF).table
+
+
+def _validate_stock(src, t):
+    _, rejected = changes.validate(batches.stock_corrections(t), changes.stock_rules())
+    return rejected.withColumn("reasons", F.array_join("reasons", ","))
+
+
+def _valid_order_ids(src, t):
+    fit, _ = changes.validate(batches.order_ids_asked(t), changes.order_id_rules())
+    return fit
+
+
+def _validate_product_forms(src, t):
+    _, rejected = changes.validate(batches.product_forms(t), changes.product_rules())
+    return rejected.withColumn("reasons", F.array_join("reasons", ","))
+
+
+def _merged_state(src, t):
+    """The revenue state of the tables, saved, after lines came (W1) and saved again, after lines went."""
+    root = scratch_path(t.product.sparkSession, f"revenue-state-{uuid.uuid4().hex}")
+    orders, lines = batches.reorders(src), batches.reordered_lines(src)
+    state = revenue_state.save(revenue_state.build(t), root)
+    state = revenue_state.save(revenue_state.merge(state, orders, inserted=lines), root)
+    now = t.replace(order_detail=t.order_detail.unionByName(lines), sales_order=t.sales_order.unionByName(orders))
+    gone = changes.removed_lines(now, batches.discontinued_products(t), batches.pending_orders(t))
+    return revenue_state.save(revenue_state.merge(state, now.sales_order, deleted=gone), root)
+
+
+def _of_state(fn):
+    return _with_sources(lambda src, t: fn(_merged_state(src, t), t))
+
+
+def _sql_functions(call, **args):
+    """A parameterised report as a table function of Spark SQL."""
+    def run(src, t):
+        spark = t.product.sparkSession
+        sql.register_views(spark, t, prefix=SQL_PREFIX)
+        sql.register_functions(spark, prefix=SQL_PREFIX)
+        return sql.query(spark, call.format(p=SQL_PREFIX), args)
+    return _with_sources(run)
+
+
 def _evolve_schema(src, t):
     return changes.evolve(t.supplier.drop("Rating"), "Rating", "decimal(3,1)", Decimal("5.0"))
 
@@ -192,7 +267,6 @@ def _sql_product_search(src, t):
 
 def _applied_changes(src, t):
     """ST1: change files -> stream -> folder of the applied changes."""
-    from shelfmark.session import scratch_path
     from shelfmark.streaming import stock_stream as st
 
     spark = t.product.sparkSession
@@ -216,6 +290,37 @@ def _live_alerts(src, t):
     return st.live_reorder_alerts(t.product.sparkSession, t, _applied_changes(src, t))
 
 
+def _alert_transitions(src, t):
+    """ST1: the same change files as a stream of transitions, and what they come to."""
+    from shelfmark.streaming import alert_stream
+
+    spark = t.product.sparkSession
+    run = scratch_path(spark, f"alert-stream-{uuid.uuid4().hex}")
+    batches.stock_counts(src).write.parquet(f"{run}/source")
+    alert_stream.start_alert_stream(spark, t, f"{run}/source", f"{run}/transitions", f"{run}/checkpoint").awaitTermination()
+    return alert_stream.net_transitions(spark, f"{run}/transitions").select(*STOCK_KEY, "transition")
+
+
+def _delete_orders_by_month(name):
+    def run(src, t):
+        spark = t.product.sparkSession
+        root = scratch_path(spark, f"by-month-{uuid.uuid4().hex}")
+        by_month.save_by_month(t, root)
+        by_month.delete_orders(spark, root, batches.cancelled_orders(t))
+        return by_month.read_by_month(spark, root, name).drop(by_month.MONTH)
+    return _with_sources(run)
+
+
+def _name_index(t):
+    spark = t.product.sparkSession
+    return name_index.load_index(spark, name_index.save_index(t.product, scratch_path(spark, f"name-index-{uuid.uuid4().hex}")))
+
+
+def _indexed_search_report(src, t):
+    words = t.product.select(F.explode(F.split(F.lower("ProductName"), " ")).alias("term")).distinct()
+    return name_index.search_report(t, _name_index(t), words)
+
+
 OPERATOR_QUERIES: dict[str, QueryFn] = {
     "append_rows": _with_sources(_append_rows),
     "append_products": _with_sources(_append_products),
@@ -236,6 +341,31 @@ OPERATOR_QUERIES: dict[str, QueryFn] = {
     "append_ignore": _with_sources(_append_ignore),
     "append_ignore_parents": _with_sources(_append_ignore_parents),
     "append_ignore_multi_key": _with_sources(_append_ignore_multi_key),
+    "append_ignore_chain": _with_sources(_append_ignore_chain),
+    "typed_load_rejects": _with_sources(_typed_load_rejects),
+    "typed_load_products": _with_sources(lambda src, t: _typed_loads(src)["Product"].rows),
+    "typed_load_orders": _with_sources(lambda src, t: _typed_loads(src)["SalesOrder"].rows),
+    "publish_report": _with_sources(_publish_report),
+    "append_dated_orders": _with_sources(_append_dated_orders),
+    "update_valid_stock": _with_sources(_update_valid_stock),
+    "validate_stock": _with_sources(_validate_stock),
+    "valid_order_ids": _with_sources(_valid_order_ids),
+    "validate_product_forms": _with_sources(_validate_product_forms),
+    "state_product_revenue": _of_state(revenue_state.product_revenue),
+    "state_category_revenue": _of_state(revenue_state.category_revenue),
+    "state_monthly_demand": _of_state(lambda state, t: revenue_state.monthly_demand(state)),
+    "state_monthly_sales": _of_state(lambda state, t: revenue_state.monthly_sales(state)),
+    "sql_function_search": _sql_functions("SELECT * FROM {p}product_search(:pat, :lo, :hi) WHERE UnitPrice < :under", pat="%a%", lo=500, hi=5000, under=1500),
+    "sql_function_catalogue": _sql_functions("SELECT * FROM {p}product_catalogue(:pat, :lo, :hi) WHERE CategoryName LIKE :kind", pat="%a%", lo=None, hi=None, kind="%STAN%"),
+    "sql_function_categories": _sql_functions("SELECT * FROM {p}category_revenue(:least)", least=10000),
+    "sql_function_top": _sql_functions("SELECT * FROM {p}top_products(:n)", n=5),
+    "sql_function_order": _sql_functions(
+        "SELECT o.OrderID, l.ProductName, l.Quantity, l.SalePrice, l.LineTotal FROM {p}SalesOrder o, LATERAL {p}order_lines(o.OrderID) l"),
+    "delete_orders_by_month": _delete_orders_by_month("OrderDetail"),
+    "delete_orders_by_month_orders": _delete_orders_by_month("SalesOrder"),
+    "indexed_search": _with_sources(lambda src, t: name_index.product_search(t, _name_index(t), "widget", 500, 5000)),
+    "indexed_search_report": _with_sources(_indexed_search_report),
+    "alert_transitions": _with_sources(_alert_transitions),
     "evolve_schema": _with_sources(_evolve_schema),
     "check_unique": _on_model(quality.unique_summary),
     "check_foreign_key": _on_model(quality.foreign_key_summary),
