@@ -1,21 +1,24 @@
 """Secret scan by base patterns and inferred grammars (operator 8).
 
 Base patterns give the certain spans (``assign``, ``access``, ``hex``). From
-a bounded sample of their matches in all documents ("labelled credentials") one
-probabilistic automaton for each kind is inferred: a prefix tree over character
-classes whose states are merged where their futures are statistically
-compatible (Hoeffding bound). A background automaton is inferred the same way
-from the other tokens, without those that a credential automaton finds likely
-unless that is most of them. Every other token of 12 characters or more, with a digit
+a bounded sample of their matches in all documents ("labelled credentials")
+probabilistic automata are inferred, one for each character set (letter cases,
+digits, marks) of a kind: a prefix tree over character classes whose states of
+one depth are merged where their futures are statistically compatible
+(Hoeffding bound). Merging within a depth keeps what a format is known by, its
+marks, their places and its lengths; the end of a token has a probability as
+its characters have. Values longer than ``DEPTH`` go on in the last state. A
+background automaton is inferred from the other tokens with merges across
+depths, without those that a credential automaton finds likely unless that is
+most of them. Every other token of 12 characters or more, with a digit
 or without, in every whole text, is a candidate: it is a ``format`` span if a
-credential automaton finds it as likely for each character as it finds its own
-labelled credentials (but the unlikeliest few), and likelier than the
+credential automaton finds it as likely for each character as labelled
+credentials that it was not inferred from (but the unlikeliest few), and likelier than the
 background by a margin.
 
-The sample: the distinct values of each kind in all documents (of a value its
-first 256 characters), and of them the ``per_kind`` with the smallest hashes.
-Each task keeps no more than that of a kind, so a kind is learned however rare
-it is. The scan itself is one pass without a shuffle.
+The sample: the distinct values of each kind in all documents, and of them the
+``per_kind`` with the smallest hashes. Each task keeps no more than that of a
+kind, so a kind is learned however rare it is, from its first value on. The scan itself is one pass without a shuffle.
 
 Null text counts as empty: no spans. Without labelled credentials there are no
 ``format`` spans. Repeated rows are scanned each; null ids are scanned but
@@ -44,10 +47,13 @@ PER_KIND = 500
 REMEMBERED = 1 << 16
 #: Share of the labelled credentials that their own automaton may find too unlikely.
 MISSED = 0.02
+SLACK = 1.1
 #: Bits by which a credential automaton must beat the background.
 MARGIN_BITS = 12.0
 #: Merge test: confidence, and the count under which a state has no say of its own.
 ALPHA, LEAST = 0.05, 10
+#: Depth of the last state of a credential automaton, and the bits of a character where none of its labelled values went.
+DEPTH, LOST_BITS = 256, 8.0
 
 #: Fixed base patterns.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -98,33 +104,44 @@ class Automaton(NamedTuple):
     arcs: tuple[dict[str, int], ...]
     counts: tuple[dict[str, int], ...]
     ends: tuple[int, ...]
+    layered: bool = True
 
     def bits(self, text: str) -> float:
-        """Minus log2 of the probability of ``text``; what was never seen costs as a tenth of one sighting."""
+        """Minus log2 of the probability of ``text``; what was never seen costs as a tenth of one sighting.
+
+        After it a layered automaton has nothing to say of the rest; another one starts anew.
+        """
         at, cost = 0, 0.0
-        for c in text:
+        for n, c in enumerate(text):
             k = CLASS_OF.get(c, c)
             total = sum(self.counts[at].values()) + self.ends[at] + 2.0
             cost += CHAR_BITS.get(k, 0.0) - math.log2((self.counts[at].get(k, 0) + 0.1) / total)
+            if k not in self.arcs[at] and self.layered:
+                return cost + LOST_BITS * (len(text) - n - 1)
             at = self.arcs[at].get(k, 0)
-        return cost
+        total = sum(self.counts[at].values()) + self.ends[at] + 2.0
+        return cost - math.log2((self.ends[at] + 0.1) / total)
 
 
-def infer(texts: list[str]) -> Automaton:
-    """Prefix tree of ``texts`` with statistically compatible states merged."""
+def infer(texts: list[str], layered: bool = True) -> Automaton:
+    """Prefix tree of ``texts`` with statistically compatible states merged; if ``layered``, only states of one depth."""
     child: list[dict[str, int]] = [{}]
     count: list[dict[str, int]] = [{}]
-    end = [0]
+    end, depth = [0], [0]
     for text in texts:
         at = 0
         for c in text:
             k = CLASS_OF.get(c, c)
             count[at][k] = count[at].get(k, 0) + 1
             if k not in child[at]:
-                child[at][k] = len(child)
-                child.append({})
-                count.append({})
-                end.append(0)
+                if depth[at] == DEPTH:
+                    child[at][k] = at
+                else:
+                    child[at][k] = len(child)
+                    child.append({})
+                    count.append({})
+                    end.append(0)
+                    depth.append(depth[at] + 1)
             at = child[at][k]
         end[at] += 1
     width = math.sqrt(0.5 * math.log(2 / ALPHA))
@@ -133,9 +150,12 @@ def infer(texts: list[str]) -> Automaton:
         return end[q] + sum(count[q].values())
 
     def compatible(p: int, q: int) -> bool:
-        pairs = [(p, q)]
+        pairs, seen = [(p, q)], set()
         while pairs:
             p, q = pairs.pop()
+            if p == q or (p, q) in seen:
+                continue
+            seen.add((p, q))
             n, m = size(p), size(q)
             if n < LEAST or m < LEAST:
                 continue
@@ -151,9 +171,12 @@ def infer(texts: list[str]) -> Automaton:
 
     def fold(p: int, q: int) -> None:
         """Add the tree at ``q`` to the automaton at ``p``."""
-        pairs = [(p, q)]
+        pairs, done = [(p, q)], set()
         while pairs:
             p, q = pairs.pop()
+            if p == q or q in done:
+                continue
+            done.add(q)
             end[p] += end[q]
             for k, n in count[q].items():
                 count[p][k] = count[p].get(k, 0) + n
@@ -161,7 +184,7 @@ def infer(texts: list[str]) -> Automaton:
                 if k in child[p]:
                     pairs.append((child[p][k], to))
                 else:
-                    child[p][k] = to
+                    child[p][k] = p if to == q else to
 
     kept, known = [0], {0}
     while True:
@@ -170,7 +193,7 @@ def infer(texts: list[str]) -> Automaton:
         if front is None:
             break
         q = child[front[0]][front[1]]
-        match = next((r for r in kept if compatible(r, q)), None)
+        match = next((r for r in kept if (not layered or depth[r] == depth[q]) and compatible(r, q)), None)
         if match is None:
             kept.append(q)
             known.add(q)
@@ -179,7 +202,44 @@ def infer(texts: list[str]) -> Automaton:
             fold(match, q)
     number = {q: i for i, q in enumerate(kept)}
     return Automaton(tuple({k: number[to] for k, to in child[q].items()} for q in kept),
-                     tuple(count[q] for q in kept), tuple(end[q] for q in kept))
+                     tuple(count[q] for q in kept), tuple(end[q] for q in kept), layered)
+
+
+def character_set(value: str) -> str:
+    """The kinds of characters of a value: ``a`` and ``A`` for letters, ``0`` for digits, and each mark."""
+    return "".join(sorted({"a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in value}))
+
+
+def by_character_set(values: list[str]) -> list[list[str]]:
+    """``values`` by character set; sets with fewer than ``LEAST`` values join the largest one."""
+    groups: dict[str, list[str]] = {}
+    for v in values:
+        groups.setdefault(character_set(v), []).append(v)
+    order = sorted(groups.values(), key=lambda g: (-len(g), g))
+    large = [g for g in order if len(g) >= LEAST] or order[:1]
+    few = [v for g in order if g not in large for v in g]
+    return [large[0] + few, *large[1:]] if large else []
+
+
+def most_bits(bits: list[float]) -> float:
+    """What all but the share ``MISSED`` of ``bits`` stay within."""
+    return sorted(bits)[min(len(bits) - 1, int((1 - MISSED) * len(bits)))]
+
+
+def fitted(values: list[str]) -> tuple[Automaton, float]:
+    """The automaton of ``values``, and the most bits a character that it accepts.
+
+    Values cost more bits in an automaton that was not inferred from them. So
+    each half is scored by the automaton of the other one; but what is
+    accepted costs at most ``SLACK`` times what the values cost in their own.
+    """
+    automaton = infer(values)
+    own = most_bits([automaton.bits(v) / len(v) for v in values])
+    halves = values[::2], values[1::2]
+    if not halves[1]:
+        return automaton, own
+    crossed = [a.bits(v) / len(v) for a, other in zip(map(infer, halves), reversed(halves), strict=True) for v in other]
+    return automaton, min(max(own, most_bits(crossed)), SLACK * own)
 
 
 class Grammar(NamedTuple):
@@ -223,7 +283,6 @@ def learn(docs: DataFrame, per_kind: int = PER_KIND) -> Grammar:
                 top[kind] = few[-1][1]
 
         def take(kind: str, value: str) -> None:
-            value = value[:256]
             if value in kept[kind]:
                 return
             h = xxhash.xxh64_intdigest(value) - (1 << 63)
@@ -254,15 +313,13 @@ def learn(docs: DataFrame, per_kind: int = PER_KIND) -> Grammar:
         by_kind.setdefault(r.kind, []).append(r.value)
     kinds = []
     for kind in KINDS[:3]:
-        if len(by_kind.get(kind, ())) >= LEAST:
-            automaton = infer(by_kind[kind])
-            each = sorted(automaton.bits(v) / len(v) for v in by_kind[kind])
-            kinds.append((automaton, each[min(len(each) - 1, int((1 - MISSED) * len(each)))]))
+        for values_of_set in by_character_set(by_kind.get(kind, [])):
+            kinds.append(fitted(values_of_set))
     # bare credentials among the tokens are no background; but automata that know most tokens say nothing of them
     tokens = by_kind.get("plain", [])
     unlike = [t for t in tokens if not any(a.bits(t) <= most * len(t) for a, most in kinds)]
     plain = unlike if 2 * len(unlike) >= len(tokens) else tokens
-    return Grammar(tuple(kinds), infer(plain) if len(plain) >= LEAST else None)
+    return Grammar(tuple(kinds), infer(plain, layered=False) if plain else None)
 
 
 def joined(spans: list[Span]) -> str:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from shelfmark.llm import audit_repair, cover_lloyd, queries, tensored_minhash
+from shelfmark.llm import audit_repair, chat_format, cover_lloyd, lang_crossparse, queries, secret_grammar, tensored_minhash
 
 SF = "/root/testdata/sf0.001"
 TURNS = "conv_id long, turn long, role string, text string, dropped string, fault int, cost long"
@@ -321,3 +321,149 @@ def test_columns_of_latin_texts_equal_the_library():
         got = coder.encode(texts[part])
         want = [e.ids for e in library.encode_batch(texts[part], add_special_tokens=False)]
         assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == want
+
+
+# 7: cross-parsing
+
+def parsed_by_hand(text, samples):
+    """Letters, and phrases of each language: the longest match at each place, found by looking it up in the sample."""
+    import unicodedata
+
+    kind = [unicodedata.category(c)[0] for c in text.lower()]
+    words = "".join(c if k in "LM" else " " for c, k in zip(text.lower(), kind)).split()
+    if "L" not in kind:
+        return 0, None
+    line = " ".join(words) + " "
+    pieces = []
+    while line:
+        cut = len(line)
+        if cut > lang_crossparse.PIECE:
+            cut = line.rfind(" ", 0, lang_crossparse.PIECE) + 1 or lang_crossparse.PIECE
+        pieces.append(line[:cut])
+        line = line[cut:]
+    counts = []
+    for _, sample in samples:
+        n = 0
+        for piece in pieces:
+            at = 0
+            while at < len(piece):
+                end = at + 1
+                while end < len(piece) and piece[at:end + 1] in sample:
+                    end += 1
+                at, n = end, n + 1
+        counts.append(n)
+    return sum(map(len, pieces)), counts
+
+
+def test_cross_parse_by_hand_chooses_the_same_language():
+    random.seed(21)
+    alphabets = {"aa": "abcdefgh ", "bb": "fghijklm ", "cc": "अआइईउऊँंः ", "dd": "漢字仮名交文 "}
+    samples = tuple((lang, "".join(random.choices(a, k=3000)) + " ") for lang, a in sorted(alphabets.items()))
+    model = lang_crossparse.Model(samples)
+    texts = ["", "½", "② Ⅷ 12 _", "\u0301", "a\u0301", "Zz!", None, "  a "]
+    texts += ["".join(random.choices(random.choice(list(alphabets.values())) + random.choice(["", "xyz", "12.!"]), k=random.randint(1, 300))) for _ in range(120)]
+    texts += ["".join(random.choices(alphabets["aa"], k=9000)), "".join(random.choices("abfgh", k=10_000))]
+    got = model.score(texts)
+    for text, lang, score, mean in zip(texts, *got):
+        letters, counts = parsed_by_hand(text or "", samples)
+        if counts is None:
+            assert (lang, score, mean) == ("und", 0.0, 0.0), text
+            continue
+        bits = [n * np.log2(len(s) + 1) for n, (_, s) in zip(counts, samples)]
+        assert lang == samples[int(np.argmin(bits))][0] and 0 <= score <= 1
+        assert abs(mean - letters / counts[int(np.argmin(bits))]) < 1e-9
+
+
+def test_a_hundred_languages_are_all_learned(spark):
+    random.seed(22)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    syllables = {f"l{k:03d}": ["".join(random.choices(letters, k=3)) for _ in range(12)] for k in range(100)}
+
+    def text(lang, n):
+        return " ".join("".join(random.choices(syllables[lang], k=3)) for _ in range(n))
+
+    rows = [(k * 10 + j, text(lang, 30), lang) for k, lang in enumerate(syllables) for j in range(6)]
+    rows += [(5000 + k, text("l000", 40_000), "l000") for k in range(2)]  # a long document is not a language's whole sample
+    rows += [(9000 + k, text(lang, 15), None) for k, lang in enumerate(syllables)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    learned = lang_crossparse.samples(docs, lang_crossparse.F.lit(True), sample_chars=2000, all_chars=100_000)
+    assert [lang for lang, _ in learned] == sorted(syllables) and max(len(t) for _, t in learned) <= 1000
+    got = {r.doc_id: r.lang_pred for r in lang_crossparse.predict(docs, learned).collect()}
+    assert sum(got[9000 + k] == lang for k, lang in enumerate(syllables)) >= 99
+
+
+def test_language_stage_rejects_what_no_language_explains(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    learned = lang_crossparse.samples(docs, lang_crossparse.F.lit(True))
+    clean = [r for r in docs.filter("lang IS NOT NULL AND text IS NOT NULL").collect() if lang_crossparse.words_of(r.text)]
+    more = spark.createDataFrame([(90_001, "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία", "en", "s", 3), (90_002, "xqzjkvw zxqvkj qqxzj wvxzkq", "en", "s", 3),
+                                  (90_003, clean[0].text[:200], "en", "s", 3), (90_004, "12 ½ !!", "en", "s", 3)], docs.schema)
+    kept = {r.doc_id for r in lang_crossparse.keep_documents(docs.unionByName(more), learned).collect()}
+    assert kept & {90_001, 90_002, 90_003, 90_004} == {90_003}
+    assert {r.doc_id for r in clean} <= kept
+
+
+# 8: automata that keep length and shape
+
+def test_learned_format_is_found_and_long_words_are_not(spark):
+    random.seed(23)
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+    def key(n=36):
+        return "ghp_" + "".join(random.choices(alnum, k=n))
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    ordinary = {r.doc_id: r.text or "" for r in docs.collect()}
+    labelled = [(100_000 + k, f"deploy token = '{key()}' now") for k in range(80)]
+    planted = {200_000 + k: key() for k in range(100)}
+    wrong = {300_000 + k: key(20) for k in range(50)}
+    long_words = {400_000 + k: "".join(random.choices("aeioustrnlm", k=40)) for k in range(100)}
+    rows = labelled + [(i, f"see {t} there") for group in (planted, wrong, long_words) for i, t in group.items()]
+    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    grammar = secret_grammar.learn(docs)
+    assert all(len(a.arcs) > 10 for a, _ in grammar.kinds)
+    found = {r.doc_id for r in secret_grammar.scan(docs, grammar).filter("n_format > 0").collect()}
+    assert len(found & set(planted)) >= 85
+    assert not found & set(long_words) and not found & set(ordinary)
+
+
+def test_each_character_set_has_its_automaton_and_values_are_whole():
+    random.seed(24)
+    hexes = ["".join(random.choices("0123456789abcdef", k=40)) for _ in range(50)]
+    upper = ["-".join("".join(random.choices("GHIJKLMNOP", k=4)) for _ in range(3)) for _ in range(30)]
+    groups = secret_grammar.by_character_set(hexes + upper + ["one.odd+value"])
+    assert [len(g) for g in groups] == [51, 30]
+    automaton, most = secret_grammar.fitted(upper)
+    assert len(automaton.arcs) == 15  # a state for each place of the format
+    assert automaton.bits("GHIJ-KLMN-OPGH") < automaton.bits("GHIJK-LMN-OPGH") and automaton.bits("GHIJ-KLMN-OPGH") < automaton.bits("GHIJ-KLMN-OPGH-GHIJ")
+    long_values = ["".join(random.choices("abc", k=2000)) for _ in range(20)]
+    automaton, most = secret_grammar.fitted(long_values)
+    assert len(automaton.arcs) <= secret_grammar.DEPTH + 1 and all(automaton.bits(v) / len(v) <= 1.05 * most for v in long_values)
+    alone, most = secret_grammar.fitted(["just-one-value-1"])
+    assert alone.bits("just-one-value-1") / 16 <= most < alone.bits("other-two-words2") / 16
+
+
+# 1: examples
+
+def test_examples_carry_the_loss(spark):
+    """A row for each reply; what is trained on is lost with it."""
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "hi </s>"), (1, 2, "assistant", "one <|turn|>"), (1, 3, "user", None), (1, 4, "assistant", "two"),
+            (2, 0, "user", "u"), (3, 0, "assistant", "only"), *[(9, k, ("user", "assistant")[k % 2], f"turn {k}") for k in range(20_000)]]
+    formatted = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    found = chat_format.examples(formatted)
+    assert {r.conv_id: r.n for r in found.groupBy("conv_id").agg(chat_format.F.count("*").alias("n")).collect()} == {1: 2, 3: 1, 9: 10_000}
+    whole = "".join(r.segment for r in formatted.filter("conv_id = 1").orderBy("position").collect())
+    first, second = found.filter("conv_id = 1").orderBy("example").collect()
+    assert (first.example, second.example) == (1, 2) and first.context_start == second.context_start == 0
+    assert whole[second.context_start:second.context_end].count(chat_format.START) == 4
+    assert whole[second.loss_start:second.loss_end] == "two" and whole[first.loss_start:first.loss_end] == "one <\\|turn|>"
+
+    def digests(expanded):
+        return {r.conv_id: r for r in chat_format.conversation_digests(chat_format.read_back(expanded)).collect()}
+
+    everything = chat_format.expanded(formatted)
+    full, less = digests(everything), digests(everything.filter("NOT (is_example AND conv_id = 9 AND example = 77)"))
+    assert full[9].n_turns == less[9].n_turns == 20_000 and full[9].turns_sha256 == less[9].turns_sha256
+    replies = [f"turn {k}" for k in range(1, 20_000, 2)]
+    assert full[9].loss_sha256 == hashlib.sha256("".join(replies).encode()).hexdigest() and less[9].loss_chars == full[9].loss_chars - len(replies[76])
+    assert full[1] == less[1] and full[1].loss_chars == len("one <|turn|>two") and full[2].loss_chars == 0
