@@ -60,5 +60,10 @@ def resolve_names(changes: DataFrame, dim: DataFrame, key: str, name: str,
 
 
 def names_for_keys(df: DataFrame, dim: DataFrame, key: str, name: str) -> DataFrame:
-    """Attach the dimension name to rows that carry its key."""
-    return df.join(dim.select(key, name), key, "left")
+    """Attach the dimension name to rows that carry its key.
+
+    No declared key keeps a dimension key from repeating; the greatest of its
+    names counts then, and no row is multiplied.
+    """
+    names = dim.groupBy(key).agg(F.max(name).alias(name))
+    return df.join(names.hint("rebalance"), key, "left")

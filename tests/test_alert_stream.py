@@ -50,6 +50,8 @@ def test_transitions_equal_the_difference_of_two_reports(spark, seed, seed_value
         batches.append([(*random.choice(keys), random.choice([epoch, epoch, epoch + 1, max(0, epoch - 2)]), random.choice([0, 3, 40, 500]), day)
                         for _ in range(40)])
     batches.append(batches[1])  # a file that comes again
+    (product, name), ids = min(alerts(seed)), {n: w for w, n in rows(seed.warehouse, "WarehouseID", "WarehouseName")}
+    batches.append([(product, ids[name], 99, 999, day)])  # an alert that ceases
     root = tempfile.mkdtemp(prefix="shelfmark-alerts-")
     change_files(spark, root, batches)
     run(spark, seed, root)

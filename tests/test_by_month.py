@@ -8,6 +8,7 @@ import tempfile
 
 from conftest import rows
 
+from shelfmark import schemas
 from shelfmark.operators import changes
 from shelfmark.sources import by_month
 
@@ -34,7 +35,7 @@ def read(spark, root, t):
 
 
 def expect(t):
-    return [sorted(rows(t.sales_order), key=str), sorted(rows(t.order_detail), key=str)]
+    return [sorted(rows(t.sales_order, *schemas.SALES_ORDER.names), key=str), sorted(rows(t.order_detail, *schemas.ORDER_DETAIL.names), key=str)]
 
 
 def untouched(before, after, months):

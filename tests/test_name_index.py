@@ -42,7 +42,7 @@ def test_same_rows_as_the_scan_for_any_term(spark, shop, index):
             got = rows(name_index.product_search(shop, index, term, 10, 600, escape, sort=False))
             want = rows(reports.product_search(shop, term, 10, 600, escape, sort=False))
             assert sorted(got, key=str) == sorted(want, key=str), (term, escape)
-    got, want = (rows(f) for f in (name_index.product_catalogue(shop, index, "Board", None, 300), reports.product_catalogue(shop, "Board", None, 300)))
+    got, want = (rows(f) for f in (name_index.product_catalogue(shop, index, "Board", None, 400), reports.product_catalogue(shop, "Board", None, 400)))
     assert got == want and got
 
 

@@ -55,6 +55,8 @@ def test_lookups(spark, seed):
     assert got == {"Wireless Keyboard": (15, 2), "Nope": (None, None)}  # highest id wins, ambiguity exposed
     named = lookups.names_for_keys(seed.stock.where("StockID = 1"), seed.warehouse, "WarehouseID", "WarehouseName")
     assert rows(named, "WarehouseName") == [("Central Warehouse",)]
+    twice = seed.warehouse.unionByName(seed.warehouse)
+    assert lookups.names_for_keys(seed.stock, twice, "WarehouseID", "WarehouseName").count() == seed.stock.count()
 
 
 def test_sql_views_and_parameters(spark, seed):
@@ -79,6 +81,41 @@ def test_report_views_for_sql_users(spark, seed):
     assert rows(sql.query(spark, "SELECT ReorderAlerts FROM r_kpis")) == [(3,)]
 
 
+def test_sql_table_functions_equal_the_reports(spark, seed):
+    sql.register_views(spark, seed, prefix="f_")
+    names = sql.register_functions(spark, prefix="f_")
+    assert names == ["f_product_search", "f_product_catalogue", "f_category_revenue", "f_top_products", "f_order_lines"]
+
+    def ask(text, **args):
+        return sorted(rows(sql.query(spark, text, args)), key=str)
+
+    def same(df):
+        return sorted(rows(df), key=str)
+
+    search = "SELECT * FROM f_product_search(:pat, :lo, :hi)"
+    assert ask(search, pat="%a%", lo=500, hi=5000) == same(reports.product_search(seed, "a", 500, 5000))
+    assert ask(search, pat=None, lo=None, hi=None) == same(reports.product_search(seed))
+    assert ask(search + " WHERE UnitPrice < :x", pat="%A%", lo=None, hi=None, x=900) == same(reports.product_search(seed, "a").where("UnitPrice < 900"))
+    assert ask("SELECT * FROM f_product_catalogue(:pat, 0, 99999)", pat="%o%") == same(reports.product_catalogue(seed, "o", 0, 99999))
+    assert ask("SELECT * FROM f_category_revenue(:n)", n=10000) == same(reports.category_revenue(seed))
+    assert ask("SELECT * FROM f_top_products(3)") == same(reports.top_products(seed, 3))
+    lines = reports.order_lines(seed, 2)
+    assert ask("SELECT * FROM f_order_lines(:id)", id=2) == same(lines.drop("OrderID"))
+    plan = sql.query(spark, search + " WHERE UnitPrice < 900", {"pat": "%a%", "lo": 500, "hi": 5000})._jdf.queryExecution().optimizedPlan().toString()
+    assert "500" in plan and "900" in plan and "Project" in plan and "CartesianProduct" not in plan
+
+
+def test_table_function_filter_reaches_the_scan(spark, seed, tmp_path):
+    seed.product.write.parquet(str(tmp_path / "Product"))
+    t = seed.replace(product=spark.read.schema(schemas.PRODUCT).parquet(str(tmp_path / "Product")))
+    sql.register_views(spark, t, prefix="g_")
+    sql.register_functions(spark, prefix="g_")
+    found = sql.query(spark, "SELECT * FROM g_product_search(:pat, :lo, :hi) WHERE UnitPrice < 900", {"pat": "%a%", "lo": 500, "hi": 5000})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters: [", 1)[1].split("]", 1)[0]
+    assert "GreaterThanOrEqual(UnitPrice,500" in pushed and "LessThan(UnitPrice,900" in pushed
+
+
 def test_scale_conf_sizes_partitions():
     from shelfmark.session import scale_conf
 
