@@ -259,3 +259,9 @@ def reordered_lines(src: dict[str, DataFrame]) -> DataFrame:
 
 def pending_orders(t: Tables) -> DataFrame:
     return t.sales_order.where(F.col("Status") == "Pending").select("OrderID")
+
+
+def order_edits(t: Tables) -> DataFrame:
+    """Every pending order confirmed, and dated 40 days later."""
+    pending = t.sales_order.where(F.col("Status") == "Pending")
+    return pending.select("OrderID", F.lit("Confirmed").alias("Status"), F.date_add("OrderDate", 40).alias("OrderDate"))

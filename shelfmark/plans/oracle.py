@@ -464,6 +464,10 @@ FROM sourced WHERE contains(lower(ProductName), 'a') AND contains(CategoryName,
     "sql_function_order": with_model(REPORT_BODIES["order_lines"]),
     "delete_orders_by_month": with_model("FROM OrderDetail ANTI JOIN cancelled USING (OrderID)", CANCELLED),
     "delete_orders_by_month_orders": with_model("FROM SalesOrder ANTI JOIN cancelled USING (OrderID)", CANCELLED),
+    "delete_products_by_month": with_model("FROM OrderDetail ANTI JOIN discontinued USING (ProductID)", DISCONTINUED),
+    "update_orders_by_month": with_model("""
+SELECT * REPLACE (if(Status = 'Pending', 'Confirmed', Status) AS Status, if(Status = 'Pending', OrderDate + 40, OrderDate) AS OrderDate)
+FROM SalesOrder"""),
     "indexed_search": with_model("""
 SELECT ProductName, CategoryName, UnitPrice, SupplierName FROM sourced
 WHERE contains(lower(ProductName), 'widget') AND UnitPrice BETWEEN 500 AND 5000"""),

@@ -301,16 +301,29 @@ def _alert_transitions(src, t):
     return alert_stream.net_transitions(spark, f"{run}/transitions").select(*STOCK_KEY, "transition")
 
 
-def _delete_orders_by_month(name):
+def _by_month(change, name):
+    """A change of the layout by month, and the table as it is then read."""
     def run(src, t):
         spark = t.product.sparkSession
         root = scratch_path(spark, f"by-month-{uuid.uuid4().hex}")
         by_month.save_by_month(t, root)
-        by_month.delete_orders(spark, root, batches.cancelled_orders(t))
+        change(spark, root, t)
         return by_month.read_by_month(spark, root, name).drop(by_month.MONTH)
     return _with_sources(run)
 
 
+def _cancel(spark, root, t):
+    by_month.delete_orders(spark, root, batches.cancelled_orders(t))
+
+
+def _discontinue(spark, root, t):
+    by_month.delete_product_lines(spark, root, batches.discontinued_products(t))
+
+
+def _confirm(spark, root, t):
+    by_month.update_orders(spark, root, batches.order_edits(t), ["Status", "OrderDate"])
+
+
 def _name_index(t):
     spark = t.product.sparkSession
     return name_index.load_index(spark, name_index.save_index(t.product, scratch_path(spark, f"name-index-{uuid.uuid4().hex}")))
@@ -361,8 +374,10 @@ OPERATOR_QUERIES: dict[str, QueryFn] = {
     "sql_function_top": _sql_functions("SELECT * FROM {p}top_products(:n)", n=5),
     "sql_function_order": _sql_functions(
         "SELECT o.OrderID, l.ProductName, l.Quantity, l.SalePrice, l.LineTotal FROM {p}SalesOrder o, LATERAL {p}order_lines(o.OrderID) l"),
-    "delete_orders_by_month": _delete_orders_by_month("OrderDetail"),
-    "delete_orders_by_month_orders": _delete_orders_by_month("SalesOrder"),
+    "delete_orders_by_month": _by_month(_cancel, "OrderDetail"),
+    "delete_orders_by_month_orders": _by_month(_cancel, "SalesOrder"),
+    "delete_products_by_month": _by_month(_discontinue, "OrderDetail"),
+    "update_orders_by_month": _by_month(_confirm, "SalesOrder"),
     "indexed_search": _with_sources(lambda src, t: name_index.product_search(t, _name_index(t), "widget", 500, 5000)),
     "indexed_search_report": _with_sources(_indexed_search_report),
     "alert_transitions": _with_sources(_alert_transitions),

@@ -111,7 +111,11 @@ def test_table_function_filter_reaches_the_scan(spark, seed, tmp_path):
     sql.register_views(spark, t, prefix="g_")
     sql.register_functions(spark, prefix="g_")
     found = sql.query(spark, "SELECT * FROM g_product_search(:pat, :lo, :hi) WHERE UnitPrice < 900", {"pat": "%a%", "lo": 500, "hi": 5000})
-    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
     pushed = plan.split("PushedFilters: [", 1)[1].split("]", 1)[0]
     assert "GreaterThanOrEqual(UnitPrice,500" in pushed and "LessThan(UnitPrice,900" in pushed
 
