@@ -424,7 +424,7 @@ class TextCoder:
         data, offsets = np.frombuffer(column.buffers()[2] or b"", np.uint8), np.frombuffer(column.buffers()[1], np.int64)[:len(texts) + 1]
         odd = (data >= 0xC9) | ((data >= 0x1C) & (data <= 0x1F))
         odd[:-1] |= (data[:-1] == 0xC4) & (data[1:] == 0xB0)
-        upto = np.concatenate([[0], np.cumsum(odd)])
+        upto = np.concatenate([np.zeros(1, np.int32), np.cumsum(odd, dtype=np.int32)])
         return (upto[offsets[1:]] == upto[offsets[:-1]]) & np.array([not self._has_special(t) for t in texts], bool)
 
     #: A word of letters that the pre-split keeps together, and the marks that close it.

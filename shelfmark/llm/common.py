@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,15 @@ def crc_bucket(doc_id: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")), F.lit(buckets))
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the system: workers go on to other stages, and their allocators keep free memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library, which does so by itself
+        pass
+
+
 _held: dict = {}
 
 

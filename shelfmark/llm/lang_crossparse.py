@@ -33,7 +33,6 @@ from __future__ import annotations
 import functools
 import itertools
 import math
-import operator
 import sys
 import unicodedata
 from collections import Counter
@@ -43,7 +42,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import crc_bucket, ship_package, worker_model, written
+from shelfmark.llm.common import crc_bucket, give_back, ship_package, worker_model, written
 
 #: Letters and spaces that a language is learned from at most, and all languages together.
 SAMPLE_CHARS, ALL_CHARS = 60_000, 600_000
@@ -53,19 +52,16 @@ SLICE = 500
 LEAST_PHRASE = 2.0
 UNKNOWN = "und"
 #: Letters of a piece: longer texts are parsed in pieces that end at spaces.
-PIECE = 4096
+PIECE = 2048
 #: Characters of texts parsed in step.
-BATCH = 4_000_000
+BATCH = 1_500_000
 
 
 @functools.lru_cache(maxsize=1)
 def _kinds() -> np.ndarray:
     """For each code point: 2 for a letter, 1 for a mark that joins letters, else 0."""
-    kinds = np.zeros(sys.maxunicode + 1, np.int8)
-    first = np.array(list(map(ord, map(operator.itemgetter(0), map(unicodedata.category, map(chr, range(sys.maxunicode + 1)))))), np.int8)
-    kinds[first == ord("M")] = 1
-    kinds[first == ord("L")] = 2
-    return kinds
+    kind = {"L": 2, "M": 1}
+    return np.fromiter((kind.get(unicodedata.category(chr(c))[0], 0) for c in range(sys.maxunicode + 1)), np.int8, sys.maxunicode + 1)
 
 
 def letters_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -296,6 +292,7 @@ def predict(docs: DataFrame, learned: tuple[tuple[str, str], ...], held_out: Col
         model = _model(shared.value)
         for frame in frames:
             langs, scores, _ = model.score(frame["text"].tolist())
+            give_back()
             yield pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "lang_pred": langs, "score": scores})
 
     held = (held_out if held_out is not None else F.lit(False)).alias("held_out")
@@ -322,6 +319,7 @@ def keep_documents(docs: DataFrame, learned: tuple[tuple[str, str], ...]) -> Dat
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
         langs, _, means = _model(shared.value).score(texts.tolist())
+        give_back()
         return pd.Series([x != UNKNOWN and n >= LEAST_PHRASE for x, n in zip(langs, means, strict=True)], dtype=bool)
 
     return docs.filter(known(F.col("text").cast("string")))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.bpe_automaton import batches, coder
-from shelfmark.llm.common import text_rows, written
+from shelfmark.llm.common import give_back, text_rows, written
 
 PIECE = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
          "sequence_id long, offset long")
@@ -144,6 +144,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, open_windows: int = 64,
             for part in batches(texts):
                 for doc_id, ids in zip(doc_ids[part], code.encode(texts[part]), strict=True):
                     packer.add(None if doc_id is pd.NA else doc_id, 0, ids + tail, len(ids) // 4 + 1)
+                give_back()
                 yield packer.take(keep_ids)[columns]
         left = packer.merge_open()
         yield packer.take(keep_ids)[columns]
