@@ -55,6 +55,8 @@ UNKNOWN = "und"
 PIECE = 2048
 #: Characters of texts parsed in step.
 BATCH = 1_500_000
+#: Labels whose shares are broadcast at most (a few MB); more are joined by a shuffle.
+BROADCAST_LABELS = 50_000
 
 
 @functools.lru_cache(maxsize=1)
@@ -271,7 +273,8 @@ def samples(docs: DataFrame, teaches: Column, sample_chars: int = SAMPLE_CHARS,
     share = totals.select("lang", (F.lit(1.5 * each) / F.col("letters")).alias("share"))
     begin = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - SLICE + 1)).cast("int") + 1
     drawn = rows.select("lang", "doc_id", chance, F.substring("text", begin, F.lit(SLICE)).alias("slice"))
-    drawn = drawn.join(share.hint("rebalance"), "lang").filter("chance <= share")
+    # the draw comes before any shuffle of slices
+    drawn = drawn.join(F.broadcast(share) if languages <= BROADCAST_LABELS else share.hint("rebalance"), "lang").filter("chance <= share")
     drawn = drawn.groupBy("lang", "chance", "doc_id").agg(F.min("slice").alias("slice"))  # a repeated id counts once
     upto = Window.partitionBy("lang").orderBy("chance", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     fits = drawn.withColumn("before", F.coalesce(F.sum(F.length("slice")).over(upto), F.lit(0))).filter(F.col("before") < each)
