@@ -4,9 +4,12 @@ The page shows the alerts as they are; whoever acts on them needs to know what
 changed. Here the change files of the stock stream feed a state per stock key:
 
     readStream -> join the stock row (quantity, reorder level)
-      -> groupBy(ProductID, WarehouseID).applyInPandasWithState: latest change and alert
+      -> groupBy(range of ProductID).applyInPandasWithState: latest change and alert of each key
       -> foreachBatch: write the epoch's transitions to epoch=<id>
 
+* The keys of ``RANGE`` neighbouring products share one state row, a packed
+  table: Python is called once for a range, not once for a key, and follows
+  its changes as arrays. A range holds its keys and one Arrow batch of changes.
 * A key's state holds its latest change (greatest ``seq``, then quantity, then
   date, as in the stock stream) and whether it was an alert. A late change
   with an older ``seq`` alters nothing. Before its first change a key is what
@@ -19,12 +22,14 @@ changed. Here the change files of the stock stream feed a state per stock key:
 * Changes for keys without a stock row are left out, as W3 never inserts.
 
 The join has one stock row per key on its right side, so a key that a third of
-the changes share costs no more rows than its changes; the state of all keys
-is spread over the state partitions (RocksDB by default).
+the changes share costs no more rows than its changes; the state of all ranges
+is spread over the state partitions (RocksDB by default). A checkpoint of the
+former layout, a state row for each key, cannot be gone on with.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +44,11 @@ from shelfmark.streaming.stock_stream import CHANGE_SCHEMA, ROCKSDB_PROVIDER
 # The kinds of a transition.
 BEGAN, CEASED = "began", "ceased"
 
-STATE = "seq long, QuantityOnHand long, day date, alert boolean"
+# Products of one state row; the day of a change without a date.
+RANGE, NO_DAY = 256, -(2**31)
+
+#: Per key ``ProductID, WarehouseID, seq, QuantityOnHand, day, alert``, a column after the other, as 64-bit integers.
+STATE = "keys binary"
 TRANSITION_SCHEMA = T.StructType([
     *[f for f in CHANGE_SCHEMA.fields if f.name in STOCK_KEY],
     T.StructField("transition", T.StringType(), False),
@@ -57,30 +66,56 @@ def stock_levels(t: Tables) -> DataFrame:
     return held.join(levels, "ProductID").join(t.warehouse.select("WarehouseID"), "WarehouseID", "left_semi").select(*STOCK_KEY, "_held", "_level")
 
 
-def _follow(key: tuple, frames, state: GroupState):
-    """The transition of a stock key in this epoch, if there is one."""
-    held = state.get if state.exists else None
-    best, before = (held[:3], held[3]) if held else (None, None)
-    for frame in frames:
-        for seq, quantity, day, first, level in zip(frame["seq"], frame["QuantityOnHand"], frame["as_of"], frame["_held"], frame["_level"], strict=True):
-            if before is None:
-                before = bool(first <= level)
-            change = (int(seq), int(quantity), day)
-            if best is None or change > best:
-                best, after = change, bool(quantity <= level)
-    if held is not None and best == held[:3]:
-        return
-    state.update((*best, after))
-    if after != before:
-        yield pd.DataFrame([(*key, BEGAN if after else CEASED, *best)], columns=[f.name for f in TRANSITION_SCHEMA.fields])
+def _following():
+    """The function that follows a range of products; made here, so that it travels whole to the workers."""
+    def latest(table: np.ndarray, after_row: np.ndarray) -> np.ndarray:
+        """Per key its greatest change, of equal ones the first, with the ``before`` of its first row.
+
+        Rows of ``table`` are columns: ProductID, WarehouseID, seq, quantity, day, alert, before.
+        """
+        product, warehouse = table[0], table[1]
+        by_change = np.lexsort((-after_row, table[4], table[3], table[2], warehouse, product))
+        by_row = np.lexsort((after_row, warehouse, product))
+        new = (np.diff(product[by_row]) != 0) | (np.diff(warehouse[by_row]) != 0)
+        found = table[:, by_change[np.append(new, True)]]
+        found[6] = table[6, by_row[np.insert(new, 0, True)]]
+        return found
+
+    def follow(key: tuple, frames, state: GroupState):
+        """The transitions of a range's stock keys in this epoch."""
+        if state.exists:
+            held = np.frombuffer(bytes(state.get[0]), "<i8").reshape(6, -1)
+        else:
+            held = np.empty((6, 0), "<i8")
+        known = np.vstack([held, held[5:]])  # before the epoch each key is as it was left
+        for frame in frames:
+            if frame.empty:
+                continue
+            changes = [frame[c].astype("int64") for c in ("ProductID", "WarehouseID", "seq", "QuantityOnHand", "_day")]
+            alerts = [(frame[c] <= frame["_level"]).astype("int64") for c in ("QuantityOnHand", "_held")]
+            table = np.hstack([known, np.vstack([c.to_numpy() for c in changes + alerts])])
+            known = latest(table, np.arange(table.shape[1]))
+        if known.shape[1] == held.shape[1] and np.array_equal(known[:6], held):
+            return
+        state.update((np.ascontiguousarray(known[:6], "<i8").tobytes(),))
+        turned = known[:, known[5] != known[6]]
+        if turned.shape[1]:
+            yield pd.DataFrame({"ProductID": turned[0], "WarehouseID": turned[1], "transition": np.where(turned[5] == 1, BEGAN, CEASED).astype(object),
+                                "seq": turned[2], "QuantityOnHand": turned[3], "_day": turned[4]})
+
+    return follow
 
 
 def alert_transitions(changes: DataFrame, levels: DataFrame) -> DataFrame:
     """Streaming ``changes`` to streaming transitions; ``levels`` as ``stock_levels`` gives them."""
-    follow = _follow
-    known = changes.join(levels, list(STOCK_KEY))
-    return known.groupBy(*STOCK_KEY).applyInPandasWithState(
-        follow, TRANSITION_SCHEMA.simpleString()[len("struct<"):-1], STATE, "update", GroupStateTimeout.NoTimeout)
+    day = F.coalesce(F.unix_date("as_of"), F.lit(NO_DAY)).alias("_day")
+    known = changes.join(levels, list(STOCK_KEY)).select(
+        F.floor(F.col("ProductID") / RANGE).alias("_range"), *STOCK_KEY, "seq", "QuantityOnHand", day, "_held", "_level")
+    found = known.groupBy("_range").applyInPandasWithState(
+        _following(), "ProductID long, WarehouseID long, transition string, seq long, QuantityOnHand int, _day int",
+        STATE, "update", GroupStateTimeout.NoTimeout)
+    as_of = F.when(F.col("_day") != NO_DAY, F.date_from_unix_date("_day")).alias("as_of")
+    return found.select(*[as_of if f.name == "as_of" else f.name for f in TRANSITION_SCHEMA.fields])
 
 
 def start_alert_stream(spark: SparkSession, t: Tables, source_dir: str, transitions_dir: str, checkpoint_location: str,

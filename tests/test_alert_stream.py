@@ -92,3 +92,21 @@ def test_stream_goes_on_where_it_ended(spark, seed):
     run(spark, seed, root)
     began, ceased = difference(spark, seed, root)
     assert before[0] <= began and (1, "Central Warehouse") not in ceased
+
+
+def test_python_is_called_for_ranges_of_products(spark, seed, monkeypatch):
+    """A state row for a range of products, not for a key; keys of a range stay apart."""
+    day, n = dt.date(2025, 5, 1), 4 * alert_stream.RANGE
+    stock = spark.createDataFrame([(p, w, 5, day) for p in range(-n, n) for w in (1, 2)],
+                                  "ProductID long, WarehouseID long, QuantityOnHand int, LastUpdated date")
+    product = spark.range(-n, n).selectExpr(*[
+        {"ProductID": "id", "ReorderLevel": "10", "CategoryID": "1L", "ProductName": "''"}.get(f.name, "NULL") + f" AS {f.name}" for f in seed.product.schema.fields])
+    t = seed.replace(stock=stock, product=product)
+    batches = [[(p, 1, 1, 50, day) for p in range(-n, n)], [(p, 1, 2, p % 3 and 60, day) for p in range(-n, n)] + [(7, 2, 1, 99, day), (8, 2, 1, 0, day)]]
+    root = tempfile.mkdtemp(prefix="shelfmark-alerts-")
+    change_files(spark, root, batches)
+    run(spark, t, root)
+    net = rows(alert_stream.net_transitions(spark, f"{root}/transitions"), "ProductID", "WarehouseID", "transition", "seq", "as_of")
+    assert sorted(net) == sorted([(p, 1, "ceased", 1, day) for p in range(-n, n) if p % 3] + [(7, 2, "ceased", 1, day)])
+    state = spark.read.format("statestore").load(f"{root}/ckpt")
+    assert state.count() == 8  # 4,098 keys
