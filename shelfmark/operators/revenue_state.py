@@ -18,12 +18,17 @@ category are the products with lines, as each has one row.
 
 The merged frames are lazy but for the change's own orders, which are
 checkpointed; ``save`` writes a state as new versions, which are read
-for the next change. Order ids are spread over buckets of 32,768 neighbours.
+for the next change, and folds the months from the orders as written, so no
+order is worked out twice. Order ids are spread over buckets of 32,768
+neighbours. The orders of a bucket meet before its bitmap is made: bitmaps
+made where the orders lie would be one for each task and bucket, in the end
+one for each order.
 """
 
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +47,12 @@ MONTHS = "_month date, _bucket bigint, _units bigint, _revenue_cents decimal(38,
 class RevenueState:
     products: DataFrame
     orders: DataFrame
-    months: DataFrame
+    #: the months, from the orders: those above or the same rows read back
+    months_of: Callable[[DataFrame], DataFrame]
+
+    @property
+    def months(self) -> DataFrame:
+        return self.months_of(self.orders)
 
 
 def _shaped(df: DataFrame, schema: str) -> DataFrame:
@@ -66,7 +76,7 @@ def _bucket() -> Column:
 
 def _by_month(orders: DataFrame) -> DataFrame:
     """``orders`` with lines, folded per month and bucket."""
-    held = orders.where(F.col("_month").isNotNull()).withColumn("_bucket", _bucket())
+    held = orders.where(F.col("_month").isNotNull()).withColumn("_bucket", _bucket()).repartition("_month", "_bucket")
     return _shaped(held.groupBy("_month", "_bucket").agg(
         F.sum("_units").alias("_units"), F.sum("_revenue_cents").alias("_revenue_cents"),
         F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("OrderID"))).alias("_orders")), MONTHS)
@@ -75,7 +85,7 @@ def _by_month(orders: DataFrame) -> DataFrame:
 def build(t: Tables) -> RevenueState:
     """The state of the tables as they are: the only step that reads all lines."""
     orders = _by_order(t.order_detail).join(_month_of(t.sales_order).hint("rebalance"), "OrderID", "left")
-    return RevenueState(_shaped(views.lines_by_product(t.order_detail), PRODUCTS), _shaped(orders, ORDERS), _by_month(orders))
+    return RevenueState(_shaped(views.lines_by_product(t.order_detail), PRODUCTS), _shaped(orders, ORDERS), _by_month)
 
 
 def _signed(inserted: DataFrame | None, deleted: DataFrame | None, fold) -> DataFrame:
@@ -119,28 +129,43 @@ def merge(state: RevenueState, sales_order: DataFrame, inserted: DataFrame | Non
 
     counted = touched.where(F.col("_month").isNotNull()).withColumn("_bucket", _bucket())
     sums = counted.groupBy("_month", "_bucket").agg(F.sum("_units").alias("_units"), F.sum("_revenue_cents").alias("_revenue_cents"))
+
+    def months_of(orders: DataFrame) -> DataFrame:
+        return _merged_months(state.months, orders, counted, sums, counted.where((F.col("_was_lines") > 0) & (now["_lines"] == 0)))
+
+    return RevenueState(products, orders, months_of)
+
+
+def _merged_months(months: DataFrame, orders: DataFrame, counted: DataFrame, sums: DataFrame, gone: DataFrame) -> DataFrame:
+    """``months`` after a change: ``orders`` as they are now, those that the change ``counted``, its ``sums``, and those ``gone``."""
     # sets: new orders by OR, buckets that lost an order from the orders that are left
-    lost = counted.where((F.col("_was_lines") > 0) & (now["_lines"] == 0)).select("_month", "_bucket").distinct()
+    lost = gone.select("_month", "_bucket").distinct()
     came = _by_month(counted.where(F.col("_was_lines").isNull() & (F.col("_lines") > 0))).select("_month", "_bucket", "_orders")
-    kept = state.months.select("_month", "_bucket", "_orders").unionByName(came).join(lost, ["_month", "_bucket"], "left_anti")
+    kept = months.select("_month", "_bucket", "_orders").unionByName(came).join(lost, ["_month", "_bucket"], "left_anti")
     anew = _by_month(orders.withColumn("_bucket", _bucket()).join(lost, ["_month", "_bucket"], "left_semi")).select("_month", "_bucket", "_orders")
     sets = kept.unionByName(anew).groupBy("_month", "_bucket").agg(F.call_function("bitmap_or_agg", F.col("_orders")).alias("_orders"))
-    added = state.months.drop("_orders").unionByName(_shaped(sums.withColumn("_orders", F.lit(None).cast("binary")), MONTHS).drop("_orders"))
+    added = months.drop("_orders").unionByName(_shaped(sums.withColumn("_orders", F.lit(None).cast("binary")), MONTHS).drop("_orders"))
     added = added.groupBy("_month", "_bucket").agg(F.sum("_units").alias("_units"), F.sum("_revenue_cents").alias("_revenue_cents"))
     # a bucket without an order left has no set, and no row
-    return RevenueState(products, orders, _shaped(added.join(sets, ["_month", "_bucket"]), MONTHS))
+    return _shaped(added.join(sets, ["_month", "_bucket"]), MONTHS)
 
 
 def save(state: RevenueState, root: str) -> RevenueState:
     """Write the state as new versions under ``root`` and read it back: the next change starts from files."""
     spark = state.products.sparkSession
-    return RevenueState(*[spark.read.schema(schema).parquet(write_version(df, f"{root.rstrip('/')}/{name}"))
-                          for name, schema, df in (("products", PRODUCTS, state.products), ("orders", ORDERS, state.orders), ("months", MONTHS, state.months))])
+
+    def written(name: str, schema: str, df: DataFrame) -> DataFrame:
+        return spark.read.schema(schema).parquet(write_version(df, f"{root.rstrip('/')}/{name}"))
+
+    products, orders = written("products", PRODUCTS, state.products), written("orders", ORDERS, state.orders)
+    months = written("months", MONTHS, state.months_of(orders))
+    return RevenueState(products, orders, lambda _: months)
 
 
 def load(spark: SparkSession, products: str, orders: str, months: str) -> RevenueState:
     """The state from the paths of its three versions."""
-    return RevenueState(*[spark.read.schema(s).parquet(p) for s, p in ((PRODUCTS, products), (ORDERS, orders), (MONTHS, months))])
+    products, orders, months = [spark.read.schema(s).parquet(p) for s, p in ((PRODUCTS, products), (ORDERS, orders), (MONTHS, months))]
+    return RevenueState(products, orders, lambda _: months)
 
 
 # The reports, as of the state; ``t`` gives the dimensions only.

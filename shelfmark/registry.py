@@ -21,7 +21,7 @@ from shelfmark.plans import batches, reports, views
 from shelfmark.session import scratch_path
 from shelfmark.sources import by_month, loading, sql, typed_load
 from shelfmark.sources.fixtures import driver_sources, from_driver_tables
-from shelfmark.sources.tables import Tables
+from shelfmark.sources.tables import Tables, write_version
 
 SQL_PREFIX = "shelfmark_"
 
@@ -210,6 +210,8 @@ def _merged_state(src, t):
     state = revenue_state.save(revenue_state.merge(state, orders, inserted=lines), root)
     now = t.replace(order_detail=t.order_detail.unionByName(lines), sales_order=t.sales_order.unionByName(orders))
     gone = changes.removed_lines(now, batches.discontinued_products(t), batches.pending_orders(t))
+    # folded by product and by order: found once
+    gone = t.product.sparkSession.read.schema(gone.schema).parquet(write_version(gone, f"{root}/removed"))
     return revenue_state.save(revenue_state.merge(state, now.sales_order, deleted=gone), root)
 
 

@@ -82,3 +82,24 @@ def test_removed_lines_are_what_the_cascades_take(spark, seed, products, orders)
     left = changes.delete_orders(left, o) if orders else left
     removed = rows(changes.removed_lines(seed, p, o))
     assert sorted(removed + rows(left.order_detail, *seed.order_detail.columns)) == sorted(rows(seed.order_detail))
+
+
+def test_orders_meet_before_their_bitmaps_are_made(spark, seed):
+    """No bitmap of a part of a bucket is shuffled, or there would be one for each task and bucket."""
+    plan = revenue_state.build(seed).months._jdf.queryExecution().executedPlan().toString()
+    made = [line for line in plan.splitlines() if "bitmap_construct_agg" in line or "Exchange" in line]
+    partial = next(k for k, line in enumerate(made) if "partial_bitmap_construct_agg" in line)
+    assert partial == 1 and "bitmap_construct_agg" in made[0] and "Exchange hashpartitioning(_month" in made[2]
+
+
+def test_months_are_folded_from_the_orders_as_written(spark, seed):
+    root, seen = tempfile.mkdtemp(prefix="shelfmark-state-"), []
+    state = revenue_state.build(seed)
+
+    def months_of(orders):
+        seen.append(orders)
+        return state.months_of(orders)
+
+    saved = revenue_state.save(revenue_state.RevenueState(state.products, state.orders, months_of), root)
+    assert len(seen) == 1 and all(f"{root}/orders/" in f for f in seen[0].inputFiles())
+    same(saved, seed)
