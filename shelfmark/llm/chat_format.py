@@ -1,12 +1,15 @@
 """Chat formatting by prefix-target expansion (operator 1).
 
-Every assistant turn becomes an example of its own (``examples``): all turns
-before it are context and only that reply carries loss. The text of a
-conversation is written once, one formatted segment per turn; an example is a
-row that names the range of its context and of its reply in that text. So a
-conversation with many replies costs no more than its own length
-(``inline_examples`` spells the examples out where whole strings are wanted).
-What is trained on is read back through the examples' rows.
+Every assistant turn becomes an example of its own (``expanded``): a row with
+the whole text of all turns before it, as context, and of that reply, which
+alone carries loss. What is trained on is read back from these texts: the loss
+range counts from the start of the context, so a context that lacks or gains
+anything gives another loss. ``examples`` are the ranges alone.
+
+The texts of a conversation's examples together are as long as its length
+times half its replies, as the method has it. They are never shuffled, sorted
+or written: they stream from the window that makes them to the reading back,
+one at a time. The time for one very long conversation grows with its square.
 
 The template marks turns with control strings. Those inside texts and roles,
 and those of other common templates, are broken by a backslash; backslashes
@@ -76,13 +79,18 @@ def format_turns(conversations: DataFrame) -> DataFrame:
 
 
 def expanded(formatted: DataFrame) -> DataFrame:
-    """The segments and, after each target's, the row of its example (``is_example``), with ``context_start`` and ``context_end``.
+    """The segments and, after each target's, its example (``is_example``), with ``text``, ``context_start`` and ``context_end``.
 
-    Rows keep their order, so nothing is shuffled.
+    ``text`` is the whole example, its context and its reply's segment; it is
+    null for segments. Rows keep their order, so nothing is shuffled.
     """
-    rows = formatted.withColumn("is_example", F.explode(F.when(F.col("is_target"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    upto = Window.partitionBy("conv_id").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kinds = F.when(F.col("is_target"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    whole = F.when(F.col("is_target"), F.array_join(F.collect_list("segment").over(upto), ""))
+    rows = formatted.withColumn("text", whole).withColumn("is_example", F.explode(kinds))
     begin = F.when(F.col("is_example"), F.lit(0).cast("long"))
-    return rows.withColumns({"context_start": begin, "context_end": F.when(F.col("is_example"), F.col("char_start"))})
+    return rows.withColumns({"text": F.when(F.col("is_example"), F.col("text")), "context_start": begin,
+                             "context_end": F.when(F.col("is_example"), F.col("char_start"))})
 
 
 def examples(formatted: DataFrame) -> DataFrame:
@@ -96,14 +104,8 @@ def examples(formatted: DataFrame) -> DataFrame:
 
 
 def inline_examples(formatted: DataFrame) -> DataFrame:
-    """One row per example with its whole text: ``conv_id, position, text, loss_start, loss_end``.
-
-    The texts of a conversation together are as long as its length times its
-    replies; use it where conversations are short.
-    """
-    upto = Window.partitionBy("conv_id").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = formatted.withColumn("text", F.array_join(F.collect_list("segment").over(upto), ""))
-    return whole.filter("is_target").select("conv_id", "position", "text", "loss_start", "loss_end")
+    """One row per example with its whole text: ``conv_id, position, text, loss_start, loss_end``."""
+    return expanded(formatted).filter("is_example").select("conv_id", "position", "text", "loss_start", "loss_end")
 
 
 def read_back(rows: DataFrame) -> DataFrame:
@@ -111,12 +113,12 @@ def read_back(rows: DataFrame) -> DataFrame:
 
     ``rows`` are segments or what ``expanded`` makes of them. A segment's row
     has its ``role``, ``text`` and length; an example's row has the
-    ``loss_text`` that its loss range covers. All are unescaped.
+    ``loss_text`` that the loss range covers in its whole text. All are unescaped.
     """
     formatted = rows if "is_example" in rows.columns else expanded(rows)
     body = F.expr(f"substring(segment, {len(START) + 1}, length(segment) - {len(START) + len(END)})")
     cut = F.locate(SEPARATOR, F.col("body"))
-    masked = F.expr("substring(segment, CAST(loss_start - char_start AS INT) + 1, CAST(loss_end - loss_start AS INT))")
+    masked = F.expr("substring(text, CAST(loss_start AS INT) + 1, CAST(loss_end - loss_start AS INT))")
     turn = ~F.col("is_example")
     return formatted.withColumn("body", body).select(
         "conv_id", "position", F.when(turn, unescaped(F.substring(F.col("body"), F.lit(1), cut - 1))).alias("role"),

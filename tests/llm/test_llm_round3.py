@@ -467,3 +467,20 @@ def test_examples_carry_the_loss(spark):
     replies = [f"turn {k}" for k in range(1, 20_000, 2)]
     assert full[9].loss_sha256 == hashlib.sha256("".join(replies).encode()).hexdigest() and less[9].loss_chars == full[9].loss_chars - len(replies[76])
     assert full[1] == less[1] and full[1].loss_chars == len("one <|turn|>two") and full[2].loss_chars == 0
+
+
+def test_examples_hold_their_whole_context(spark):
+    """The expansion spells every prefix out; a loss is read at its place behind the whole context."""
+    rows = [(c, k, ("system", "user", "assistant", "assistant")[k % 4], f"t{c}.{k} \\ </s>é") for c in (1, 2) for k in range(9)]
+    formatted = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    everything = chat_format.expanded(formatted)
+    found = everything.filter("is_example").collect()
+    assert len(found) == 8 and everything.filter("NOT is_example").count() == 18
+    segments = {(r.conv_id, r.position): r.segment for r in formatted.collect()}
+    for r in found:
+        assert r.text == "".join(segments[r.conv_id, p] for p in range(r.position + 1))
+        assert r.text[r.context_start:r.context_end] == "".join(segments[r.conv_id, p] for p in range(r.position))
+    cut = everything.withColumn("text", chat_format.F.expr("CASE WHEN conv_id = 2 AND example = 3 THEN substring(text, 2) ELSE text END"))
+    full, less = ({r.conv_id: r for r in chat_format.conversation_digests(chat_format.read_back(e)).collect()} for e in (everything, cut))
+    assert full[1] == less[1] and full[2].turns_sha256 == less[2].turns_sha256 and full[2].loss_sha256 != less[2].loss_sha256
+    assert full[2].loss_sha256 == hashlib.sha256("".join(r[3] for r in rows if r[0] == 2 and r[2] == "assistant").encode()).hexdigest()
